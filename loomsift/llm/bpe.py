@@ -1,7 +1,8 @@
 """Encoding and decoding with a public word-level BPE vocabulary, exactly as its library does.
 
 No token crosses white space, so a text's ids are the ids of its chunks between white space in
-turn, and a worker keeps those of the chunks it has seen (CACHE_CHUNKS at most, then anew).
+turn, and a worker keeps those of the chunks and words it has seen (CACHE_CHUNKS and
+CACHE_WORDS at most, then anew).
 
 A long stretch that the vocabulary's own splitting leaves whole is encoded by tree
 concatenation: its halves are encoded apart, down to LEAF symbols, and joined by encoding anew
@@ -21,6 +22,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,8 @@ from pyspark.sql import functions as F
 
 from loomsift.scratch import materialise
 
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 400_000
+CACHE_WORDS = 400_000
 #: A chunk of more code points is split by its own pre-tokens, and those by the tree.
 LONG_CHUNK = 2048
 LEAF = 256
@@ -39,6 +42,9 @@ _ODD = re.compile("[\x1c-\x1f]")
 # The characters that the library's pattern class for white space holds.
 _SPACE = re.compile("[\t\n\x0b\x0c\r \x85\xa0  -     　]+")
 _END = "</w>"
+#: Chunks whose normal form and words are plain: neither special tokens nor contractions nor marks that compose.
+_PLAIN = re.compile(r"(?:[a-zA-ZÀ-ÖØ-öø-ÿ0-9!-&(-/:;=-@\[-`{-~]|<(?!\|))*")
+_WORDS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
 class WordBpe:
@@ -60,7 +66,9 @@ class WordBpe:
         self._special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         names = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
         self.names = [names.get(i, "").encode("utf-8") for i in range(max(names) + 1)]
+        self.ends = np.array([x.endswith(_END.encode()) for x in self.names])
         self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.agree = lru_cache(200_000)(lambda a, b: self.merge([*self.symbols(a), *self.symbols(b)]) == [a, b])
 
     # stretches of symbols
@@ -144,24 +152,39 @@ class WordBpe:
         return [x for x in _SPACE.split(text) if x] if _ODD.search(text) else text.split()
 
     def learn(self, chunks: set[str]) -> None:
-        new = [x for x in chunks if len(x) <= LONG_CHUNK]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for x, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                self.chunks[x] = np.array(e.ids, dtype="<u4").tobytes()
+        """Take the ids of ``chunks`` into the cache."""
+        words, plain, other = self.words, {}, []
         for x in chunks:
             if len(x) > LONG_CHUNK:
                 self.chunks[x] = self.long(x)
+            elif _PLAIN.fullmatch(x):
+                low = x.lower()
+                plain[x] = (low,) if low.isalpha() else _WORDS.findall(low)
+            else:
+                other.append(x)
+        new = {w for ws in plain.values() for w in ws if w not in words}
+        if len(words) + len(new) > CACHE_WORDS:
+            words.clear()
+            new = {w for ws in plain.values() for w in ws}
+        listed = list(new)
+        for at in range(0, len(listed), 5000):  # each word gives one token that ends a word
+            part = listed[at : at + 5000]
+            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            raw, ends = ids.tobytes(), ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            words.update(zip(part, (raw[i:j] for i, j in zip([0, *ends], ends))))
+        self.chunks.update((x, words[ws[0]] if len(ws) == 1 else b"".join(map(words.__getitem__, ws))) for x, ws in plain.items())
+        for x, e in zip(other, self.library.encode_batch_fast(other, add_special_tokens=False)):
+            self.chunks[x] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
-        for at in range(0, len(texts), 512):
-            split = [self.split(x) for x in texts[at : at + 512]]
-            new = set().union(*split).difference(self.chunks)
+        for at in range(0, len(texts), 1024):
+            split = [self.split(x) for x in texts[at : at + 1024]]
+            new = set(filterfalse(self.chunks.__contains__, chain.from_iterable(split)))
             if new:
                 if len(self.chunks) + len(new) > CACHE_CHUNKS:
                     self.chunks.clear()
-                    new = set().union(*split)
+                    new = set(chain.from_iterable(split))
                 self.learn(new)
             get = self.chunks.__getitem__
             for words in split:
