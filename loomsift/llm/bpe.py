@@ -1,8 +1,9 @@
 """Encoding and decoding with a public word-level BPE vocabulary, exactly as its library does.
 
 No token crosses white space, so a text's ids are the ids of its chunks between white space in
-turn, and a worker keeps those of the chunks and words it has seen (CACHE_CHUNKS and
-CACHE_WORDS at most, then anew).
+turn; in a text of Latin-1 letters the vocabulary's own splitting into words, digits and marks
+is done on bytes. A worker keeps the ids of the parts it has seen (CACHE_PARTS at most, then
+anew).
 
 A long stretch that the vocabulary's own splitting leaves whole is encoded by tree
 concatenation: its halves are encoded apart, down to LEAF symbols, and joined by encoding anew
@@ -22,7 +23,6 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 
 from loomsift.scratch import materialise
 
-CACHE_CHUNKS = 400_000
-CACHE_WORDS = 400_000
+CACHE_PARTS = 1_000_000
+#: Texts looked up at a time, with one call of the library for what is new in them.
+TOGETHER = 64
 #: A chunk of more code points is split by its own pre-tokens, and those by the tree.
 LONG_CHUNK = 2048
 LEAF = 256
@@ -44,6 +45,16 @@ _SPACE = re.compile("[\t\n\x0b\x0c\r \x85\xa0  -     　]+")
 _END = "</w>"
 #: Chunks whose normal form and words are plain: neither special tokens nor contractions nor marks that compose.
 _PLAIN = re.compile(r"(?:[a-zA-ZÀ-ÖØ-öø-ÿ0-9!-&(-/:;=-@\[-`{-~]|<(?!\|))*")
+#: In lower-case Latin-1: contractions and runs of marks, between words and digits.
+_MARKS = re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[^a-z\xdf-\xf6\xf8-\xff0-9\t-\r ]+")
+#: Latin-1 letters and numbers outside the plain ranges: ordinals, micro, superscripts, fractions.
+_RARE = re.compile(rb"[\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe]")
+#: Lower case, and a space for the white space above ASCII.
+_LOWER = bytes(0x20 if c in (0x85, 0xA0) else ord(chr(c).lower()) if c != 0xB5 else c for c in range(256))
+#: Letters, digits and white space; their complement as a translation to zero bytes; and each byte.
+_NO_MARKS = bytes(c for c in range(256) if not _MARKS.match(bytes([c])))
+_KINDS = bytes(c if c in _NO_MARKS else 0 for c in range(256))
+_MARK = [bytes([c]) for c in range(256)]
 _WORDS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
@@ -67,8 +78,7 @@ class WordBpe:
         names = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
         self.names = [names.get(i, "").encode("utf-8") for i in range(max(names) + 1)]
         self.ends = np.array([x.endswith(_END.encode()) for x in self.names])
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.chunks: dict[str | bytes, bytes] = {}
         self.agree = lru_cache(200_000)(lambda a, b: self.merge([*self.symbols(a), *self.symbols(b)]) == [a, b])
 
     # stretches of symbols
@@ -148,47 +158,68 @@ class WordBpe:
         return np.array(ids, dtype="<u4").tobytes()
 
     @staticmethod
-    def split(text: str) -> list[str]:
+    def split(text: str) -> list[str] | list[bytes]:
+        """Parts of a text that are encoded apart: its own words in Latin-1, in lower case, or chunks between white space."""
+        try:
+            plain = text.encode("latin-1")
+        except UnicodeEncodeError:
+            plain = b"<|"
+        if b"<|" not in plain and not _RARE.search(plain):
+            plain = plain.translate(_LOWER)
+            if b"\0\0" in plain.translate(_KINDS) or b"'" in plain:
+                return _MARKS.sub(rb" \g<0> ", plain).split()
+            for mark in set(plain.translate(None, _NO_MARKS)):  # single marks only: the same, by plain replacement
+                plain = plain.replace(_MARK[mark], b" " + _MARK[mark] + b" ")
+            return plain.split()
         return [x for x in _SPACE.split(text) if x] if _ODD.search(text) else text.split()
 
-    def learn(self, chunks: set[str]) -> None:
-        """Take the ids of ``chunks`` into the cache."""
-        words, plain, other = self.words, {}, []
-        for x in chunks:
-            if len(x) > LONG_CHUNK:
-                self.chunks[x] = self.long(x)
-            elif _PLAIN.fullmatch(x):
-                low = x.lower()
-                plain[x] = (low,) if low.isalpha() else _WORDS.findall(low)
+    def learn(self, parts: set) -> None:
+        """Take the ids of ``parts`` into the cache."""
+        held, other = {}, []
+        for x in parts:
+            text = x if isinstance(x, str) else x.decode("latin-1")
+            if len(text) > LONG_CHUNK:
+                self.chunks[x] = self.long(text)
+            elif isinstance(x, str):
+                if _PLAIN.fullmatch(x):
+                    held[x] = [w.encode("latin-1") for w in _WORDS.findall(x.lower())]
+                else:
+                    other.append(x)
+            elif text.isalpha() or not text[0].isalnum():
+                held[x] = (x,)
             else:
-                other.append(x)
-        new = {w for ws in plain.values() for w in ws if w not in words}
-        if len(words) + len(new) > CACHE_WORDS:
-            words.clear()
-            new = {w for ws in plain.values() for w in ws}
-        listed = list(new)
-        for at in range(0, len(listed), 5000):  # each word gives one token that ends a word
-            part = listed[at : at + 5000]
-            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+                held[x] = [w.encode("latin-1") for w in _WORDS.findall(text)]
+        new = list({w for ws in held.values() for w in ws}.difference(self.chunks))
+        for at in range(0, len(new), 5000):  # each word gives one token that ends a word
+            part = new[at : at + 5000]
+            ids = np.array(self.library.encode_batch_fast([b" ".join(part).decode("latin-1")], add_special_tokens=False)[0].ids, dtype="<u4")
             raw, ends = ids.tobytes(), ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-            words.update(zip(part, (raw[i:j] for i, j in zip([0, *ends], ends))))
-        self.chunks.update((x, words[ws[0]] if len(ws) == 1 else b"".join(map(words.__getitem__, ws))) for x, ws in plain.items())
+            self.chunks.update(zip(part, (raw[i:j] for i, j in zip([0, *ends], ends))))
+        get = self.chunks.__getitem__
+        self.chunks.update((x, b"".join(map(get, ws))) for x, ws in held.items() if ws != (x,))
         for x, e in zip(other, self.library.encode_batch_fast(other, add_special_tokens=False)):
             self.chunks[x] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
-        for at in range(0, len(texts), 1024):
-            split = [self.split(x) for x in texts[at : at + 1024]]
-            new = set(filterfalse(self.chunks.__contains__, chain.from_iterable(split)))
-            if new:
-                if len(self.chunks) + len(new) > CACHE_CHUNKS:
+        for at in range(0, len(texts), TOGETHER):
+            out, later, get = [], [], self.chunks.get
+            for i, text in enumerate(texts[at : at + TOGETHER]):
+                parts = self.split(text)
+                ids = list(map(get, parts))
+                try:
+                    out.append(b"".join(ids))
+                except TypeError:  # a part that is not known yet
+                    out.append(b"")
+                    later.append((i, parts, ids))
+            if later:
+                new = {p for _, parts, ids in later for p, x in zip(parts, ids) if x is None}
+                if len(self.chunks) + len(new) > CACHE_PARTS:
                     self.chunks.clear()
-                    new = set(chain.from_iterable(split))
                 self.learn(new)
-            get = self.chunks.__getitem__
-            for words in split:
-                yield b"".join(map(get, words))
+                for i, parts, ids in later:
+                    out[i] = b"".join([self.chunks[p] if x is None else x for p, x in zip(parts, ids)])
+            yield from out
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 text of ids, special tokens included."""
