@@ -1,10 +1,77 @@
-"""The training-data pipeline: stages over documents, each reread from Parquet by the next."""
+"""The training-data pipeline: stages over documents, each reread from Parquet by the next.
+
+All stages but the last return the columns of documents. A row of documents is found again by
+its doc_id and a hash of its text; of rows that are alike in both, one at most stays.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from loomsift.llm import dedup, packing, queries, secrets, simhash, toxicity
+from loomsift.scratch import materialise
+
+_NO_ID = -(1 << 63)
+
+
+def _id() -> Column:
+    return F.coalesce("doc_id", F.lit(_NO_ID).cast("long"))
+
+
+def _only(docs: DataFrame, keep: DataFrame, mark: Column) -> DataFrame:
+    """The rows of ``docs`` whose id and ``mark`` are in ``keep`` (id, mark): one each. The text moves once, by both."""
+    keyed = docs.withColumn("__id", _id()).withColumn("__mark", mark)
+    found = keyed.join(keep.select(F.col("id").alias("__id"), F.col("mark").alias("__mark")), ["__id", "__mark"], "left_semi")
+    one = F.row_number().over(Window.partitionBy("__id", "__mark").orderBy(F.lit(0)))
+    return found.withColumn("__row", one).where("__row = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below the toxicity threshold."""
+    scored = toxicity.with_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.where(F.col("__score") < toxicity.THRESHOLD).drop("__score")
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id."""
+    keep = dedup.exact_duplicates(docs).where("kept").select(_id().alias("id"), F.col("text_sha256").alias("mark"))
+    return _only(docs, keep, F.sha2(F.coalesce("text", F.lit("")), 256))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies the row with the smallest doc_id."""
+    rows = materialise(simhash.near_components(docs), "components")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fingerprint", "digest")).alias("first")
+    # a component without any doc_id has no component_id; its fingerprint tells it apart
+    group = F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("nameless")
+    keep = rows.groupBy("component_id", group).agg(first).select("first.*").select(_id().alias("id"), F.col("digest").alias("mark"))
+    return _only(docs, keep, simhash.digest())
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, the secrets in their texts covered."""
+    return secrets.redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all pieces of the documents in training sequences."""
+    return packing.packed(docs, queries.word_vocabulary())
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("exact_dedup", exact_dedup),
+    ("simhash", near_dedup),
+    ("secrets", redact_secrets),
+    ("packing", pack),
+]
+#: Learnt scores can't be written in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

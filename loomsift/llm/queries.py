@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomsift.llm import bpe, dedup, licenses, packing, secrets, simhash, vafile
+from loomsift.llm import attribution, bpe, dedup, licenses, linededup, packing, secrets, simhash, toxicity, vafile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -44,7 +44,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(_documents(spark, sf_dir))
 
 
-def _vocabulary() -> str:
+def word_vocabulary() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
@@ -52,12 +52,12 @@ def _vocabulary() -> str:
 
 @query
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.token_digests(_documents(spark, sf_dir), _vocabulary())
+    return bpe.token_digests(_documents(spark, sf_dir), word_vocabulary())
 
 
 @query
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(_documents(spark, sf_dir), _vocabulary())
+    return packing.packed(_documents(spark, sf_dir), word_vocabulary())
 
 
 @query
@@ -86,3 +86,43 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.drop_recurring(_documents(spark, sf_dir))
+
+
+SQL["op2_line_dedup"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM d
+), masked AS (
+  SELECT doc_id, line_no, line,
+         regexp_replace(regexp_replace(line, '^[ \t\x0B\f\r]+|[ \t\x0B\f\r]+$', '', 'g'), '[^ \t\x0B\f\r]*[0-9@][^ \t\x0B\f\r]*', '<*>', 'g') AS m
+  FROM lines
+), tokens AS (
+  SELECT *, string_split_regex(m, '[ \t\x0B\f\r]+') AS t FROM masked
+), keyed AS (
+  SELECT doc_id, line_no, line, CASE WHEN len(t) >= 5 AND len(list_filter(t, lambda x: x <> '<*>')) > 0 THEN array_to_string(t, ' ') END AS template FROM tokens
+), firsts AS (
+  SELECT template, min(doc_id) AS first FROM keyed WHERE template IS NOT NULL GROUP BY template HAVING min(doc_id) < max(doc_id)
+), marked AS (
+  SELECT k.doc_id, k.line_no, k.line, coalesce(k.doc_id > f.first, false) AS gone FROM keyed k LEFT JOIN firsts f ON k.template = f.template
+)
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE NOT gone), '') AS text,
+       count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped
+FROM marked GROUP BY doc_id
+"""
+
+
+@query
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return attribution.section_tokens(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomsift.llm.components import connected
@@ -55,13 +55,18 @@ def fingerprint(text: str | None) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = np.array([fingerprint(x) for x in batch.column(1).to_pylist()], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+        prints = np.array([fingerprint(x) for x in batch.column(2).to_pylist()], dtype=np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints.view(np.int64))], names=["doc_id", "digest", "fp"])
+
+
+def digest() -> Column:
+    """A hash of the text that, with the doc_id, finds a row of documents again."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) for every row of ``docs``; fp is the fingerprint as a signed long."""
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, digest, fp) for every row of ``docs``; fp is the fingerprint as a signed long."""
+    return docs.select("doc_id", digest().alias("digest"), "text").mapInArrow(_fingerprints, "doc_id long, digest long, fp long")
 
 
 def forest(prints: list[int], radius: int = RADIUS, size: int = SLICE) -> list[tuple[int, int]]:
@@ -125,7 +130,7 @@ def _links(radius: int):
 
 
 def near_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, fingerprint, component_id, n_same.
+    """One row per row of ``docs`` (doc_id, text): doc_id, digest, fingerprint, component_id, n_same.
 
     component_id is the smallest doc_id that links reach; n_same counts the rows with this
     fingerprint. Rows without text have fingerprint zero and link like any others. Rows
@@ -150,4 +155,4 @@ def near_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     placed = prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", "n_same", F.coalesce("root", "fp").alias("root"))
     placed = materialise(placed, "placed")
     named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "n_same", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_same")
+    return rows.join(named, "fp").select("doc_id", "digest", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_same")
