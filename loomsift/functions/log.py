@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from loomsift.functions.common import col
 
@@ -25,7 +26,7 @@ LEVEL_RANK = {
 # Least number of each level on the numeric scale.
 NUMERIC_LEVELS = ((17, "fatal"), (13, "error"), (9, "warn"), (5, "info"))
 
-RECORD = "is_json boolean, level string, msg string, method string, status string, path string"
+RECORD = StructType([StructField("is_json", BooleanType())] + [StructField(k, StringType()) for k in ("level", "msg", "method", "status", "path")])
 
 
 def level_rank(level: Column | str) -> Column:

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType
 
 from loomsift.functions.common import WORD_END, WORD_START, col, distinct_matches
 
@@ -107,7 +108,7 @@ def prose_scalars(text: str) -> list[str]:
     return out
 
 
-@pandas_udf("array<string>")
+@pandas_udf(ArrayType(StringType()))
 def yaml_prose(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: prose_scalars(t or ""))
 

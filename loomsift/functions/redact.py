@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 import re
+from urllib.parse import unquote_plus
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from loomsift.functions.common import WORD_END, WORD_START, col
 
@@ -90,24 +92,37 @@ def is_static(url: Column | str, mime: Column | str) -> Column:
 _NAME, _JWT, _LONG = re.compile(SECRET_NAME[4:], re.I), re.compile(JWT), re.compile(LONG_TOKEN)
 
 
+def is_secret(name: str) -> bool:
+    return bool(_NAME.search(name.removesuffix("[]")))
+
+
 def _hide(value):
     if isinstance(value, dict):
-        return {k: HIDDEN if _NAME.search(k) else _hide(v) for k, v in value.items()}
+        return {k: HIDDEN if _NAME.search(k) else _hide(value[k]) for k in sorted(value)}
     return [_hide(v) for v in value] if isinstance(value, list) else value
 
 
-def hide_body(text: str) -> str:
+def hide_params(query: str) -> str:
+    """``k=v&…`` with the values of secret names hidden."""
+    pairs = (p.partition("=") for p in query.split("&"))
+    return "&".join(f"{k}={HIDDEN}" if eq and is_secret(unquote_plus(k)) else k + eq + v for k, eq, v in pairs)
+
+
+def hide_body(text: str, mime: str = "") -> str:
     """A body for a report: secrets of its JSON or form fields hidden, tokens hidden, white space squeezed, cut short."""
-    try:
-        text = json.dumps(_hide(json.loads(text)), separators=(",", ":"), ensure_ascii=False)
-    except (ValueError, RecursionError):
-        if "=" in text:
-            text = "&".join(f"{k}={HIDDEN}" if eq and _NAME.search(k.rstrip("[]")) else p for p in text.split("&") for k, eq, _ in [p.partition("=")])
+    text = (text or "").strip()
+    if text.startswith(("{", "[")):
+        try:
+            text = json.dumps(_hide(json.loads(text)), separators=(",", ":"), ensure_ascii=False)
+        except (ValueError, RecursionError):
+            pass
+    if "form-urlencoded" in mime or not text.startswith(("{", "[")) and "=" in text and " " not in text:
+        text = hide_params(text)
     text = " ".join(_LONG.sub(HIDDEN, _JWT.sub(HIDDEN, text)).split())
-    raw = text.encode()
+    raw = text.encode("utf-8", "surrogatepass")
     return text if len(raw) <= BODY_BYTES else raw[:BODY_BYTES].decode("utf-8", "ignore") + "…"
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def redact_body(bodies: pd.Series) -> pd.Series:
     return bodies.map(lambda x: None if x is None else hide_body(x))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType, StructField, StructType
 
 from loomsift.functions.common import WORD_END, WORD_START, col, strip
 
@@ -164,7 +165,7 @@ def level_of(line: str) -> str:
     return ALIASES.get(found[1].lower(), found[1].lower()) if found else "unknown"
 
 
-@pandas_udf("sig string, level string")
+@pandas_udf(StructType([StructField("sig", StringType()), StructField("level", StringType())]))
 def shape(lines: pd.Series) -> pd.DataFrame:
     """Signature and level of lines that may be structured."""
     return pd.DataFrame({"sig": [signature_of(x or "") for x in lines], "level": [level_of(x or "") for x in lines]})
