@@ -14,33 +14,42 @@ from loomsift.operators.distillers import FINDING, TERSE, VULN_ID, VULN_LETTERS,
 _GROUP = re.compile(r"\(\?P<(\w+)>")
 
 
-def _java(pattern: str) -> tuple[str, list[str]]:
-    """A pattern with numbered groups, white space as the reports have it, and the names of its groups."""
+#: What parts the fields of a rewritten line.
+_PART = "\x01"
+_FIELDS = ("file", "line", "col", "sev", "rule", "msg")
+
+
+def _java(kind: str, pattern: str) -> tuple[str, str]:
+    """A pattern with numbered groups, and the rewriting of a line that it matches as parted fields and its kind."""
     names = _GROUP.findall(pattern)
-    return _GROUP.sub("(", pattern).replace(r"\s*$", r"\s*\z"), names
+    numbered = _GROUP.sub("(", pattern).replace(r"\s*$", r"\s*\z")
+    return numbered, _PART.join([f"${names.index(n) + 1}" if n in names else "" for n in _FIELDS] + [kind])
 
 
 def terse(line: Column | str) -> Column:
-    """The finding of a line on its own as a struct, null without one: the first shape that fits decides."""
+    """The finding of a line on its own as a struct, null without one: the first shape that fits decides.
+
+    A line is matched once to choose its shape and once to take it apart.
+    """
     line = F.regexp_replace(col(line), r"[ \t\r\n\x0B\f]+\z", "")
-    out = None
+    parted = None
     for kind, compiled in TERSE:
-        pattern, names = _java(compiled.pattern)
-        part = lambda n: F.regexp_extract(line, pattern, names.index(n) + 1) if n in names else F.lit("")  # noqa: B023, E731
-        sev = F.lower(part("sev"))
-        sev = F.when(sev == "", "error" if kind == "golangci" else "info").otherwise(sev)
-        rule = part("rule")
-        if kind == "gcc-short":
-            rule = F.when((rule == "") & ~sev.isin("note", "help"), F.concat(F.lit("-W"), sev)).otherwise(rule)
-        number = lambda n: F.coalesce(F.when(part(n) != "", part(n)).cast("int"), F.lit(0))  # noqa: B023, E731
-        found = F.struct(
-            F.lit(kind).alias("kind"), normal_severity(sev).alias("sev"), F.trim(part("file")).alias("file"), number("line").alias("line"), number("col").alias("col"),
-            rule.alias("rule"), F.trim(part("msg")).alias("msg"), F.lit("").alias("help"),
-        )
-        hit = line.rlike(pattern)
-        said = F.when(rule != "", found)
-        out = F.when(hit, said) if out is None else out.when(hit, said)
-    return out
+        pattern, rewritten = _java(kind, compiled.pattern)
+        taken = F.regexp_replace(line, pattern, rewritten)
+        parted = F.when(line.rlike(pattern), taken) if parted is None else parted.when(line.rlike(pattern), taken)
+    return F.transform(F.array(F.split(parted, _PART)), _finding)[0]
+
+
+def _finding(part: Column) -> Column:
+    file, number, column, sev, rule, msg, kind = (part[i] for i in range(len(_FIELDS) + 1))
+    sev = F.when(sev != "", F.lower(sev)).when(kind == "golangci", "error").otherwise("info")
+    rule = F.when((rule == "") & (kind == "gcc-short") & ~sev.isin("note", "help"), F.concat(F.lit("-W"), sev)).otherwise(rule)
+    whole = lambda c: F.coalesce(F.when(c != "", c).cast("int"), F.lit(0))
+    found = F.struct(
+        kind.alias("kind"), normal_severity(sev).alias("sev"), F.trim(file).alias("file"), whole(number).alias("line"), whole(column).alias("col"),
+        rule.alias("rule"), F.trim(msg).alias("msg"), F.lit("").alias("help"),
+    )
+    return F.when(rule != "", found)
 
 
 def lint(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -52,9 +52,9 @@ BUILTIN = (
     Descriptor("har-filter", match=r"\"log\"\s*:\s*\{[\s\S]{0,300}\"version\"[\s\S]*?\"entries\"\s*:\s*\[", distil=distillers.har),
     Descriptor(
         "lint-filter",
-        match=r"(?dm)^(?:[^\n:]+):\d+(?::\d+)?:\s+(?:warning|error|note|info|style|[CWERF]):\s|(?:[^\n:]+):\d+(?::\d+)?:\s+[EWFCBI]\d{2,4}\s"
-        r"|(?:[^\n:]+):\d+(?::\d+)?:\s+[A-Z]+\d{3,4}:\s|(?:[^\n:]+):\s*line\s+\d+,\s*col\s+\d+,\s+(?:warning|error)\s"
-        r"|(?:[^\n:]+):\d+(?::\d+)?:\s+[^\n]+\s\([\w./-]+\)$|(?:[^\n:]+)\(\d+,\d+\):\s+(?:error|warning)\s+TS\d+:\s",
+        match=r"(?dm)^(?:[^\n:]+):\d+(?::\d+)?:\s+(?:warning|error|note|info|style|[CWERF]):\s|[^\n:]:\d+(?::\d+)?:\s+[EWFCBI]\d{2,4}\s"
+        r"|[^\n:]:\d+(?::\d+)?:\s+[A-Z]+\d{3,4}:\s|[^\n:]:\s*line\s+\d+,\s*col\s+\d+,\s+(?:warning|error)\s"
+        r"|[^\n:]:\d+(?::\d+)?:\s+[^\n]+\s\([\w./-]+\)$|[^\n:]\(\d+,\d+\):\s+(?:error|warning)\s+TS\d+:\s",
         commands=("gosec", "staticcheck", "golangci-lint", "shellcheck"), distil=distillers.lint,
     ),
     Descriptor("mhtml-filter", match=r"(?i)Content-Type:\s*multipart/related"),
