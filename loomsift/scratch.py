@@ -18,16 +18,26 @@ def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder; where it is unset, as in local tests, a folder of our own is set."""
     folder = spark.conf.get(_SETTING, None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith(("local[", "local")) or "cluster" in spark.sparkContext.master:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
             raise ValueError(f"{_SETTING} is not set; a cluster needs a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='loomsift-')}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def _own(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/loomsift/{spark.sparkContext.applicationId}"
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete the tables that this application has written; frames that still read them fail after that."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return it as read back."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/loomsift/{name}-{uuid.uuid4().hex}"
+    path = f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
