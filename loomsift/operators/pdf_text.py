@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections import Counter
+from collections.abc import Callable
 from itertools import pairwise
 
 import pandas as pd
@@ -15,25 +15,23 @@ from pyspark.sql.types import StringType
 
 from loomsift.functions.text import PLACEHOLDERS
 from loomsift.operators.furniture import FRACTION, LEAST_PAGES, MOST_BYTES
+from loomsift.operators.pdf_structure import structured
+from loomsift.operators.pdf_tables import end_of, find_tables
 from loomsift.sources.pdf import MOST_PAGES, Document, Span
 
 # Tolerances, and thresholds that tell tables from layout.
-LINE_Y, ROW_Y, LEAST_GAP, GAP_X, LEAST_COLUMNS = 1.0, 2.0, 10.0, 5.0, 3
+LINE_Y, MOST_OCR_PAGES = 1.0, 25
 LONGEST_CELL, LEAST_FILL, LEAST_ROWS, MOST_SINGLE_TOKENS, MOST_SINGLE_NAMES, MOST_TIGHT, GUTTER = 1000, 0.40, 2, 0.30, 0.50, 0.25, 0.25
 LOW_VALUE = "_[no extractable text: OCR needed]_"
 _HEADING = re.compile(r"([1-9]\d*(?:\.\d+){0,3})\.?\s+([A-Z][^.\n]{0,59})", re.A)
 
 
-def _end(s: Span) -> float:
-    return s.end_x if s.end_x > s.x else s.x + len(s.text) * s.font_size * 0.5
-
-
 def line_text(spans: list[Span]) -> str:
     """Spans of one line, spaced as wide as the gaps between them are."""
     out = ""
     for before, s in pairwise([None, *sorted(spans, key=lambda s: s.x)]):
         if before is not None:
-            gap, space = s.x - _end(before), max(s.font_size * 0.25, 2)
+            gap, space = s.x - end_of(before), max(s.font_size * 0.25, 2)
             out += " " * min(10, int(gap / space)) if gap > space else " " if gap > 0.5 else ""
         out += s.text
     return out
@@ -49,60 +47,6 @@ def page_lines(spans: list[Span]) -> list[str]:
     return [line_text(held).rstrip(" ") for _, held in lines]
 
 
-def _grid(spans: list[Span]) -> list[list[Span]]:
-    rows: list[tuple[float, list[Span]]] = []
-    for s in spans:
-        if s.text.strip():
-            near = next((held for y, held in rows if abs(s.y - y) < ROW_Y), None)
-            if near is None:
-                rows.append((s.y, near := []))
-            near.append(s)
-    return [sorted(held, key=lambda s: s.x) for _, held in sorted(rows, key=lambda r: -r[0])]
-
-
-def tables(spans: list[Span], columns: int = LEAST_COLUMNS) -> list[tuple[list[str], list[list[list[Span]]]]]:
-    """(names, rows of cells of spans): runs of rows with wide gaps at the same places."""
-    rows = _grid(spans)
-    clusters: list[tuple[float, set[int]]] = []
-    for r, row in enumerate(rows):
-        for a, b in pairwise(row):
-            if b.x - _end(a) > LEAST_GAP:
-                middle = (_end(a) + b.x) / 2
-                near = next((held for x, held in clusters if abs(middle - x) < GAP_X), None)
-                if near is None:
-                    clusters.append((middle, near := set()))
-                near.add(r)
-    strong = sorted((x, held) for x, held in clusters if len(held) >= max(3, len(rows) // 4))
-    gaps, score = [x for x, _ in strong], Counter(r for _, held in strong for r in held)
-    out, at = [], 0
-    if len(rows) < 2 or len(gaps) < columns - 1:
-        return []
-    while at < len(rows):
-        end = at
-        while end < len(rows) and score[end] >= columns - 1:
-            end += 1
-        if end - at >= 2 and (found := _table(rows[at:end], gaps)):
-            out.append(found)
-        at = max(end, at + 1)
-    return out
-
-
-def _table(rows: list[list[Span]], gaps: list[float]) -> tuple[list[str], list[list[list[Span]]]] | None:
-    heads: list[tuple[int, float, list[str]]] = []
-    for s in rows[0]:
-        segment = bisect_left(gaps, s.x)
-        if not heads or heads[-1][0] != segment:
-            heads.append((segment, s.x, []))
-        heads[-1][2].append(s.text.strip())
-    body = []
-    for row in rows[1:]:
-        cells: list[list[Span]] = [[] for _ in heads]
-        for s in row:
-            cells[min(range(len(heads)), key=lambda i: abs(s.x - heads[i][1]))].append(s)
-        body.append(cells)
-    return ([" ".join(h[2]) for h in heads], body) if len(heads) > 1 and body else None
-
-
 def is_layout(names: list[str], rows: list[list[list[Span]]]) -> bool:
     """Whether a grid is a frame of running text, not a table."""
     texts = [[" ".join(s.text.strip() for s in cell) for cell in row] for row in rows]
@@ -112,7 +56,7 @@ def is_layout(names: list[str], rows: list[list[list[Span]]]) -> bool:
         return True
     if tokens and sum(len(w) == 1 for w in tokens) / len(tokens) > MOST_SINGLE_TOKENS or sum(len(n) <= 1 for n in names) / len(names) > MOST_SINGLE_NAMES:
         return True
-    seams = [(max(map(_end, a)), min(b, key=lambda s: s.x)) for row in rows for a, b in pairwise(row) if a and b]
+    seams = [(max(map(end_of, a)), min(b, key=lambda s: s.x)) for row in rows for a, b in pairwise(row) if a and b]
     if seams and sum(s.x - end < s.font_size * GUTTER for end, s in seams) / len(seams) > MOST_TIGHT:
         return True
     return len(filled) / (len(names) * len(rows)) < LEAST_FILL
@@ -152,8 +96,18 @@ def _body(lines: list[str], gone: set[str]) -> str:
     return "\n".join(out).strip()
 
 
-def pdf_markdown(data: bytes) -> str:
-    """A PDF as Markdown: title, author, outline, pages; empty for files that can't be read."""
+def strip_low_value(markdown: str) -> tuple[str, bool]:
+    """Markdown without the lines of the low-value marker, and whether it was there."""
+    return "\n".join(x for x in markdown.split("\n") if LOW_VALUE not in x), LOW_VALUE in markdown
+
+
+def pdf_markdown(data: bytes, ocr: Callable[[bytes, int], str] | None = None, most_ocr: int = MOST_OCR_PAGES) -> str:
+    """A PDF as Markdown: title, author, outline, tagged structure, pages; empty for files that can't be read.
+
+    With a tagged structure, which holds the prose in reading order, pages give only what it
+    lacks. ``ocr`` is asked for the text of scanned pages, ``most_ocr`` at most; where it fails
+    or there is none, a placeholder stays.
+    """
     doc = Document(data)
     pages = [] if doc.encrypted else doc.pages()
     if not pages:
@@ -163,23 +117,31 @@ def pdf_markdown(data: bytes) -> str:
     parts.append((f"- author: {author}\n" if author and author.lower() not in PLACEHOLDERS else "") + f"- pages: {len(pages)}")
     if outline := doc.outline():
         parts.append("## Outline\n\n" + "\n".join(f"{'  ' * depth}- {title}" for depth, title in outline))
+    tagged = structured(doc)
+    parts += ["## Document structure", tagged.strip()] if tagged else []
     read = [(doc.spans(p), doc.has_images(p)) for p in pages[:MOST_PAGES]]
     lines = [page_lines(spans) for spans, _ in read]
-    gone, any_text = furniture_of(lines), False
+    gone, any_text, asked = furniture_of(lines), bool(tagged), 0
     for number, ((spans, images), held) in enumerate(zip(read, lines), 1):
         whole, block = "\n".join(held), [f"## Page {number}"]
         kind = page_kind(whole, images)
         if kind == "text":
             any_text = True
-            block.append("\n".join(headed(x) for x in (_body(held, gone) or whole.strip()).split("\n")))
-            real = [t for t in tables(spans) if not is_layout(*t)]
-            block += [x for j, t in enumerate(real, 1) for x in (f"### Table {number}.{j}", table_markdown(*t))]
+            block += [] if tagged else ["\n".join(headed(x) for x in (_body(held, gone) or whole.strip()).split("\n"))]
+            real = [t for t in find_tables(spans) if not is_layout(t.names, t.rows)]
+            block += [x for j, t in enumerate(real, 1) for x in (f"### Table {number}.{j}", table_markdown(t.names, t.rows))]
             block += [f"_[images on page {number}]_"] if images else []
         elif kind == "chart":
             block += [f"_[chart on page {number}]_"] + ([f"```\n{whole.strip()}\n```"] if whole.strip() else [])
         else:
-            block.append(f"_[scanned page {number}]_" if kind == "scanned" else "_[blank page]_")
-        parts.append("\n\n".join(block))
+            said = ""
+            if kind == "scanned" and ocr and asked < most_ocr:
+                asked += 1
+                said = _asked(ocr, data, number)
+            any_text = any_text or bool(said)
+            block.append(said or (f"_[scanned page {number}]_" if kind == "scanned" else "_[blank page]_"))
+        if len(block) > 1 or not tagged:
+            parts.append("\n\n".join(block))
     if len(pages) > MOST_PAGES:
         parts.append(f"_[document truncated: {MOST_PAGES} of {len(pages)} pages rendered]_")
     if not any_text:
@@ -187,6 +149,13 @@ def pdf_markdown(data: bytes) -> str:
     return "\n\n".join(parts) + "\n"
 
 
+def _asked(ocr: Callable[[bytes, int], str], data: bytes, number: int) -> str:
+    try:
+        return (ocr(data, number) or "").strip()
+    except Exception:  # whatever a backend does, the placeholder is there
+        return ""
+
+
 @pandas_udf(StringType())
 def pdf_to_markdown(files: pd.Series) -> pd.Series:
     """Markdown of PDF files in binary; null for files that can't be read or are encrypted."""

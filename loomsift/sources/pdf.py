@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 
 MOST_PAGES, MOST_DEPTH, MOST_OUTLINE, MOST_FORMS = 200, 64, 5000, 10
 MOST_STREAM = 256 << 20
+SCAN_COVER, SCAN_LETTERS = 0.90, 16
 
 _TOKEN = re.compile(
     rb"%[^\r\n]*|(?P<hex><(?!<)[^>]*>)|(?P<str>\()|(?P<name>/[^\x00\t\n\x0c\r ()<>\[\]{}/%]*)|(?P<num>[+-]?(?:\d+\.?\d*|\.\d+))(?=[\x00\t\n\x0c\r ()<>\[\]{}/%]|$)"
@@ -365,7 +366,7 @@ class Document:
         return "Encrypt" in self.trailer
 
     def pages(self) -> list[dict]:
-        """Pages with what they inherit."""
+        """Pages with what they inherit; ``#`` is a page's object number."""
         out, seen = [], set()
 
         def walk(node, held: dict, depth: int) -> None:
@@ -379,7 +380,7 @@ class Document:
                 for kid in self.list(page["Kids"]):
                     walk(kid, held, depth + 1)
             elif page:
-                out.append({**held, **page})
+                out.append({**held, **page, "#": node.number if isinstance(node, Ref) else -1})
 
         walk(self.root.get("Pages"), {}, 0)
         return out
@@ -451,6 +452,27 @@ class Document:
         font.texts |= _cmap(self.bytes(spec.get("ToUnicode")))
         return font
 
+    def placements(self, page: dict) -> list[tuple[float, float, float, float]]:
+        """Boxes (left, bottom, right, top) of the images that a page paints."""
+        out: list = []
+        self._show(self.content(page), self.dict(page.get("Resources")), _UNIT, [], 0, out)
+        return out
+
+    def box(self, page: dict) -> tuple[float, float, float, float]:
+        box = [v for v in map(self.get, self.list(page.get("MediaBox"))) if isinstance(v, (int, float))]
+        return (min(box[0], box[2]), min(box[1], box[3]), max(box[0], box[2]), max(box[1], box[3])) if len(box) == 4 else (0, 0, 612, 792)
+
+    def is_scan(self, page: dict) -> bool:
+        """Whether exactly one image covers nearly the whole page and hardly any text is on it."""
+        left, bottom, right, top = self.box(page)
+
+        def covers(b: tuple) -> bool:
+            w, h = min(b[2], right) - max(b[0], left), min(b[3], top) - max(b[1], bottom)
+            return w > 0 and h > 0 and w * h >= SCAN_COVER * (right - left) * (top - bottom)
+
+        letters = sum(len("".join(s.text.split())) for s in self.spans(page))
+        return letters < SCAN_LETTERS and sum(map(covers, self.placements(page))) == 1
+
     def spans(self, page: dict) -> list[Span]:
         """Shown texts in the order of the page's content, rotated as the page is."""
         out: list[Span] = []
@@ -464,7 +486,7 @@ class Document:
                 s.end_x = s.x + size
         return out
 
-    def _show(self, data: bytes, resources: dict, base: tuple, out: list[Span], depth: int) -> None:
+    def _show(self, data: bytes, resources: dict, base: tuple, out: list[Span], depth: int, images: list | None = None) -> None:
         fonts, known = self.dict(resources.get("Font")), {}
         reader = _Reader(data)
         tokens, args = reader.tokens(), []
@@ -537,10 +559,13 @@ class Document:
                 marked.pop()
             elif op == "Do" and args and depth < MOST_FORMS:
                 form = self.get(self.dict(resources.get("XObject")).get(args[-1]) if isinstance(args[-1], Name) else None)
+                if images is not None and isinstance(form, Stream) and form.head.get("Subtype") == "Image":
+                    corners = [_times((1, 0, 0, 1, x, y), matrix)[4:] for x in (0, 1) for y in (0, 1)]
+                    images.append((min(c[0] for c in corners), min(c[1] for c in corners), max(c[0] for c in corners), max(c[1] for c in corners)))
                 if isinstance(form, Stream) and form.head.get("Subtype") == "Form":
                     own = [self.get(v) for v in self.list(form.head.get("Matrix"))]
                     inner = _times(tuple(own), matrix) if len(own) == 6 else matrix
-                    self._show(self.bytes(form), self.dict(form.head.get("Resources")) or resources, inner, out, depth + 1)
+                    self._show(self.bytes(form), self.dict(form.head.get("Resources")) or resources, inner, out, depth + 1, images)
             elif op == "ID":  # an inline image's data
                 end = re.compile(rb"\sEI(?=\s|$)").search(data, reader.at)
                 reader.at = end.end() if end else len(data)
