@@ -13,10 +13,11 @@ ratios that were not themselves fitted on the same documents, the learning rows
 each half is scored by models of the other half.
 
 What is broadcast has a bound: the class counts come from LABELLED labelled rows at most, chosen by a
-hash of the doc_id (a documented sample, its size a parameter), and of all letter sequences
-of any table the GRAMS most frequent are kept. Letter sequences have ORDER letters at most, so
-their number grows far slower than the corpus. Counts are summed with map-side combine; texts
-are never shuffled.
+hash of the doc_id (a documented sample, its size a parameter), and of a model's letter
+sequences the GRAMS most frequent are broadcast, as Arrow tables. The counts themselves and
+both models are computed as tables; sequences have ORDER letters at most, so their number
+grows far slower than the corpus. Counts are summed with map-side combine; texts are never
+shuffled.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,14 +38,15 @@ from loomsift.scratch import materialise
 #: Letters of a sequence: the last one is predicted from the others.
 ORDER = 7
 #: Labelled rows that class counts and the mapping are fitted on, at most.
-LABELLED = 40_000
-#: Letter sequences kept of each class and of the shared model, at most.
-GRAMS = 600_000
+LABELLED = 20_000
+#: Letter sequences, and contexts, of a model that is broadcast, at most.
+GRAMS = 300_000
 DISCOUNT = 0.75
 THRESHOLD = 0.7
-#: Words whose ratios a worker keeps, and longest word that it keeps.
-CACHE_WORDS = 500_000
-CACHE_LETTERS = 64
+#: Words that a worker keeps, with their ratios or as told.
+CACHE_WORDS = 400_000
+#: Letters of a word; longer runs are read as words of so many letters.
+WORD_LETTERS = 64
 ALPHABET = 256
 FEATURES = 6
 
@@ -53,15 +54,14 @@ _START, _STOP = "^", "$"
 #: ASCII bytes other than letters part words.
 _LETTERS = bytes(c if chr(c).isalpha() or c > 127 else 0x20 for c in range(256))
 
-#: Letter sequences of ordinary (0) and toxic (1) text, and the shared continuation counts.
-Counts = tuple[dict[str, int], dict[str, int], dict[str, int]]
-#: The ratio of each letter sequence that a class has seen, and that of any other letter after a context seen.
-Ratios = tuple[dict[str, float], dict[str, float]]
-
 
 def words(text: str | None) -> list[bytes]:
     """Runs of ASCII letters and characters above ASCII in lower case, in UTF-8."""
-    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_LETTERS).split()
+    found = (text or "").lower().encode("utf-8", "replace").translate(_LETTERS).split()
+    if max(map(len, found), default=0) > WORD_LETTERS:
+        runs = (w.decode("utf-8", "replace") for w in found)
+        found = [r[i : i + WORD_LETTERS].encode() for r in runs for i in range(0, len(r), WORD_LETTERS)]
+    return found
 
 
 def sequences(word: bytes, order: int = ORDER) -> list[str]:
@@ -70,62 +70,79 @@ def sequences(word: bytes, order: int = ORDER) -> list[str]:
     return [s[max(0, i - order + 1) : i + 1] for i in range(1, len(s))]
 
 
-def ratios(ordinary: dict[str, int], toxic: dict[str, int], shared: dict[str, int]) -> Ratios:
-    """Log-likelihood ratios of letters between the two classes' models, both backing off to the shared one.
+def sequence_rows(counted: DataFrame, order: int = ORDER) -> DataFrame:
+    """(kind, s, n) from (kind, word, n): the same sequences as rows, with the counts of their words."""
+    rows = counted.select("kind", "n", F.concat(F.lit(_START), "word", F.lit(_STOP)).alias("w"))
+    rows = rows.select("kind", "n", "w", F.explode(F.sequence(F.lit(2), F.char_length("w"))).alias("i"))
+    cut = F.substring(F.col("w"), F.greatest(F.col("i") - (order - 1), F.lit(1)), F.least(F.col("i"), F.lit(order)))
+    return rows.select("kind", cut.alias("s"), "n").groupBy("kind", "s").agg(F.sum("n").alias("n"))
 
-    A letter that neither class has seen after a context has the same back-off in both, which
-    cancels out: what is left are the shares that the classes set aside after that context.
-    """
 
-    def totals(counts: dict[str, int]) -> tuple[dict[str, int], dict[str, int]]:
-        total: dict[str, int] = {}
-        types: dict[str, int] = {}
-        for s, n in counts.items():
-            total[s[:-1]] = total.get(s[:-1], 0) + n
-            types[s[:-1]] = types.get(s[:-1], 0) + 1
-        return total, types
-
-    whole, kinds = totals(shared)
-    known: dict[str, float] = {}
-
-    def backoff(s: str) -> float:
-        """Shared probability of the last letter of ``s`` after the others."""
-        p = known.get(s)
-        if p is None:
-            p = backoff(s[1:]) if len(s) > 1 else 1 / ALPHABET
-            if n := whole.get(s[:-1], 0):
-                p = (max(shared.get(s, 0) - DISCOUNT, 0) + DISCOUNT * kinds[s[:-1]] * p) / n
-            known[s] = p
-        return p
-
-    classes = [(counts, *totals(counts)) for counts in (ordinary, toxic)]
-    after = {}
-    for h in {**classes[0][1], **classes[1][1]}:
-        left = [DISCOUNT * types[h] / total[h] if h in total else 1.0 for _, total, types in classes]
-        after[h] = math.log(left[1] / left[0])
-    seen = {}
-    for s in {**ordinary, **toxic}:
-        h, base = s[:-1], backoff(s[1:])
-        p = [(max(counts.get(s, 0) - DISCOUNT, 0) + DISCOUNT * types[h] * base) / total[h] if h in total else base for counts, total, types in classes]
-        seen[s] = math.log(p[1] / p[0])
+def shared_model(sequences_seen: DataFrame, order: int = ORDER) -> DataFrame:
+    """(s, p): the shared Kneser-Ney probability of the last letter of ``s`` after the others, for shorter and shorter ends.
+
+    The count of a sequence is the number of longer sequences that end with it, among the
+    distinct ones of all documents; each level backs off to the next shorter one.
+    """
+    level, counted = sequences_seen, {}
+    for size in range(order, 1, -1):
+        ends = level.where(F.char_length("s") == size).groupBy(F.expr("substring(s, 2)").alias("s")).agg(F.count("*").alias("n"))
+        counted[size - 1] = materialise(ends, "ends")
+        level = level.where(F.char_length("s") < size).union(counted[size - 1].select("s")).distinct()
+    model = None
+    for size in range(1, order):
+        rows = counted[size].withColumn("h", F.expr(f"substring(s, 1, {size - 1})"))
+        rows = rows.join(rows.groupBy("h").agg(F.sum("n").alias("total"), F.count("*").alias("types")), "h")
+        if model is None:
+            rows = rows.withColumn("lower", F.lit(1 / ALPHABET))
+        else:
+            rows = rows.join(model.where(F.char_length("s") == size - 1).select(F.col("s").alias("end"), F.col("p").alias("lower")), F.expr("substring(s, 2)") == F.col("end"))
+        p = (F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("types") * F.col("lower")) / F.col("total")
+        rows = materialise(rows.select("s", p.alias("p")), "shared")
+        model = rows if model is None else model.unionByName(rows)
+    return model
+
+
+def ratios(counts: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From (model, s, ordinary, toxic): (model, s, n, r) of the sequences seen, and (model, h, n, r) of any other letter after a context.
+
+    r is the log-likelihood ratio of the last letter between the two classes' models, which both
+    back off to the shared one. A letter that neither class has seen after a context has the
+    same back-off in both, which cancels out: what is left are the shares that the classes set
+    aside after that context.
+    """
+    names = ("ordinary", "toxic")
+    rows = counts.withColumn("h", F.expr("substring(s, 1, char_length(s) - 1)"))
+    contexts = rows.groupBy("model", "h").agg(
+        *[F.sum(c).alias(f"{c}_total") for c in names], *[F.count_if(F.col(c) > 0).alias(f"{c}_types") for c in names]
+    )
+    aside = [F.when(F.col(f"{c}_total") > 0, DISCOUNT * F.col(f"{c}_types") / F.col(f"{c}_total")).otherwise(1.0) for c in names]
+    after = contexts.select("model", "h", (F.col("ordinary_total") + F.col("toxic_total")).alias("n"), F.log(aside[1] / aside[0]).alias("r"))
+    rows = rows.join(contexts, ["model", "h"]).join(shared.select(F.col("s").alias("end"), "p"), F.expr("substring(s, 2)") == F.col("end"))
+    of = [
+        F.when(F.col(f"{c}_total") > 0, (F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"{c}_types") * F.col("p")) / F.col(f"{c}_total")).otherwise(F.col("p"))
+        for c in names
+    ]
+    seen = rows.select("model", "s", (F.col("ordinary") + F.col("toxic")).alias("n"), F.log(of[1] / of[0]).alias("r"))
     return seen, after
 
 
 class Model(dict):
-    """Log-likelihood ratios by word."""
+    """Log-likelihood ratios by word, from Arrow tables of sequences (s, r) and contexts (h, r)."""
 
-    def __init__(self, seen: dict[str, float], after: dict[str, float], order: int = ORDER):
-        self.seen, self.after, self.order = seen, after, order
+    def __init__(self, seen: pa.Table, after: pa.Table, order: int = ORDER):
+        self.seen = dict(zip(seen["s"].to_pylist(), seen["r"].to_pylist()))
+        self.after = dict(zip(after["h"].to_pylist(), after["r"].to_pylist()))
+        self.order = order
 
     def __missing__(self, word: bytes) -> float:
         ratio, seen, after = 0.0, self.seen.get, self.after.get
         for s in sequences(word, self.order):
             x = seen(s)
             ratio += after(s[:-1], 0.0) if x is None else x
-        if len(word) <= CACHE_LETTERS:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = ratio
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        self[word] = ratio
         return ratio
 
     def features(self, text: str | None) -> list[float]:
@@ -178,12 +195,16 @@ def _half(doc_id: int) -> int:
     return zlib.crc32(b"half" + str(doc_id).encode()) % 2
 
 
-_COUNTS = "kind int, s string, n long"
-#: The kind of row that tells of a sequence in any document; below it: twice the half and the label.
+_COUNTS = "kind int, word string, n long"
+#: The kind of row that tells of a word in any document; below it: twice the half and the label.
 _SHARED = 4
 
 
-def _count(order: int, sampled):
+def _count(sampled):
+    def rows(kind: int, found: list[bytes], counts: list[int]) -> pa.RecordBatch:
+        columns = [pa.array(np.full(len(found), kind, np.int32)), pa.array(found, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["kind", "word", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[bytes] = set()
         for batch in batches:
@@ -194,82 +215,84 @@ def _count(order: int, sampled):
                 new.update(found)
                 if (label := sampled.value.get(doc_id)) is not None:
                     by.setdefault(2 * _half(doc_id) + label, Counter()).update(found)
-            kinds, texts, counts = [], [], []
             new -= told
             if len(told) < CACHE_WORDS:  # a word that is told again is counted once later
                 told |= new
-            every = set()
-            for word in new:
-                every.update(sequences(word, order))
-            for kind, of in [(k, _sequence_counts(c, order)) for k, c in by.items()] + [(_SHARED, dict.fromkeys(every, 1))]:
-                kinds += [kind] * len(of)
-                texts += of.keys()
-                counts += of.values()
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(texts, pa.string()), pa.array(counts, pa.int64())], names=["kind", "s", "n"])
+            for kind, counted in by.items():
+                yield rows(kind, list(counted), list(counted.values()))
+            yield rows(_SHARED, list(new), [1] * len(new))
 
     return count
 
 
-def _sequence_counts(counted: Counter, order: int) -> dict[str, int]:
-    of: dict[str, int] = {}
-    for word, n in counted.items():
-        for s in sequences(word, order):
-            of[s] = of.get(s, 0) + n
-    return of
+class Prepared:
+    """Models that travel as tables and are built once in a worker that needs them."""
 
+    def __init__(self, tables: list[tuple[pa.Table, pa.Table]], order: int):
+        self.tables, self.order = tables, order
 
-def _most(table: DataFrame, grams: int) -> dict[str, int]:
-    """The ``grams`` most frequent sequences at most."""
-    found = table.select("s", "n").sort(F.desc("n"), "s").limit(grams).toArrow()
-    return dict(zip(found["s"].to_pylist(), found["n"].to_pylist()))
+    def __getstate__(self) -> dict:
+        return {"tables": self.tables, "order": self.order}
 
+    def models(self) -> list[Model]:
+        if "built" not in self.__dict__:
+            self.built = [Model(*t, self.order) for t in self.tables]
+        return self.built
 
-def learn(docs: DataFrame, sampled, order: int = ORDER, grams: int = GRAMS) -> tuple[Ratios, list[Ratios]]:
-    """The ratios of the whole model and of the two halves'. ``sampled`` is the broadcast sample of labels."""
-    rows = docs.select("doc_id", "text").mapInArrow(_count(order, sampled), _COUNTS)
-    counts = materialise(rows.groupBy("kind", "s").agg(F.sum("n").alias("n")), "grams")
-    # continuation counts: of how many longer sequences is this one the end? Each level is the distinct ends of the one before.
-    level, parts = counts.where(F.col("kind") == _SHARED).select("s"), []
-    for size in range(order, 1, -1):
-        ends = level.where(F.char_length("s") == size).groupBy(F.expr("substring(s, 2)").alias("s")).agg(F.count("*").alias("n"))
-        ends = materialise(ends, "ends")
-        parts.append(ends)
-        level = level.where(F.char_length("s") < size).union(ends.select("s")).distinct()
-    shared = _most(reduce(DataFrame.unionByName, parts).groupBy("s").agg(F.sum("n").alias("n")), grams)
-    of = [_most(counts.where(F.col("kind") == kind), grams) for kind in range(_SHARED)]
-    whole: list[dict[str, int]] = [{}, {}]
-    for kind, own in enumerate(of):
-        for s, n in own.items():
-            whole[kind % 2][s] = whole[kind % 2].get(s, 0) + n
-    return ratios(whole[0], whole[1], shared), [ratios(of[0], of[1], shared), ratios(of[2], of[3], shared)]
-
-
-def model(docs: DataFrame, labels: DataFrame, most: int = LABELLED, order: int = ORDER, grams: int = GRAMS) -> tuple[Ratios, tuple]:
-    """The whole model's ratios, and the mapping from features to scores."""
+
+def _frequent(table: DataFrame, most: int) -> pa.Table:
+    """The rows of the highest counts, as many whole classes of counts as make ``most`` rows at most."""
+    grade = F.floor(F.log2("n") * 8).cast("int")
+    least, rows = None, 0
+    for r in sorted(table.groupBy(grade.alias("grade")).count().collect(), reverse=True):  # a few hundred grades
+        rows += r["count"]
+        if rows > most:
+            break
+        least = r.grade
+    return table.where(F.lit(False) if least is None else grade >= least).drop("model", "n").toArrow()
+
+
+def learn(docs: DataFrame, sampled, order: int = ORDER, grams: int = GRAMS) -> list[tuple[pa.Table, pa.Table]]:
+    """Sequences and contexts of the models of both halves and of the whole. ``sampled`` is the broadcast sample of labels."""
+    rows = docs.select("doc_id", "text").mapInArrow(_count(sampled), _COUNTS)
+    counted = materialise(rows.groupBy("kind", "word").agg(F.sum("n").alias("n")), "words")
+    counts = materialise(sequence_rows(counted, order), "sequences")
+    shared = shared_model(counts.where(F.col("kind") == _SHARED).select("s"), order)
+    models = F.explode(F.array(F.floor(F.col("kind") / 2).cast("int"), F.lit(2)))
+    toxic = F.col("kind") % 2 == 1
+    by_class = counts.where(F.col("kind") < _SHARED).select(models.alias("model"), "kind", "s", "n").groupBy("model", "s").agg(
+        F.sum(F.when(toxic, 0).otherwise(F.col("n"))).alias("ordinary"), F.sum(F.when(toxic, F.col("n")).otherwise(0)).alias("toxic")
+    )
+    seen, after = (materialise(x, "ratios") for x in ratios(materialise(by_class, "classes"), shared))
+    return [tuple(_frequent(x.where(F.col("model") == m), grams) for x in (seen, after)) for m in range(3)]
+
+
+def model(docs: DataFrame, labels: DataFrame, most: int = LABELLED, order: int = ORDER, grams: int = GRAMS) -> tuple[tuple[pa.Table, pa.Table], tuple]:
+    """The whole model's sequences and contexts, and the mapping from features to scores."""
     spark = docs.sparkSession
     sample = _sample(labels, most)
-    whole, halves = learn(docs, spark.sparkContext.broadcast(sample), order, grams)
-    parts = spark.sparkContext.broadcast(halves)
+    *halves, whole = learn(docs, spark.sparkContext.broadcast(sample), order, grams)
+    parts = spark.sparkContext.broadcast(Prepared(halves, order))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = [Model(*x, order) for x in parts.value]
+        models = parts.value.models()
         for batch in batches:
             x = [models[1 - _half(i)].features(text) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
 
     listed = F.broadcast(spark.createDataFrame(list(sample.items()), "doc_id long, y int"))  # ``most`` rows at most
     rows = docs.select("doc_id", "text").join(listed, "doc_id").mapInArrow(describe, "y int, x array<double>").toArrow()
-    x = np.array(rows["x"].to_pylist(), dtype=np.float64).reshape(-1, FEATURES)
-    return whole, fit(x, np.array(rows["y"].to_pylist(), dtype=np.float64))
+    x = rows["x"].combine_chunks().flatten().to_numpy().reshape(-1, FEATURES) if rows.num_rows else np.zeros((0, FEATURES))
+    return whole, fit(x, rows["y"].to_numpy().astype(np.float64))
 
 
 def with_scores(docs: DataFrame, labels: DataFrame, most: int = LABELLED, order: int = ORDER, grams: int = GRAMS, column: str = "__score") -> DataFrame:
     """``docs`` with a column of scores behind the others."""
     whole, (mean, scale, weights) = model(docs, labels, most, order, grams)
-    shared, names = docs.sparkSession.sparkContext.broadcast(whole), [*docs.columns, column]
+    shared, names = docs.sparkSession.sparkContext.broadcast(Prepared([whole], order)), [*docs.columns, column]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Model(*shared.value, order)
+        of = shared.value.models()[0]
         for batch in batches:
             x = np.array([of.features(t) for t in batch.column("text").to_pylist()], dtype=np.float64).reshape(-1, FEATURES)
             scores = 1 / (1 + np.exp(-np.clip(np.c_[(x - mean) / scale, np.ones(len(x))] @ weights, -30, 30)))
