@@ -24,9 +24,12 @@ LEAST_TOKENS = 5
 #: Documents in which a template recurs.
 RECURS = 2
 
-_SPACE = r"[ \t\x0B\f\r]+"
 _EDGE = r"^[ \t\x0B\f\r]+|[ \t\x0B\f\r]+$"
-_VARIABLE = r"[^ \t\x0B\f\r]*[0-9@][^ \t\x0B\f\r]*"
+#: Without these a text's lines are parted by single spaces only.
+_UNEVEN = ("\t", "\x0b", "\f", "\r", "  ", " \n", "\n ")
+_SPACE = r"[ \t\x0B\f\r]+"
+#: A token with a digit or an at sign, read once from its start.
+_VARIABLE = r"(?<![^ ])[^ 0-9@]*+[0-9@][^ ]*+"
 _NO_ID = -(1 << 63)
 
 
@@ -41,12 +44,19 @@ def templates(docs: DataFrame) -> DataFrame:
     independent hashes of the generalised line, 128 bits together.
     """
     text = F.coalesce("text", F.lit(""))
-    lines = docs.select(_id().alias("id"), F.xxhash64(text).alias("digest"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    masked = F.regexp_replace(F.regexp_replace(F.col("line"), _EDGE, ""), _VARIABLE, "<*>")
-    lines = lines.select("id", "digest", "line_no", F.split(masked, _SPACE).alias("t")).where(F.size("t") >= LEAST_TOKENS)
-    lines = lines.where(F.size(F.array_remove("t", "<*>")) > 0)
-    rest = F.array_join("t", " ")
-    return lines.select("id", "digest", "line_no", F.size("t").alias("tokens"), F.array_join(F.slice("t", 1, DEPTH), " ").alias("lead"), F.xxhash64(rest).alias("leaf"), F.xxhash64(F.lit("salt"), rest).alias("salted"))
+    uneven = text.startswith(" ") | text.endswith(" ")
+    for mark in _UNEVEN:
+        uneven = uneven | text.contains(mark)
+    parts = F.split(text, "\n")
+    even = F.when(uneven, F.transform(parts, lambda x: F.regexp_replace(F.regexp_replace(x, _EDGE, ""), _SPACE, " "))).otherwise(parts)
+    masked = F.transform(even, lambda x: F.when(x.rlike("[0-9@]"), F.regexp_replace(x, _VARIABLE, "<*>")).otherwise(x))
+    # masked before they are rows: filters on rows don't repeat the patterns
+    lines = docs.select(_id().alias("id"), F.xxhash64(text).alias("digest"), F.posexplode(masked).alias("line_no", "line"))
+    tokens = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    lines = lines.select("id", "digest", "line_no", "line", tokens.alias("tokens")).where(F.col("tokens") >= LEAST_TOKENS)
+    lines = lines.where(F.replace(F.replace("line", F.lit("<*>"), F.lit("")), F.lit(" "), F.lit("")) != "")
+    lead = F.xxhash64(F.substring_index("line", " ", DEPTH))
+    return lines.select("id", "digest", "line_no", "tokens", lead.alias("lead"), F.xxhash64("line").alias("leaf"), F.xxhash64(F.lit("salt"), "line").alias("salted"))
 
 
 def drop_recurring(docs: DataFrame) -> DataFrame:
@@ -59,7 +69,7 @@ def drop_recurring(docs: DataFrame) -> DataFrame:
     rows; other columns are not read.
     """
     path = ["tokens", "lead", "leaf", "salted"]
-    lines = templates(docs).withColumn("lead", F.xxhash64("lead"))
+    lines = materialise(templates(docs), "lines")
     recurring = lines.groupBy(*path).agg(F.min("id").alias("first"), F.max("id").alias("last")).where(F.col("first") < F.col("last")).drop("last")
     recurring = materialise(recurring, "recurring")
     dropped = lines.join(recurring, path).where(F.col("id") > F.col("first"))
