@@ -45,7 +45,7 @@ def ratios(facts: DataFrame) -> DataFrame:
 
 def durations(facts: DataFrame) -> DataFrame:
     return facts.groupBy("processor", "kind").agg(
-        F.count("*").alias("n"), F.percentile_approx("duration_ms", 0.5, 1000).alias("p50_ms"), F.percentile_approx("duration_ms", 0.95, 1000).alias("p95_ms"), F.max("duration_ms").alias("max_ms")
+        F.count("*").alias("n"), F.percentile_approx("duration_ms", 0.5, 10_000).alias("p50_ms"), F.percentile_approx("duration_ms", 0.95, 10_000).alias("p95_ms"), F.max("duration_ms").alias("max_ms")
     )
 
 
