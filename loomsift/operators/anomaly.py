@@ -68,45 +68,50 @@ def mean_nearest(vectors: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def _distances(x: list, y: list) -> np.ndarray:
+    """Euclidean distances over the dimensions that both vectors of a pair have."""
+    sizes = {len(v) for v in x} | {len(v) for v in y}
+    if len(sizes) > 1:
+        return np.array([[np.linalg.norm(np.subtract(a[: min(len(a), len(b))], b[: min(len(a), len(b))])) for b in y] for a in x])
+    a, b = (np.array(v, dtype=np.float64) for v in (x, y))
+    return np.sqrt(np.maximum((a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None, :] - 2 * a @ b.T, 0))
+
+
 def knn_scores(vectors: DataFrame, k: int = NEIGHBOURS, key: str = "vec_id", vector: str = "embedding", group: str | None = None) -> DataFrame:
-    """(group, key, score): mean distance to the k nearest other vectors of the group.
+    """(group, key, score): mean distance to the k nearest other vectors of the group, or of all without one.
 
-    Without a group all vectors are compared, in pairs of blocks that are dealt to tasks; the k
-    smallest distances of each block are merged by vector, so no task holds more than two blocks.
+    A group's vectors are compared in pairs of blocks that are dealt to tasks; the k smallest
+    distances of each pair of blocks are merged by vector. So no task holds more than two
+    blocks, and a group of any size is spread over as many tasks as it has pairs.
     """
     names = [x for x in (group, key) if x]
-    if group:
-        types = dict(vectors.dtypes)
-        schema = ", ".join(f"`{n}` {types[n]}" for n in names) + ", score double"
-
-        def score(pdf: pd.DataFrame) -> pd.DataFrame:
-            dims = min(map(len, pdf[vector]))
-            return pdf[names].assign(score=mean_nearest(np.array([v[:dims] for v in pdf[vector]], dtype=np.float64), k))
-
-        return vectors.select(*names, vector).groupBy(group).applyInPandas(score, schema)
-    n_blocks = max(1, -(-vectors.count() // BLOCK))
-    every = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    rows = vectors.select(key, vector, F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int").alias("b"))
-    left, right = rows.withColumnRenamed("b", "l").withColumn("r", every), rows.withColumnRenamed("b", "r").withColumn("l", every)
+    types = dict(vectors.dtypes)
+    rows = vectors.select(*names, vector, F.col(group).alias("__g") if group else F.lit(0).alias("__g"))
+    rows = rows.join(rows.groupBy("__g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("__blocks")), "__g")
+    rows = rows.withColumn("__b", F.pmod(F.xxhash64(key), F.col("__blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))
+    own = lambda: [F.col(c).alias(c) for c in dict.fromkeys([*names, vector, "__g"])]  # noqa: E731  new columns on either side
+    left = rows.select(*own(), F.col("__b").alias("__l"), every.alias("__r"))
+    right = rows.select(*own(), F.col("__b").alias("__r"), every.alias("__l"))
+    schema = ", ".join(f"`{n}` {types[n]}" for n in names) + ", d double"
 
     def pair(a: pa.Table, b: pa.Table) -> pa.Table:
-        ids, out = [], []
+        at: list[int] = []
+        found: list[float] = []
         if a.num_rows and b.num_rows:
-            x, y = (np.array(t[vector].to_pylist(), dtype=np.float64) for t in (a, b))
-            own, other = np.array(a[key].to_pylist()), np.array(b[key].to_pylist())
-            d = (x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None, :] - 2 * x @ y.T
-            d[own[:, None] == other[None, :]] = np.inf
-            near = np.argsort(d, axis=1, kind="stable")[:, :k]
-            for i, js in enumerate(near):
+            x, y = a[vector].to_pylist(), b[vector].to_pylist()
+            d = _distances(x, y)
+            d[np.array(a[key].to_pylist())[:, None] == np.array(b[key].to_pylist())[None, :]] = np.inf
+            for i, js in enumerate(np.argpartition(d, min(k, len(y)) - 1, axis=1)[:, :k]):
                 js = js[np.isfinite(d[i, js])]
-                ids += [own[i].item()] * len(js)
-                out += np.sqrt(((y[js] - x[i]) ** 2).sum(axis=1)).tolist()
-        return pa.table({key: pa.array(ids, pa.int64()), "d": pa.array(out, pa.float64())})
-
-    near = left.groupBy("l", "r").cogroup(right.groupBy("l", "r")).applyInArrow(pair, f"`{key}` long, d double")
-    ranked = near.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("d"))).where(F.col("n") <= k)
-    scores = ranked.groupBy(key).agg(F.avg("d").alias("score"))
-    return vectors.select(key).join(scores, key, "left").select(key, F.coalesce("score", F.lit(0.0)).alias("score"))
+                at += [i] * len(js)
+                found += [float(np.linalg.norm(np.subtract(x[i][: len(y[j])], y[j][: len(x[i])]))) for j in js]  # without the product's rounding
+        return pa.table({**{n: a[n].take(pa.array(at, pa.int64())) for n in names}, "d": pa.array(found, pa.float64())})
+
+    near = left.groupBy("__g", "__l", "__r").cogroup(right.groupBy("__g", "__l", "__r")).applyInArrow(pair, schema)
+    ranked = near.withColumn("n", F.row_number().over(Window.partitionBy(*names).orderBy("d"))).where(F.col("n") <= k)
+    scores = ranked.groupBy(*names).agg(F.avg("d").alias("score"))
+    return vectors.select(*names).join(scores, names, "left").select(*names, F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def top_percent(scored: DataFrame, percent: float = PERCENT, key: str | None = "doc_id", order: str = "start") -> DataFrame:

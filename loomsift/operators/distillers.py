@@ -327,9 +327,6 @@ def _trace(block: list[str]) -> list[str]:
 
 # findings of linters
 
-FINDING = "kind string, sev string, file string, line int, col int, rule string, msg string, help string"
-
-
 def finding(line: str) -> dict | None:
     """The finding that a line reports on its own."""
     line = line.rstrip(" \t\r\n\v\f")
@@ -426,7 +423,6 @@ def lint(text: str) -> str:
 
 # tables of vulnerabilities
 
-VULN = "lib string, vuln string, sev string, status string, installed string, fixed string, title string"
 _COLUMNS = (("library", "lib"), ("vulnerability", "vuln"), ("severity", "sev"), ("status", "status"), ("installed", "installed"), ("fixed", "fixed"), ("title", "title"))
 
 

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from loomsift.functions.common import col
 from loomsift.functions.text import lookup, normal_severity, severity_letter, severity_rank
-from loomsift.operators.distillers import FINDING, TERSE, VULN_ID, VULN_LETTERS, VULN_RANK, lint_findings, vulnerabilities
+from loomsift.operators.distillers import TERSE, VULN_ID, VULN_LETTERS, VULN_RANK, lint_findings, vulnerabilities
 
 _GROUP = re.compile(r"\(\?P<(\w+)>")
 
@@ -52,9 +55,19 @@ def _finding(part: Column) -> Column:
     return F.when(rule != "", found)
 
 
+def _listed(find: Callable[[str], list[dict]], names: tuple[str, ...]) -> Callable:
+    """Findings of whole texts as an array column, in Arrow batches."""
+    kind = StructType([StructField(n, IntegerType() if n in ("line", "col") else StringType()) for n in names])
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: find(t or ""))
+
+    return F.pandas_udf(run, ArrayType(kind))
+
+
 def lint(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ord, kind, sev, file, line, col, rule, msg, help): findings of whole reports, of any shape."""
-    made = F.udf(lambda t: [tuple(f.values()) for f in lint_findings(t or "")], f"array<struct<{FINDING.replace(' string', ': string').replace(' int', ': int')}>>")
+    made = _listed(lint_findings, ("kind", "sev", "file", "line", "col", "rule", "msg", "help"))
     return docs.select(key, F.posexplode(made(text)).alias("ord", "f")).select(key, "ord", "f.*")
 
 
@@ -79,8 +92,7 @@ def lint_report(found: DataFrame, key: str = "doc_id", order: str = "ord", most:
 
 def vulns(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ord, lib, vuln, sev, status, installed, fixed, title): rows of vulnerability tables."""
-    names = ("lib", "vuln", "sev", "status", "installed", "fixed", "title")
-    made = F.udf(lambda t: [tuple(f[n] for n in names) for f in vulnerabilities(t or "")], f"array<struct<{', '.join(f'{n}: string' for n in names)}>>")
+    made = _listed(vulnerabilities, ("lib", "vuln", "sev", "status", "installed", "fixed", "title"))
     return docs.select(key, F.posexplode(made(text)).alias("ord", "f")).select(key, "ord", "f.*")
 
 
