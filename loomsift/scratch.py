@@ -41,3 +41,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bounded_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, after its session has been told to send Python workers at most ``rows`` rows at a time: texts may be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
+        df.sparkSession.conf.set(key, rows)
+    return df
