@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from loomsift.functions.text import estimate_tokens
@@ -62,3 +62,9 @@ def savings(distilled: DataFrame, by: str = "processor", text: str = "text", out
     )
     pct = lambda a, b: F.when(F.col(a) > 0, F.round(100 * (1 - F.col(b) / F.col(a)), 2)).otherwise(0.0)
     return sums.withColumn("bytes_saved_pct", pct("bytes_in", "bytes_out")).withColumn("tokens_saved_pct", pct("tokens_in", "tokens_out"))
+
+
+def observed(distilled: DataFrame, observation: Observation) -> DataFrame:
+    """``distilled`` with its totals told to ``observation`` by whatever action runs it, without a pass of its own."""
+    compressed = F.count_if(F.col("outcome") == "compressed")
+    return distilled.observe(observation, F.count("*").alias("docs"), compressed.alias("compressed"), F.sum("bytes_in").alias("bytes_in"), F.sum("bytes_out").alias("bytes_out"))

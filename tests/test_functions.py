@@ -4,10 +4,11 @@ import base64
 import zlib
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from loomsift.functions import html, log, prose, redact, signature, text
-from loomsift.operators import anomaly, lines, pdf_text, routing
+from loomsift.operators import anomaly, lines, pdf_text, routing, telemetry
 from loomsift.sources import cases, pdf, readers
 
 
@@ -86,7 +87,9 @@ def test_routing(spark):
     short = spark.createDataFrame([(1, "On branch a"), (2, None)], "doc_id long, text string")
     assert {r.path for r in routing.route(short).collect()} == {"short_circuit"}
     log_lines = '{"level":"info","msg":"x","n":1}\n' * 100
-    out = routing.distil(spark.createDataFrame([(1, log_lines), (2, pad)], "doc_id long, text string")).orderBy("doc_id").collect()
+    seen = Observation()
+    out = telemetry.observed(routing.distil(spark.createDataFrame([(1, log_lines), (2, pad)], "doc_id long, text string")), seen).orderBy("doc_id").collect()
+    assert seen.get["docs"] == 2 and seen.get["compressed"] == 1 and seen.get["bytes_out"] < seen.get["bytes_in"]
     assert out[0].outcome == "compressed" and out[0].bytes_out < out[0].bytes_in and out[1].distilled == pad
 
 
