@@ -65,6 +65,6 @@ def savings(distilled: DataFrame, by: str = "processor", text: str = "text", out
 
 
 def observed(distilled: DataFrame, observation: Observation) -> DataFrame:
-    """``distilled`` with its totals told to ``observation`` by whatever action runs it, without a pass of its own."""
+    """``distilled`` with its totals told to ``observation`` by whatever action runs it, without a pass of its own. A global sort above it would read it twice."""
     compressed = F.count_if(F.col("outcome") == "compressed")
     return distilled.observe(observation, F.count("*").alias("docs"), compressed.alias("compressed"), F.sum("bytes_in").alias("bytes_in"), F.sum("bytes_out").alias("bytes_out"))
