@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomsift.scratch import materialise
+from loomsift.scratch import bounded_batches, materialise
 
 # The base rules' patterns and least lengths.
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -125,8 +125,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     Spans that overlap are replaced by one mark. Rows without findings, null texts among them,
     stay as they are; columns and rows are those of ``docs``.
     """
-    new = materialise(update_ledger(docs), "ledger").where(F.size("spans") > 0).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("__spans"))
-    found = docs.withColumn("__blob", F.sha2(F.coalesce("text", F.lit("")), 256)).join(new, F.col("__blob") == F.col("blob"), "left")
+    new = materialise(update_ledger(bounded_batches(docs)), "ledger").where(F.size("spans") > 0).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("__spans"))
+    new = materialise(new.withColumnRenamed("blob", "__blob"), "found")
+    found = docs.withColumn("__blob", F.sha2(F.coalesce("text", F.lit("")), 256)).join(new, "__blob", "left")
     schema = docs.schema
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,18 +33,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from loomsift.scratch import materialise
+from loomsift.scratch import bounded_batches, materialise
 
 #: Letters of a sequence: the last one is predicted from the others.
 ORDER = 7
 #: Labelled rows that class counts and the mapping are fitted on, at most.
 LABELLED = 20_000
 #: Letter sequences, and contexts, of a model that is broadcast, at most.
-GRAMS = 300_000
+GRAMS = 200_000
 DISCOUNT = 0.75
 THRESHOLD = 0.7
 #: Words that a worker keeps, with their ratios or as told.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Letters of a word; longer runs are read as words of so many letters.
 WORD_LETTERS = 64
 ALPHABET = 256
@@ -207,8 +207,8 @@ def _count(sampled):
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[bytes] = set()
+        by: dict[int, Counter] = {}
         for batch in batches:
-            by: dict[int, Counter] = {}
             new: set[bytes] = set()
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = words(text)
@@ -218,9 +218,13 @@ def _count(sampled):
             new -= told
             if len(told) < CACHE_WORDS:  # a word that is told again is counted once later
                 told |= new
-            for kind, counted in by.items():
-                yield rows(kind, list(counted), list(counted.values()))
             yield rows(_SHARED, list(new), [1] * len(new))
+            if sum(map(len, by.values())) > CACHE_WORDS:
+                for kind in list(by):
+                    counted = by.pop(kind)
+                    yield rows(kind, list(counted), list(counted.values()))
+        for kind, counted in by.items():
+            yield rows(kind, list(counted), list(counted.values()))
 
     return count
 
@@ -288,7 +292,7 @@ def model(docs: DataFrame, labels: DataFrame, most: int = LABELLED, order: int =
 
 def with_scores(docs: DataFrame, labels: DataFrame, most: int = LABELLED, order: int = ORDER, grams: int = GRAMS, column: str = "__score") -> DataFrame:
     """``docs`` with a column of scores behind the others."""
-    whole, (mean, scale, weights) = model(docs, labels, most, order, grams)
+    whole, (mean, scale, weights) = model(bounded_batches(docs), labels, most, order, grams)
     shared, names = docs.sparkSession.sparkContext.broadcast(Prepared([whole], order)), [*docs.columns, column]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
