@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomsift.functions.text import estimate_tokens
 
 # Reasons of fallbacks by class of error.
-REASONS = {"TimeoutError": "timeout", "ConnectionError": "inferd_unreachable", "ScriptError": "script_error", "RouterError": "router_error", "EmptyOutput": "empty_output"}
+REASONS = {"TimeoutError": "timeout", "ConnectionError": "backend_unreachable", "ScriptError": "script_error", "RouterError": "router_error", "EmptyOutput": "empty_output"}
 
 
 def processor_label(name: Column, builtin: Column) -> Column:
