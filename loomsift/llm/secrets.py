@@ -98,6 +98,7 @@ def findings(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     found = whole.groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     keyed = F.transform("spans", lambda x: F.struct(x["start"].alias("start"), order[x["kind"]].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind")))
     found = found.where(F.size("spans") > 0).select("blob", F.sort_array(keyed).alias("spans"))
+    found = materialise(found, "found")  # so that the join is between two plain exchanges, of which a hot one is split
     return _paths(docs).select("doc_id", "blob").join(found, "blob", "left").select("doc_id", "blob", "spans")
 
 
