@@ -21,6 +21,7 @@ def _state(edges: DataFrame) -> tuple:
 def _star(edges: DataFrame, keep) -> DataFrame:
     """Link each kept neighbour of a node, and the node, with the least of them and the node."""
     least = edges.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = materialise(least, "least")  # so that the join is between two plain exchanges, of which a hot one is split
     return edges.join(least, "a").select("a", "b", "m").where(keep)
 
 
