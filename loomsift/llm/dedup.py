@@ -95,6 +95,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     groups = rows.groupBy("n_blocks", "name").agg(
         F.max(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("id"), "row_id", "doc_id")).alias("keep"), F.count("*").alias("group_size")
     )
+    groups = materialise(groups, "groups")  # so that the join is between two plain exchanges, of which a hot one is split
     return rows.join(groups, ["n_blocks", "name"]).select(
         rows.doc_id, F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("keep.row_id") == rows.row_id).alias("kept"), F.col("sha").alias("text_sha256")
     )
