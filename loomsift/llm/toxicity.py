@@ -13,11 +13,11 @@ ratios that were not themselves fitted on the same documents, the learning rows
 each half is scored by models of the other half.
 
 What is broadcast has a bound: the class counts come from LABELLED labelled rows at most, chosen by a
-hash of the doc_id (a documented sample, its size a parameter), and of a model's letter
-sequences the GRAMS most frequent are broadcast, as Arrow tables. The counts themselves and
-both models are computed as tables; sequences have ORDER letters at most, so their number
-grows far slower than the corpus. Counts are summed with map-side combine; texts are never
-shuffled.
+hash of the doc_id (a documented sample, its size a parameter), and every letter sequence of
+those rows is broadcast, the rare ones too, as Arrow tables of 64-bit hashes and ratios, 16
+bytes a sequence. The counts themselves and both models are computed as tables; sequences have
+ORDER letters at most, so their number grows far slower than the corpus. Counts are summed with
+map-side combine; texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -39,8 +40,6 @@ from loomsift.scratch import bounded_batches, materialise
 ORDER = 7
 #: Labelled rows that class counts and the mapping are fitted on, at most.
 LABELLED = 20_000
-#: Letter sequences, and contexts, of a model that is broadcast, at most.
-GRAMS = 200_000
 DISCOUNT = 0.75
 THRESHOLD = 0.7
 #: Words that a worker keeps, with their ratios or as told.
@@ -127,23 +126,49 @@ def ratios(counts: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
     return seen, after
 
 
+def hashes(found: list[str]) -> np.ndarray:
+    """What Spark's xxhash64 gives for each string."""
+    return np.array([xxhash.xxh64_intdigest(s.encode("utf-8"), 42) for s in found], dtype=np.uint64).view(np.int64)
+
+
+def _at(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``asked`` in sorted ``keys``, and which of them are there."""
+    if not len(keys):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return at, keys[at] == asked
+
+
 class Model(dict):
-    """Log-likelihood ratios by word, from Arrow tables of sequences (s, r) and contexts (h, r)."""
+    """Log-likelihood ratios by word, from Arrow tables (key, r) of sequences and of contexts, sorted by key."""
 
     def __init__(self, seen: pa.Table, after: pa.Table, order: int = ORDER):
-        self.seen = dict(zip(seen["s"].to_pylist(), seen["r"].to_pylist()))
-        self.after = dict(zip(after["h"].to_pylist(), after["r"].to_pylist()))
+        self.seen, self.after = ((t["key"].to_numpy(), t["r"].to_numpy()) for t in (seen, after))
         self.order = order
 
-    def __missing__(self, word: bytes) -> float:
-        ratio, seen, after = 0.0, self.seen.get, self.after.get
-        for s in sequences(word, self.order):
-            x = seen(s)
-            ratio += after(s[:-1], 0.0) if x is None else x
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = ratio
-        return ratio
+    def learn(self, new: list[bytes]) -> None:
+        parts = [sequences(w, self.order) for w in new]
+        flat = [s for p in parts for s in p]
+        at, known = _at(self.seen[0], hashes(flat))
+        ratio = np.zeros(len(flat))
+        ratio[known] = self.seen[1][at[known]]
+        rest = np.flatnonzero(~known)
+        at, known = _at(self.after[0], hashes([flat[i][:-1] for i in rest]))
+        ratio[rest[known]] = self.after[1][at[known]]
+        starts = np.cumsum([0, *map(len, parts[:-1])])
+        self.update(zip(new, np.add.reduceat(ratio, starts).tolist()))
+
+    def ratios(self, found: list[bytes]) -> np.ndarray:
+        """The ratio of each word."""
+        v = list(map(self.get, found))
+        if None in v:
+            new = list({w for w, x in zip(found, v) if x is None})
+            if len(self) + len(new) > CACHE_WORDS:
+                self.clear()
+                new = list(set(found))
+            self.learn(new)
+            v = list(map(self.__getitem__, found))
+        return np.array(v, dtype=np.float64)
 
     def features(self, text: str | None) -> list[float]:
         """Length-normalised ratios about their median; all 0 for a text without words."""
@@ -151,7 +176,7 @@ class Model(dict):
         if not found:
             return [0.0] * FEATURES
         n = len(found)
-        v = np.fromiter(map(self.__getitem__, found), dtype=np.float64, count=n)
+        v = self.ratios(found)
         v -= np.median(v)
         top = np.sort(v if n <= 8 else np.partition(v, n - 8)[-8:])[::-1]
         above = v[v > 1]
@@ -244,19 +269,12 @@ class Prepared:
         return self.built
 
 
-def _frequent(table: DataFrame, most: int) -> pa.Table:
-    """The rows of the highest counts, as many whole classes of counts as make ``most`` rows at most."""
-    grade = F.floor(F.log2("n") * 8).cast("int")
-    least, rows = None, 0
-    for r in sorted(table.groupBy(grade.alias("grade")).count().collect(), reverse=True):  # a few hundred grades
-        rows += r["count"]
-        if rows > most:
-            break
-        least = r.grade
-    return table.where(F.lit(False) if least is None else grade >= least).drop("model", "n").toArrow()
+def _keyed(table: DataFrame, of: str) -> pa.Table:
+    """All rows as (key, r), sorted by the key: the hash of column ``of``."""
+    return table.select(F.xxhash64(of).alias("key"), "r").toArrow().sort_by("key")
 
 
-def learn(docs: DataFrame, sampled, order: int = ORDER, grams: int = GRAMS) -> list[tuple[pa.Table, pa.Table]]:
+def learn(docs: DataFrame, sampled, order: int = ORDER) -> list[tuple[pa.Table, pa.Table]]:
     """Sequences and contexts of the models of both halves and of the whole. ``sampled`` is the broadcast sample of labels."""
     rows = docs.select("doc_id", "text").mapInArrow(_count(sampled), _COUNTS)
     counted = materialise(rows.groupBy("kind", "word").agg(F.sum("n").alias("n")), "words")
@@ -268,14 +286,14 @@ def learn(docs: DataFrame, sampled, order: int = ORDER, grams: int = GRAMS) -> l
         F.sum(F.when(toxic, 0).otherwise(F.col("n"))).alias("ordinary"), F.sum(F.when(toxic, F.col("n")).otherwise(0)).alias("toxic")
     )
     seen, after = (materialise(x, "ratios") for x in ratios(materialise(by_class, "classes"), shared))
-    return [tuple(_frequent(x.where(F.col("model") == m), grams) for x in (seen, after)) for m in range(3)]
+    return [(_keyed(seen.where(F.col("model") == m), "s"), _keyed(after.where(F.col("model") == m), "h")) for m in range(3)]
 
 
-def model(docs: DataFrame, labels: DataFrame, most: int = LABELLED, order: int = ORDER, grams: int = GRAMS) -> tuple[tuple[pa.Table, pa.Table], tuple]:
+def model(docs: DataFrame, labels: DataFrame, most: int = LABELLED, order: int = ORDER) -> tuple[tuple[pa.Table, pa.Table], tuple]:
     """The whole model's sequences and contexts, and the mapping from features to scores."""
     spark = docs.sparkSession
     sample = _sample(labels, most)
-    *halves, whole = learn(docs, spark.sparkContext.broadcast(sample), order, grams)
+    *halves, whole = learn(docs, spark.sparkContext.broadcast(sample), order)
     parts = spark.sparkContext.broadcast(Prepared(halves, order))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,9 +308,9 @@ def model(docs: DataFrame, labels: DataFrame, most: int = LABELLED, order: int =
     return whole, fit(x, rows["y"].to_numpy().astype(np.float64))
 
 
-def with_scores(docs: DataFrame, labels: DataFrame, most: int = LABELLED, order: int = ORDER, grams: int = GRAMS, column: str = "__score") -> DataFrame:
+def with_scores(docs: DataFrame, labels: DataFrame, most: int = LABELLED, order: int = ORDER, column: str = "__score") -> DataFrame:
     """``docs`` with a column of scores behind the others."""
-    whole, (mean, scale, weights) = model(bounded_batches(docs), labels, most, order, grams)
+    whole, (mean, scale, weights) = model(bounded_batches(docs), labels, most, order)
     shared, names = docs.sparkSession.sparkContext.broadcast(Prepared([whole], order)), [*docs.columns, column]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -280,6 +280,19 @@ def test_shared_model_is_a_distribution(spark):
     assert abs(sum(singles.values()) + rest - 1) < 1e-9
 
 
+def test_models_keep_every_sequence(spark):
+    """More than 200,000 distinct sequences, all seen once: none is dropped."""
+    rng = np.random.default_rng(8)
+    said = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzé"), 60)) for _ in range(6000)]
+    ids = [i for i in range(1200) if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = spark.createDataFrame([(i, " ".join(said[k :: len(ids)])) for k, i in enumerate(ids)], SCHEMA)
+    sample = {i: i % 2 for i in ids}
+    want = {s for w in said for s in toxicity.sequences(w.encode())}
+    seen, after = toxicity.learn(docs, spark.sparkContext.broadcast(sample))[2]
+    assert len(want) > 200_000 and seen["key"].to_pylist() == sorted(toxicity.hashes(list(want)).tolist())
+    assert after["key"].to_pylist() == sorted(toxicity.hashes(list({s[:-1] for s in want})).tolist())
+
+
 @pytest.mark.parametrize("labels", [[], [(1, 0), (2, 0)], [(4, 1), (5, 1)]])
 def test_toxicity_with_few_labels(spark, odd, labels):
     rows = toxicity.toxicity(odd, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
