@@ -1,8 +1,8 @@
-"""Line deduplication by a log-template tree, in DataFrame functions only.
+"""Line deduplication by masked lines, in DataFrame functions only.
 
-A line falls down a tree of fixed depth: first by its number of tokens, then by its DEPTH leading
-tokens, then to a leaf. On the way variable fields are generalised: a token with a digit or an
-``@`` becomes ``<*>``, so lines that differ in numbers, addresses, dates or keys alone share a
+A token with a digit or an ``@`` becomes ``<*>``, so lines that differ in numbers, addresses,
+dates or keys alone share a template; lines that differ in any other word do not. The number of
+tokens and the DEPTH leading ones are carried along, but the masked line alone settles the
 template. A template that occurs in more than one document is recurring: its lines stay where
 they occur first and are dropped from every later document.
 
