@@ -6,9 +6,11 @@ class's own discounted counts, and both back off to one shared Kneser-Ney model
 continuation counts, gathered over all documents, labelled or not. A rare expression that
 neither class has seen gets the same shared probability from both and says nothing.
 
-A word's log-likelihood ratio is the sum over its letters. A document's ratios are taken about
-their own median, which takes away what its language as such would say, normalised by length
-in several ways, and mapped to a score by a logistic regression. To fit that mapping on
+A word's log-likelihood ratio is the sum over its letters. A document's ratios are averaged as
+they are, and taken about their own median, which takes away what its language as such would
+say; a median above 0 is evidence of toxic text and is not taken away. Normalised by length in
+several ways they are mapped to a score by a logistic regression in which more evidence never
+lowers the score. To fit that mapping on
 ratios that were not themselves fitted on the same documents, the learning rows are halved:
 each half is scored by models of the other half.
 
@@ -47,7 +49,7 @@ CACHE_WORDS = 200_000
 #: Letters of a word; longer runs are read as words of so many letters.
 WORD_LETTERS = 64
 ALPHABET = 256
-FEATURES = 6
+FEATURES = 7
 
 _START, _STOP = "^", "$"
 #: ASCII bytes other than letters part words.
@@ -171,21 +173,25 @@ class Model(dict):
         return np.array(v, dtype=np.float64)
 
     def features(self, text: str | None) -> list[float]:
-        """Length-normalised ratios about their median; all 0 for a text without words."""
+        """Length-normalised ratios, as they are and about their median if that is below 0; all 0 for a text without words."""
         found = words(text)
         if not found:
             return [0.0] * FEATURES
         n = len(found)
         v = self.ratios(found)
-        v -= np.median(v)
+        level = float(v.mean())
+        v -= min(float(np.median(v)), 0.0)
         top = np.sort(v if n <= 8 else np.partition(v, n - 8)[-8:])[::-1]
         above = v[v > 1]
         one, two = float(above.sum()) - len(above), float(np.maximum(above - 2, 0).sum())
-        return [one / n, one / math.sqrt(n), two / math.sqrt(n), float(top[:3].mean()), float(top.mean()), math.log1p(n)]
+        return [one / n, one / math.sqrt(n), two / math.sqrt(n), float(top[:3].mean()), float(top.mean()), level, math.log1p(n)]
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Mean, scale and weights of a logistic regression; the rate of the rows alone if they are of one class."""
+    """Mean, scale and weights of a logistic regression; the rate of the rows alone if they are of one class.
+
+    No feature but the last, the length, gets a weight below 0: those that would are left out, the lowest first.
+    """
     if not len(y):
         return np.zeros(FEATURES), np.ones(FEATURES), np.array([0.0] * FEATURES + [-4.0])
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
@@ -193,14 +199,20 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[np.ndarray, n
     w = np.zeros(z.shape[1])
     rate = (y.sum() + 0.5) / (len(y) + 1)
     w[-1] = math.log(rate / (1 - rate))
-    if 0 < y.sum() < len(y):
-        pull = ridge * np.r_[np.ones(len(w) - 1), 0]
+    free = list(range(len(w)))
+    while 0 < y.sum() < len(y):
+        v, rows, pull = w[free], z[:, free], ridge * np.array([i < len(w) - 1 for i in free])
         for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag(pull + 1e-9), z.T @ (y - p) - pull * w)
-            w += np.clip(step, -5, 5)
+            p = 1 / (1 + np.exp(-np.clip(rows @ v, -30, 30)))
+            step = np.linalg.solve((rows * (p * (1 - p) + 1e-9)[:, None]).T @ rows + np.diag(pull + 1e-9), rows.T @ (y - p) - pull * v)
+            v += np.clip(step, -5, 5)
             if np.abs(step).max() < 1e-6:
                 break
+        below = [(x, i) for x, i in zip(v, free) if i < FEATURES - 1 and x < 0]
+        if not below:
+            w[free] = v
+            break
+        free.remove(min(below)[1])
     return mean, scale, w
 
 

@@ -280,6 +280,21 @@ def test_shared_model_is_a_distribution(spark):
     assert abs(sum(singles.values()) + rest - 1) < 1e-9
 
 
+def test_wholly_toxic_texts(spark):
+    rng = np.random.default_rng(4)
+    common, rude = [f"{a}{b}{c}" for a in ("ba", "to", "mi", "su") for b in ("ren", "lat", "vo") for c in ("a", "er", "ing")], ["grolk", "snarfle", "blitzug"]
+    docs = []
+    for i in range(500):
+        said = list(rng.choice(common, size=int(rng.integers(20, 120))))
+        docs.append((i, " ".join(said + list(rng.choice(rude, size=max(3, len(said) // 20))) if i % 5 == 0 else said)))
+    toxic = ["grolk", "Snarfle!", "blitzug " * 40, "grolk snarfle blitzug grolk snarfle", "grolk snarfle grolk mirena"]
+    clean = ["barena", "torener " * 40, "mivoing sulata", ""]
+    docs += [(1000 + i, t) for i, t in enumerate(toxic + clean)]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(500)], "doc_id long, toxic int")
+    rows = {r.doc_id: r.predicted for r in toxicity.toxicity(spark.createDataFrame(docs, SCHEMA), labels).collect()}
+    assert [rows[1000 + i] for i in range(len(toxic + clean))] == [1] * len(toxic) + [0] * len(clean)
+
+
 def test_models_keep_every_sequence(spark):
     """More than 200,000 distinct sequences, all seen once: none is dropped."""
     rng = np.random.default_rng(8)
