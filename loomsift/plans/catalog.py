@@ -328,6 +328,14 @@ def page_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy(text.page_kind("t", F.col("img")).alias("kind")).agg(F.count("*").alias("n"))
 
 
+@query()
+def page_kind_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of whole texts, with a few made-up blank, scanned and chart pages."""
+    d = table(spark, sf_dir, "documents").select(F.col("text").alias("t"), (F.col("doc_id") % 2 == 0).alias("img"))
+    made = spark.createDataFrame([("", False), (" \n\t", True), ("Fig. 1: 20 %", True), ("Fig. 1: 20 %", False)], "t string, img boolean")
+    return d.unionByName(made).groupBy(text.page_kind("t", F.col("img")).alias("kind")).agg(F.count("*").alias("n"))
+
+
 _FURNITURE = """
 f AS (SELECT source, line FROM (SELECT source, line, count(DISTINCT doc_id) AS n_pages FROM (
     SELECT doc_id, source, trim(unnest(string_split(text, chr(10)))) AS line FROM documents) WHERE line <> '' AND strlen(line) <= 120 GROUP BY 1, 2)

@@ -122,6 +122,14 @@ def yaml_prose_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", prose.yaml_prose(F.concat(F.lit("name: short one\nbody: |\n  "), "text", F.lit("\n"))).alias("prose"))
 
 
+@query()
+def yaml_prose_all_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as a block scalar, each of its lines indented."""
+    c = table(spark, sf_dir, "conversations")
+    body = F.regexp_replace("text", r"(\r\n|[\n\r\x{85}\x{2028}\x{2029}])", "$1  ")
+    return c.select("conv_id", "turn", prose.yaml_prose(F.concat(F.lit("name: short one\nbody: |2+\n  "), body, F.lit("\n"))).alias("prose"))
+
+
 @query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN text ELSE left(text, CAST(length(text) // 2 AS BIGINT)) END AS answer FROM documents WHERE length(text) > 1 AND trim(left(text, CAST(length(text) // 2 AS BIGINT)), ' ' || chr(9) || chr(10) || chr(13)) <> ''")
 def prompt_processor(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = F.expr("substring(text, 1, cast(length(text) div 2 as int))")
