@@ -21,6 +21,7 @@ from pyspark.sql.types import StringType
 from loomsift.functions import log, redact
 from loomsift.functions.signature import MOST_KEYS, RANK, SAMPLE_CHARS, UUID, level_of, signature_of
 from loomsift.functions.text import SEVERITY_ALIASES, SEVERITY_LETTERS, SEVERITY_RANK
+from loomsift.operators import anomaly
 
 # The patterns that mark kinds of lines, by tool.
 ANSI = re.compile(r"\x1b\[[0-9;]*[A-Za-z]")
@@ -530,8 +531,8 @@ def shape_of(path: str) -> str:
 _KEYS = re.compile(r"(?:[A-Za-z]:[\\/][^\s\"']+)|(?:/[^\s\"']{2,})|(?:\b\d{3}\b)|(?:\b[A-Z]{2,}\d+\b)|(?:\bv?\d+\.\d+\.\d+(?:-[A-Za-z0-9.+-]+)?\b)", re.A)
 
 
-def group_report(lines: list[str]) -> str:
-    """Lines by signature as blocks of key=value lines, the worst level and most frequent first."""
+def group_report(lines: list[str], total: int | None = None) -> str:
+    """Lines by signature as blocks of key=value lines, the worst level and most frequent first; ``total`` lines were read."""
     groups: dict[str, list[str]] = {}
     for line in lines:
         groups.setdefault(signature_of(line), []).append(line)
@@ -540,7 +541,20 @@ def group_report(lines: list[str]) -> str:
         keys = list(dict.fromkeys(k for line in held for k in _KEYS.findall(line)))[:MOST_KEYS]
         sample = held[0] if len(held[0]) <= SAMPLE_CHARS else held[0][:SAMPLE_CHARS] + "…"
         out.append(f"sig={sig}\nlevel={level_of(held[0])}\ncount={len(held)}\nsample={sample}\nkeys={','.join(keys)}\n\n")
-    return "".join(out) + f"tail={len(lines)}→{len(groups)}\n"
+    return "".join(out) + f"tail={len(lines) if total is None else total}→{len(groups)}\n"
+
+
+def cordon(text: str, embed: anomaly.Embedder = anomaly.hash_embedder) -> str:
+    """Groups of the lines in the most outlying windows; a text of fewer than two windows' worth of lines stays."""
+    lines = [x for x in (x.removesuffix("\r") for x in text.split("\n")) if x.strip()]
+    if len(lines) < 2 * anomaly.SIZE:
+        return text
+    starts = range(0, len(lines) - anomaly.SIZE + 1, anomaly.STRIDE)
+    vectors = embed(["\n".join(lines[s : s + anomaly.SIZE])[: anomaly.CHARS] for s in starts])
+    scores = anomaly.mean_nearest(vectors, anomaly.NEIGHBOURS)
+    top = sorted(range(len(starts)), key=lambda i: (-scores[i], i))[: max(int(len(starts) * anomaly.PERCENT / 100), 1)]
+    flagged = sorted({starts[i] + j for i in top for j in range(anomaly.SIZE)})
+    return group_report([lines[i] for i in flagged], len(lines))
 
 
 # HTTP archives

@@ -46,7 +46,7 @@ BUILTIN = (
     Descriptor("cargo-filter", match=r"(?dm)^(\s*Compiling |\s*Finished|\s*Running|error(\[E\d+\])?:|warning:|\s*Downloaded |test result:|running \d+ tests?$)", commands=("cargo",), distil=distillers.cargo),
     Descriptor("casefolder", "prompt", r"(?i)traceback|\Aerror(:|\[E\d+\])|\Aexception|fatal|panic:|\A  File \".+\", line \d+"),
     Descriptor("compress", "prompt"),
-    Descriptor("cordon-filter", routable=False, distil=lambda t: distillers.group_report([x for x in distillers.lines_of(t) if x.strip()])),
+    Descriptor("cordon-filter", routable=False, distil=distillers.cordon),
     Descriptor("git-filter", match=r"(?dm)^(On branch |HEAD detached|Changes |Untracked files:|nothing to commit|diff --git|commit [0-9a-f]{7,40}$)", commands=("git",), distil=distillers.git),
     Descriptor("go-test-filter", match=r"(?dm)^\s*=== RUN\s|^\s*--- (?:PASS|FAIL|SKIP):|^(?:ok|FAIL|\?)\s+\S+\s", prefixes=("go test",), distil=distillers.go_test),
     Descriptor("har-filter", match=r"\"log\"\s*:\s*\{[\s\S]{0,300}\"version\"[\s\S]*?\"entries\"\s*:\s*\[", distil=distillers.har),

@@ -172,5 +172,4 @@ def lines_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def cordon_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = distillers.apply(lambda t: distillers.group_report([x for x in distillers.lines_of(t) if x.strip()]))
-    return table(spark, sf_dir, "documents").select("doc_id", report("text").alias("report"))
+    return table(spark, sf_dir, "documents").select("doc_id", distillers.apply(distillers.cordon)("text").alias("report"))

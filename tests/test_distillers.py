@@ -143,3 +143,16 @@ def test_har():
         "  → password=<redacted>&a=1", '  ← {"b":2,"token":"<redacted>"}', "",
     ]
     assert d.har('{"log": {"entries": []}}') == '{"log": {"entries": []}}'
+
+
+def test_cordon_groups_rare_lines_only(spark):
+    from loomsift.operators import anomaly
+
+    lines = [f"info worker {i} ticked at {i * 7}" for i in range(200)]
+    lines[100] = "ERROR disk /dev/sda1 failed with EIO5"
+    out = d.cordon("\n".join(lines) + "\n\n")
+    flagged = [r.line for r in anomaly.flagged_lines(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")).orderBy("line_no").collect()]
+    assert out == d.group_report(flagged, 200) and len(flagged) < 200
+    assert "ERROR disk" in out and out.split("\n")[-2].startswith("tail=200→")
+    few = "\n".join(lines[:19])
+    assert d.cordon(few) == few
