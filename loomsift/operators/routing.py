@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from loomsift.operators import distillers
+from loomsift.functions import html
+from loomsift.operators import distillers, pdf_text
 
 SHORTEST_BYTES, SNIFFED_BYTES = 2000, 8192
 COLLAPSED_LINES, COLLAPSED_GROUPS, COLLAPSED_SHARE = 30, 3, 0.05
@@ -29,6 +30,8 @@ class Descriptor:
     routable: bool | None = None
     builtin: bool = True
     distil: Callable[[str], str] | None = field(default=None, compare=False)
+    #: Whether ``distil`` takes bytes: the document need not be UTF-8.
+    raw: bool = False
 
     @property
     def is_signature(self) -> bool:
@@ -57,10 +60,10 @@ BUILTIN = (
         r"|[^\n:]:\d+(?::\d+)?:\s+[^\n]+\s\([\w./-]+\)$|[^\n:]\(\d+,\d+\):\s+(?:error|warning)\s+TS\d+:\s",
         commands=("gosec", "staticcheck", "golangci-lint", "shellcheck"), distil=distillers.lint,
     ),
-    Descriptor("mhtml-filter", match=r"(?i)Content-Type:\s*multipart/related"),
+    Descriptor("mhtml-filter", match=r"(?i)Content-Type:\s*multipart/related", distil=lambda b: html.markdown(html.saved_html(b)), raw=True),
     Descriptor("ndjson-filter", match=r"(?dm)^\{[^\n]*\"(?:level|severity|msg|message|@timestamp|time|ts)\":[^\n]*\}\s*$", distil=distillers.ndjson),
     Descriptor("npm-filter", match=r"(?dm)^(npm (warn|error|notice)|added \d+ packages|removed \d+ packages|# npm audit report|npm ERR!|[│├└]──\s+\S+@[0-9.]+)", commands=("npm", "npx", "pnpm", "yarn"), distil=distillers.npm),
-    Descriptor("pdf-filter", match="^%PDF-"),
+    Descriptor("pdf-filter", match="^%PDF-", distil=pdf_text.pdf_markdown, raw=True),
     Descriptor("pdf-to-md", "script", "^%PDF-"),
     Descriptor("pytest-filter", match=r"(?dm)^(=+ test session starts =+|=+ FAILURES =+|=+ ERRORS =+|=+ short test summary info =+|collected \d+ items?)", commands=("pytest", "py.test"), distil=distillers.pytest),
     Descriptor("shorthand", "prompt", routable=False),
@@ -162,12 +165,20 @@ def distil(docs: DataFrame, registry: Registry | None = None, text: str = "text"
     """
     registry = registry or Registry()
     routed = route(docs, registry, text)
-    of = {name: p.distil for name, p in registry.by_name.items() if p.distil}
+    of = {name: p.distil for name, p in registry.by_name.items() if p.distil and not p.raw}
+    of_bytes = {name: p.distil for name, p in registry.by_name.items() if p.distil and p.raw}
 
     def run(texts: pd.Series, names: pd.Series) -> pd.Series:
         return pd.Series([t if n not in of else _one(of, n, t) for t, n in zip(texts, names)], dtype=object)
 
-    made = F.when(F.col("path") != "fast_path", F.col(text)).otherwise(F.pandas_udf(run, StringType())(F.col(text), F.col("processor")))
+    def run_bytes(files: pd.Series, names: pd.Series) -> pd.Series:
+        return pd.Series([None if b is None or n not in of_bytes else _of_bytes(of_bytes[n], b) for b, n in zip(files, names)], dtype=object)
+
+    raw = F.coalesce(F.col("processor").isin(*of_bytes), F.lit(False)) if of_bytes else F.lit(False)
+    # bytes never pass as text, which need not be UTF-8
+    made = F.pandas_udf(run, StringType())(F.when(~raw & (F.col("path") == "fast_path"), F.col(text)), F.col("processor"))
+    made_of_bytes = F.pandas_udf(run_bytes, StringType())(F.when(raw, F.col(text).cast("binary")), F.col("processor"))
+    made = F.when(F.col("path") != "fast_path", F.col(text)).otherwise(F.when(raw, made_of_bytes).otherwise(made))
     out = routed.withColumn("distilled", guard(made, F.col(text)))
     bytes_in, bytes_out = F.octet_length(text).cast("long"), F.octet_length("distilled").cast("long")
     return out.withColumns({
@@ -176,6 +187,21 @@ def distil(docs: DataFrame, registry: Registry | None = None, text: str = "text"
     })
 
 
+def _column_of_bytes(convert: Callable[[bytes], str]):
+    def run(files: pd.Series) -> pd.Series:
+        return files.map(lambda b: None if b is None else _of_bytes(convert, b))
+
+    return F.pandas_udf(run, StringType())
+
+
+def _of_bytes(convert: Callable[[bytes], str], data: bytes) -> str | None:
+    """What is made of the bytes; null, for the input to stay, where nothing can be."""
+    try:
+        return convert(bytes(data)) or None
+    except Exception:  # a distiller must never lose its input
+        return None
+
+
 def _one(of: dict, name: str, text: str) -> str:
     out = distillers.guarded(of[name], text)
     if name == "ndjson-filter" and out != text:
@@ -194,7 +220,10 @@ def chain(docs: DataFrame, names: Sequence[str], registry: Registry | None = Non
     if any(n not in registry.by_name for n in names):
         return docs
     for n in names:
-        if f := registry.by_name[n].distil:
+        p = registry.by_name[n]
+        if p.raw and (f := p.distil):
+            docs = docs.withColumn(text, guard(_column_of_bytes(f)(F.col(text).cast("binary")), F.col(text)))
+        elif f := p.distil:
             docs = docs.withColumn(text, distillers.apply(f)(F.col(text)))
     return docs
 

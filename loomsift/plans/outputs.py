@@ -79,6 +79,23 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), file.cast("binary").alias("raw_bin"))
 
 
+def saved_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): a PDF with a padded comment, a saved page, an HTTP archive and a Trivy table, by doc_id in turn."""
+    key = F.col("doc_id").cast("string")
+    mhtml = F.concat(F.lit("Subject: x\r\nContent-Type: multipart/related; boundary=B\r\n\r\n--B\r\nContent-Type: text/html\r\n\r\n<nav>" + "n " * 1200 + "</nav><p>page "), key, F.lit("</p>\r\n--B--\r\n"))
+    har = F.concat(F.lit('{"log":{"version":"1","entries":[{"time":1,"request":{"method":"get","url":"https://x.org/'), key, F.lit('"},"response":{"status":200,"content":{"mimeType":"text/html","size":1}},"pad":"' + "p" * 2400 + '"}]}}'))
+    trivy = F.concat(F.lit(_HEAD + "├──┤\n│ lib"), key, F.lit(" │ CVE-2024-1 │ HIGH │ fixed │ 1.0 │ 1.1 │ flaw │\n├" + "─" * 2400 + "┤\n└──┘\n"))
+    padded = F.concat(F.col("raw_bin"), F.lit("\n%" + "\u00ff" * 2400 + "\n").cast("binary"))
+    files = page_files(spark, sf_dir)
+    kind = F.col("doc_id") % 4
+    return files.select("doc_id", F.when(kind == 0, padded.cast("string")).when(kind == 1, mhtml).when(kind == 2, har).otherwise(trivy).alias("text"))
+
+
+@query()
+def distil_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routing.distil(saved_files(spark, sf_dir)).select("doc_id", "processor", "path", "outcome", "distilled")
+
+
 @query("SELECT page_id AS doc_id, CAST(unnest([0, 1, 2]) AS INTEGER) AS ord, unnest([72.0, 72.0, 132.0]) AS x, unnest([700.0, 670.0, 670.0]) AS y, unnest(['1.2 Part ' || page_id, 'has words', 'and more']) AS text FROM pages")
 def pdf_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pdf.pdf_spans(page_files(spark, sf_dir)).select("doc_id", "ord", "x", "y", "text")

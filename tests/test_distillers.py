@@ -156,3 +156,16 @@ def test_cordon_groups_rare_lines_only(spark):
     assert "ERROR disk" in out and out.split("\n")[-2].startswith("tail=200→")
     few = "\n".join(lines[:19])
     assert d.cordon(few) == few
+
+
+def test_files_are_distilled(spark, sf_dir):
+    from loomsift.operators import routing
+    from loomsift.plans import catalog, outputs
+
+    rows = catalog.QUERIES["distil_files"](spark, sf_dir).collect()
+    for r in rows:
+        name = ("pdf-filter", "mhtml-filter", "har-filter", "trivy-filter")[r.doc_id % 4]
+        assert (r.processor, r.path, r.outcome) == (name, "fast_path", "compressed")
+        assert (f"1.2 Part {r.doc_id}", f"page {r.doc_id}", f"x.org/{r.doc_id}", f"lib{r.doc_id}")[r.doc_id % 4] in r.distilled
+    pdfs = outputs.saved_files(spark, sf_dir).where("doc_id % 4 = 0").limit(2)
+    assert all("1.2 Part" in r.text and "%PDF" not in r.text for r in routing.chain(pdfs, ["pdf-filter"]).collect())
