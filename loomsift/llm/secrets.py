@@ -26,7 +26,7 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_ASSIGNED = 12
 # Formats of credentials that the method adds to the base.
 _MORE = {
-    "pem": re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*(?:-----END [A-Z ]*PRIVATE KEY-----)?"),
+    "pem": re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+(?:-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----)?"),
     "forge": re.compile(r"(?:gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,})", re.ASCII),
     "chat": re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}", re.ASCII),
     "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", re.ASCII),

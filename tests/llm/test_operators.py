@@ -174,6 +174,15 @@ def test_redact(spark, odd):
     assert None in texts and "[SECRET]' [SECRET] [SECRET]" in texts and not any(brute_base(t or "") for t in texts)
 
 
+def test_whole_private_keys():
+    for kind, head in (("RSA PRIVATE KEY", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A\n\n"), ("PGP PRIVATE KEY BLOCK", "Version: a-b\n\n"), ("PRIVATE KEY", "")):
+        key = f"-----BEGIN {kind}-----\n{head}MIIabc/+=\nxyz--\n-----END {kind}-----"
+        spans = [(s, e) for s, e, k in secrets.find(f"before\n{key}\nafter - all\n{key}") if k == "pem"]
+        assert spans == [(7, 7 + len(key)), (7 + len(key) + 13, 7 + 2 * len(key) + 13)]
+    cut = "-----BEGIN RSA PRIVATE KEY-----\nDEK-Info: x-y\nabc\n"
+    assert [x[:2] for x in secrets.find(cut + "-----BEGIN RSA PRIVATE KEY-----\nabc")] == [(0, len(cut)), (len(cut), len(cut) + 35)]
+
+
 # 4 exact top-k
 
 
