@@ -208,7 +208,7 @@ def _one(of: dict, name: str, text: str) -> str:
         filled = lambda t: sum(1 for x in t.split("\n") if x.strip())
         before, after = filled(text), filled(out)
         if before >= COLLAPSED_LINES and (after < COLLAPSED_GROUPS or after / before < COLLAPSED_SHARE):
-            other = distillers.guarded(of["cordon-filter"], text) if "cordon-filter" in of else text
+            other = distillers.guarded(lambda t: distillers.group_report([x for x in distillers.lines_of(t) if x.strip()]), text) if "cordon-filter" in of else text
             if other != text and filled(other) > after:
                 return other
     return out
