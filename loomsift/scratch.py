@@ -29,10 +29,19 @@ def _own(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/loomsift/{spark.sparkContext.applicationId}"
 
 
+#: Folders of the tables written so far, in order.
+_made: list[str] = []
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(spark: SparkSession) -> None:
     """Delete the tables that this application has written; frames that still read them fail after that."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _own(spark))
+    _made.clear()
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -40,7 +49,32 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _made.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_folder = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more; their successors must have been written."""
+    for table in tables:
+        _delete(table.sparkSession, table.scratch_folder)
+        if table.scratch_folder in _made:
+            _made.remove(table.scratch_folder)
+
+
+def mark() -> int:
+    """How many tables there are now, for ``release_since``."""
+    return len(_made)
+
+
+def release_since(at: int, *keep: DataFrame) -> None:
+    """Delete the tables written since ``mark`` gave ``at``, but not those to keep."""
+    kept = {table.scratch_folder for table in keep}
+    for folder in _made[at:]:
+        if folder not in kept:
+            _delete(keep[0].sparkSession, folder)
+    _made[at:] = [folder for folder in _made[at:] if folder in kept]
 
 
 def bounded_batches(df: DataFrame, rows: int = 1000) -> DataFrame:

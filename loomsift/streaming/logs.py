@@ -39,21 +39,28 @@ def once(records: DataFrame, keys: list[str], ts: str = "ts", late: str = LATE)
     return stamped.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys) if records.isStreaming else stamped.dropDuplicates(keys)
 
 
-def first_seen(records: DataFrame, key: str = "sig", ts: str = "ts", forget_ms: int = 7 * 24 * 3600 * 1000) -> DataFrame:
-    """(key, ts): the first record of each signature in a stream, told again only after ``forget_ms`` without one."""
+def first_seen(records: DataFrame, key: str = "sig", ts: str = "ts", forget_ms: int = 7 * 24 * 3600 * 1000, late: str = LATE) -> DataFrame:
+    """(key, ts): the first record of each signature in a stream, told again only after ``forget_ms`` of event time without one.
+
+    Signatures are forgotten as the watermark passes, so a stream that reads what is there
+    and stops does end. Rows later than ``late`` may be left out; rows without a time tell
+    of their signature but do not keep it in mind.
+    """
+    at = f"{key}_{ts}_ms"
 
     def told(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        first = min(pdf[ts].min() for pdf in batches)
+        pdf = pd.concat(list(batches))
+        last = max([*pdf[at].dropna(), *(state.get if state.exists else ()), state.getCurrentWatermarkMs()])
         if not state.exists:
-            yield pd.DataFrame({key: [keys[0]], ts: [first]})
-        state.update((1,))
-        state.setTimeoutDuration(forget_ms)
+            yield pd.DataFrame({key: [keys[0]], ts: [pdf[ts].min()]})
+        state.update((int(last),))
+        state.setTimeoutTimestamp(int(last) + forget_ms)
 
-    stamped = records.select(key, F.col(ts).cast("timestamp").alias(ts))
-    return stamped.groupBy(key).applyInPandasWithState(told, f"{key} string, {ts} timestamp", "seen int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    stamped = records.select(key, F.col(ts).cast("timestamp").alias(ts)).withWatermark(ts, late).withColumn(at, F.unix_millis(ts))
+    return stamped.groupBy(key).applyInPandasWithState(told, f"{key} string, {ts} timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def distil_stream(outputs: DataFrame, path: str, checkpoint: str, registry: Registry | None = None) -> StreamingQuery:

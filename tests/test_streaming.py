@@ -17,11 +17,19 @@ def test_hourly_stream_equals_batch(spark, sf_dir, tmp_path):
 
 
 def test_first_seen_tells_once(spark, tmp_path):
-    rows = spark.createDataFrame([("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:01:00"), ("b", "2024-01-01 00:02:00")], "sig string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
-    rows.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    logs.first_seen(stream).writeStream.format("memory").queryName("seen").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    assert sorted(r.sig for r in spark.table("seen").collect()) == ["a", "b"]
+    told = [("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:01:00"), ("b", "2024-01-01 00:02:00"), ("c", None)]
+    later = [("a", "2024-01-01 00:03:00"), ("d", "2024-01-20 00:00:00")]
+    again = [("a", "2024-01-20 00:01:00"), ("d", "2024-01-20 00:02:00")]
+    for n, batch in enumerate((told, later, again)):
+        rows = spark.createDataFrame(batch, "sig string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        out = logs.first_seen(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "at"))
+        q = out.outputMode("append").trigger(availableNow=True).start()
+        assert q.awaitTermination(120), f"run {n} does not end"
+    # a was forgotten after 19 days without a record, and is told again
+    got = spark.read.parquet(str(tmp_path / "out")).selectExpr("sig", "cast(ts as string) ts").collect()
+    assert sorted(map(tuple, got), key=repr) == [("a", "2024-01-01 00:00:00"), ("a", "2024-01-20 00:01:00"), ("b", "2024-01-01 00:02:00"), ("c", None), ("d", "2024-01-20 00:00:00")]
 
 
 def test_distil_stream(spark, tmp_path):
