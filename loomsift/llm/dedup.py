@@ -1,16 +1,16 @@
 """Exact duplicates by deterministic block naming.
 
-A text is cut into blocks of a fixed size. Equal blocks get one integer name: blocks are dealt
-by a hash into buckets, sorted inside the bucket by their whole content, and numbered; so names
-depend on content alone and two different blocks never share one. Then adjacent names are
-paired and the pairs named in the same way, level by level, until one name stands for a
-document. Texts with as many blocks pass the same levels, so (number of blocks, name) is one
-identity per text without collisions.
-
-The text is shuffled once, by block. A block that very many documents share would meet in one
-task: blocks whose hash has more than a 1/HOT_SHARE part of all occurrences (HOT_SHARE of
-them at most, counted with map-side combine) are named from a broadcast list instead,
-of HOT_SHARE blocks and so a bounded size; their occurrences travel without the text, spread by row.
+A text is cut into blocks of a fixed size. Equal blocks get one integer name: the distinct
+blocks, made one each before they are shuffled, are dealt by a hash into buckets, sorted inside the
+bucket by their whole content, and numbered; so names depend on content alone and two different
+blocks never share one. Then adjacent names are paired and the pairs named in the same way,
+level by level, until one name stands for a document. Texts with as many blocks pass the
+same levels, so (number of blocks, name) is one identity per text without collisions.
+
+A block's occurrences learn its name by the hash, without the text: every distinct block meets
+its hash's name once, however many documents share it, and the join is between two plain
+exchanges, which adaptive execution splits. Hashes that two different blocks share are found when the
+blocks are named; their occurrences, and theirs alone, are joined by the whole block.
 """
 
 from __future__ import annotations
@@ -22,16 +22,19 @@ from loomsift.scratch import materialise
 
 #: Code points in a block.
 BLOCK_CHARS = 4096
-#: Blocks above this share of all occurrences are named from a broadcast list of that many at most.
-HOT_SHARE = 500
-#: Rows that a naming bucket holds on average.
-BUCKET_ROWS = 2000
+#: Buckets in which distinct blocks or pairs are sorted; a name is a bucket and a rank in it.
+BUCKETS = 1 << 20
 
 
-def _named(items: DataFrame, by: list[str], bucket: Column) -> DataFrame:
-    """``items`` with an integer name per distinct value of the columns ``by``, from a sort inside buckets."""
-    rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy(*by))
-    return items.withColumn("bucket", bucket).withColumn("rank", F.col("bucket") * F.lit(1 << 32) + rank).drop("bucket")
+def _hash(*columns: str) -> Column:
+    return F.xxhash64(*columns)
+
+
+def _named(distinct: DataFrame, by: list[str]) -> DataFrame:
+    """``distinct`` with an integer name per row, from a sort by the columns ``by`` inside buckets."""
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(*by))
+    rows = distinct.withColumn("bucket", F.pmod(_hash(*by), F.lit(BUCKETS)))
+    return rows.withColumn("name", F.col("bucket") * F.lit(1 << 32) + rank).drop("bucket")
 
 
 def _cut(docs: DataFrame, *keep: str) -> DataFrame:
@@ -40,31 +43,27 @@ def _cut(docs: DataFrame, *keep: str) -> DataFrame:
         F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK_CHARS}}}"), F.lit(0))
     )
     cut = docs.select(*keep, pieces.alias("pieces")).select(*keep, F.size("pieces").alias("n_blocks"), F.posexplode("pieces").alias("at", "block"))
-    return cut.withColumn("h", F.xxhash64("block"))
+    return cut.withColumn("h", _hash("block"))
+
+
+def _first_names(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """(row_id, doc_id, sha, n_blocks, at, name): the blocks of ``rows`` under their names; sha with the first block only."""
+    blocks = _named(_cut(texts).select("h", "block").distinct(), ["block"])
+    names = materialise(blocks.select("h", "name"), "names")
+    shared = materialise(names.groupBy("h").count().where("count > 1").select("h"), "shared")
+    keep = ("row_id", "doc_id", "sha", "n_blocks", "at", "name")
+    found = _cut(rows, "row_id", "doc_id", "sha").withColumn("sha", F.when(F.col("at") == 0, F.col("sha")))
+    if shared.isEmpty():
+        return found.drop("block").join(names, "h").select(*keep)
+    alone = found.join(shared, "h", "left_anti").drop("block").join(names, "h").select(*keep)
+    return alone.unionByName(found.join(shared, "h", "left_semi").join(blocks.join(shared, "h", "left_semi"), ["h", "block"]).select(*keep))
 
 
 def identities(docs: DataFrame) -> DataFrame:
     """(row_id, doc_id, sha, n_blocks, name): one row per row of ``docs``; equal (n_blocks, name) means equal texts."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = texts.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.sha2("text", 256).alias("sha"), "text")
-    keyed = _cut(rows, "row_id", "doc_id", "sha").withColumn("sha", F.when(F.col("at") == 0, F.col("sha")))
-
-    counts = materialise(_cut(texts).groupBy("h").count(), "counts")
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    often = counts.where(F.col("count") > max(1, total // HOT_SHARE)).select("h")
-    hot_hashes = [r.h for r in often.collect()]  # HOT_SHARE at most
-    buckets = max(1, total // BUCKET_ROWS)
-    listed = []
-    if hot_hashes:
-        hot = _cut(texts).where(F.col("h").isin(hot_hashes)).groupBy("block").agg(F.first("h").alias("h"))
-        listed = [(r.h, r.block, -1 - i) for i, r in enumerate(hot.sort("block").collect())]
-    listed = docs.sparkSession.createDataFrame(listed, "h long, block string, fixed long")
-    keyed = keyed.join(F.broadcast(listed), ["h", "block"], "left")
-    keyed = keyed.withColumn("block", F.when(F.col("fixed").isNull(), F.col("block")).otherwise(""))  # stays behind
-    bucket = F.pmod(F.when(F.col("fixed").isNull(), F.col("h")).otherwise(F.xxhash64("row_id", "at")), F.lit(buckets))
-    nodes = _named(keyed, ["block"], bucket)
-    nodes = nodes.select("row_id", "doc_id", "sha", "n_blocks", "at", F.coalesce("fixed", "rank").alias("name"))
-    nodes = materialise(nodes, "blocks")
+    nodes = materialise(_first_names(texts, rows), "blocks")
 
     heads = nodes.where("at = 0").select("row_id", "doc_id", "sha", "n_blocks")
     done = nodes.where("n_blocks = 1").select("row_id", "name")
@@ -76,8 +75,7 @@ def identities(docs: DataFrame) -> DataFrame:
             F.max(F.when(F.col("at") % 2 == 0, F.col("name"))).alias("left"), F.max(F.when(F.col("at") % 2 == 1, F.col("name"))).alias("right")
         )
         pairs = materialise(pairs.withColumn("right", F.coalesce("right", F.lit(-(1 << 62)))), "pairs")
-        distinct = pairs.select("left", "right").distinct()
-        names = _named(distinct, ["left", "right"], F.pmod(F.xxhash64("left", "right"), F.lit(buckets))).withColumnRenamed("rank", "name")
+        names = materialise(_named(pairs.select("left", "right").distinct(), ["left", "right"]), "names")
         level = materialise(pairs.join(names, ["left", "right"]).select("row_id", "at", "nodes", "name"), "level")
         done = done.unionByName(level.where("nodes = 1").select("row_id", "name"))
         level, left = level.where("nodes > 1"), (left + 1) // 2

@@ -9,8 +9,10 @@ from itertools import combinations
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from loomsift.llm import attribution, bpe, components, dedup, licenses, linededup, packing, secrets, simhash, toxicity, vafile
 
@@ -23,6 +25,7 @@ ODD = [
     (9, "CC by all rights Reserved general\npublic license"), (10, "é<|endoftext|>İ ǅ 中文 '!!'s don't x1y2 ½"), (11, None), (12, "line one of five words\nline two of five words 7"), (13, "line two of five words 8"),
 ]
 SCHEMA = "doc_id long, text string"
+_FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 @pytest.fixture(scope="module")
@@ -80,15 +83,28 @@ def test_forest_is_all_links(found, radius, size):
     assert len(links) == len(prints) - len(set(brute_components(prints, near).values()))
 
 
-def test_fingerprint_and_components(odd):
-    import xxhash
+def brute_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(_FOLD))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    digests = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    return sum(1 << bit for bit in range(64) if 2 * sum(d >> bit & 1 for d in digests) > len(digests))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="aAbB zÉé\x1c\x85\xa0\t\n\x0b中", max_size=40))
+def test_fingerprint(text):
+    assert simhash.fingerprint(text) == brute_fingerprint(text)
+
 
+def test_fingerprint_and_components(odd):
     assert simhash.fingerprint("A b") == xxhash.xxh64_intdigest(b"a b", 42) and simhash.fingerprint("\x0b") == 0 == simhash.fingerprint(None)
     got = simhash.near_components(odd).collect()
-    assert Counter((r.doc_id, r.fingerprint) for r in got) == Counter((i, f"{simhash.fingerprint(t):016x}") for i, t in ODD)
+    assert Counter((r.doc_id, r.fingerprint) for r in got) == Counter((i, f"{brute_fingerprint(t):016x}") for i, t in ODD)
     least = {}
     for i, t in ODD:
-        f = simhash.fingerprint(t)
+        f = brute_fingerprint(t)
         least[f] = min(least.get(f, 10**9), i if i is not None else 10**9)
     root = brute_components(list(least), lambda a, b: (a ^ b).bit_count() <= 2)
     groups = defaultdict(list)
@@ -325,9 +341,6 @@ def test_toxicity_with_few_labels(spark, odd, labels):
 
 # 7 licences
 
-_FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def brute_license(text):
     w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate(_FOLD))
     at = [(i, label) for p, label in licenses.BASE.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
@@ -456,6 +469,7 @@ def test_exact_duplicates(spark, odd, monkeypatch):
 
     check(dedup.exact_duplicates(odd), ODD)
     monkeypatch.setattr(dedup, "BLOCK_CHARS", 2)
-    monkeypatch.setattr(dedup, "HOT_SHARE", 3)
     docs = [(i, ("ab" * (i % 5) + "c" * (i % 3) + "é🎈" * (i % 4)) * (1 + i % 2)) for i in range(120)] + [(200 + i, "abababab") for i in range(60)] + [(300, "abab"), (300, "abab")]
     check(dedup.exact_duplicates(spark.createDataFrame(docs, SCHEMA).repartition(3)), docs)
+    monkeypatch.setattr(dedup, "_hash", lambda *c: F.xxhash64(*[F.length(F.col(x).cast("string")) for x in c]))  # very many blocks share a hash
+    check(dedup.exact_duplicates(spark.createDataFrame(docs, SCHEMA).repartition(3)), docs)
