@@ -148,11 +148,13 @@ def near_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
         for block in blanked:
             mask &= ~(0xFF << 8 * block)
         masks.append(mask - (1 << 64) if mask >> 63 else mask)
-    keyed = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("mask", "key"))
+    keyed = prints.repartition("fp").select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("mask", "key"))
     buckets = keyed.groupBy("mask", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
     edges = buckets.select("fps").mapInArrow(_links(radius), "a long, b long")
     roots = connected(edges)
     placed = prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", "n_same", F.coalesce("root", "fp").alias("root"))
     placed = materialise(placed, "placed")
-    named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "n_same", "component_id")
+    # written, so that the join is between two plain exchanges, of which a hot root's is split
+    named = materialise(placed.groupBy("root").agg(F.min("least").alias("component_id")), "named")
+    named = placed.join(named, "root").select("fp", "n_same", "component_id")
     return rows.join(named, "fp").select("doc_id", "digest", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_same")
