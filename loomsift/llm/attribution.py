@@ -4,11 +4,16 @@ A document is encoded once with a public byte-level vocabulary. Each token cover
 bytes; sections cover spans too, both in ascending order, and the two are joined as intervals.
 A token that crosses from one section to the next counts for the section that holds its first
 byte, so a document's counts add up to its tokens.
+
+The vocabulary's library can't match white space of any length. A long run of it is taken out
+and encoded apart, as the pattern would part it: all of a run at the end of the text, and all but
+the last character of another, which goes with what follows.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -16,8 +21,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from loomsift.llm.frames import slices
+
+#: Characters of a run of white space that is encoded apart.
+LONG_RUN = 4096
+# The characters that the pattern's class for white space holds.
+_SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Rows of a result batch.
 BATCH_ROWS = 50_000
+_RUN = re.compile(f"[{_SPACES}]{{{LONG_RUN},}}+")
 
 
 class ByteBpe:
@@ -33,9 +45,19 @@ class ByteBpe:
         for token, rank in ranks.items():
             self.lengths[rank] = len(token)
 
+    def ids(self, text: str) -> list[int]:
+        """The tokens of a text; the pattern must give white space before a word the last of its characters alone, as ``\\s+(?!\\S)`` does."""
+        at, found = 0, []
+        for run in _RUN.finditer(text) if len(text) >= LONG_RUN else ():
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            found += self.encoding.encode_ordinary(text[at : run.start()])
+            found += self.encoding._encode_single_piece(text[run.start() : end])
+            at = end
+        return found + self.encoding.encode_ordinary(text[at:]) if at else self.encoding.encode_ordinary(text)
+
     def spans(self, text: str) -> np.ndarray:
         """The end of each token in bytes of UTF-8."""
-        return np.cumsum(self.lengths[np.array(self.encoding.encode_ordinary(text), dtype=np.int64)])
+        return np.cumsum(self.lengths[np.array(self.ids(text), dtype=np.int64)])
 
 
 @lru_cache(4)
@@ -75,7 +97,7 @@ def section_tokens(docs: DataFrame, path: str, pattern: str, sections: Callable[
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             rows, n = [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 raw = (text or "").encode("utf-8")
