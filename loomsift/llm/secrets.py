@@ -3,8 +3,7 @@
 Every text version is addressed by its SHA-256. The ledger holds which (blob, rule version)
 pairs have been scanned and what was found; a scan reads only blobs that are not in it under a
 rule version, each once however many rows (paths) hold it, and findings are joined back to all
-paths. One row stands for a blob: the least doc_id among its paths, found with map-side
-combine; rows are dealt to the scan by (blob, doc_id), so many copies of a blob spread out.
+paths. Copies of a blob are combined before they are shuffled, so that each task sends it once.
 """
 
 from __future__ import annotations
@@ -16,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomsift.scratch import bounded_batches, materialise
+from loomsift.llm.frames import free, slices
+from loomsift.scratch import materialise
 
 # The base rules' patterns and least lengths.
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -29,7 +29,8 @@ _MORE = {
     "pem": re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+(?:-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----)?"),
     "forge": re.compile(r"(?:gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,})", re.ASCII),
     "chat": re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}", re.ASCII),
-    "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", re.ASCII),
+    # from the start of a run, so that a long run is read once
+    "jwt": re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", re.ASCII),
 }
 _MORE_HINTS = {"pem": ("-----BEGIN",), "forge": ("gh", "glpat-"), "chat": ("xox",), "jwt": ("eyJ",)}
 #: Kinds by rule version; a later version holds new rules only, so that old blobs are scanned for those alone.
@@ -62,7 +63,7 @@ def find(text: str, versions: tuple[int, ...] = tuple(RULES)) -> list[tuple[int,
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         found = [
             [{"start": s, "end": e, "kind": k} for s, e, k in find(text, tuple(versions))]
             for text, versions in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
@@ -70,36 +71,44 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, _SPAN_TYPE)], names=["blob", "versions", "spans"])
 
 
-def _paths(docs: DataFrame) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("path"), F.sha2(text, 256).alias("blob"), text.alias("text"))
+def _blob() -> Column:
+    return F.sha2(F.coalesce("text", F.lit("")), 256)
+
+
+def pending(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+    """(blob, text, versions): a row per distinct text of ``docs`` with the rule versions that ``ledger`` has not scanned it under."""
+    every = F.array(*[F.lit(v) for v in sorted(RULES)])
+    blobs = docs.select(_blob().alias("blob"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["blob"])
+    if ledger is None:
+        return blobs.withColumn("versions", every)
+    done = ledger.groupBy("blob").agg(F.collect_set("version").alias("done"))  # a rule version each
+    left = F.when(F.col("done").isNull(), every).otherwise(F.array_except(every, "done"))
+    return blobs.join(done, "blob", "left").select("blob", "text", left.alias("versions")).where(F.size("versions") > 0)
 
 
 def update_ledger(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """The ledger rows (blob, version, spans) that ``docs`` adds: one per blob and rule version not in ``ledger`` yet."""
-    asked = _paths(docs).groupBy("blob").agg(F.min("path").alias("path"))
-    asked = asked.select("blob", "path", F.explode(F.array(*[F.lit(v) for v in sorted(RULES)])).alias("version"))
-    if ledger is not None:
-        asked = asked.join(ledger.select("blob", "version"), ["blob", "version"], "left_anti")
-    asked = asked.groupBy("blob", "path").agg(F.sort_array(F.collect_list("version")).alias("versions"))  # a rule version each
-    blobs = _paths(docs).join(asked, ["blob", "path"]).select("blob", "text", "versions")
-    scanned = blobs.mapInArrow(_scan, f"blob string, versions array<int>, spans {_SPANS}")
-    scanned = scanned.dropDuplicates(["blob"])  # rows repeated whole
+    scanned = pending(docs, ledger).mapInArrow(_scan, f"blob string, versions array<int>, spans {_SPANS}")
     rows = scanned.select("blob", "spans", F.explode("versions").alias("version"))
     kinds = F.create_map(*[x for v, ks in RULES.items() for x in (F.lit(v), F.array(*[F.lit(k) for k in ks]))])
     return rows.select("blob", "version", F.filter("spans", lambda x: F.array_contains(kinds[F.col("version")], x["kind"])).alias("spans"))
 
 
-def findings(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """(doc_id, blob, spans) for every row of ``docs``: the spans of all rule versions, ordered as by ``find``."""
-    new = materialise(update_ledger(docs, ledger), "ledger")
-    whole = new if ledger is None else new.unionByName(ledger.select("blob", "version", "spans"))
+def scan(docs: DataFrame, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Findings (doc_id, blob, spans) for every row of ``docs``, and the ledger with what this scan adds.
+
+    Spans are those of all rule versions, ordered as by ``find``; null without any. Write the
+    ledger down and hand it to the next scan, which then reads new blobs and new rules only.
+    """
+    whole = materialise(update_ledger(docs, ledger), "ledger")
+    if ledger is not None:
+        whole = whole.unionByName(ledger.select("blob", "version", "spans"))
     order = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
-    found = whole.groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    found = whole.where(F.size("spans") > 0).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     keyed = F.transform("spans", lambda x: F.struct(x["start"].alias("start"), order[x["kind"]].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind")))
-    found = found.where(F.size("spans") > 0).select("blob", F.sort_array(keyed).alias("spans"))
+    found = found.select("blob", F.sort_array(keyed).alias("spans"))
     found = materialise(found, "found")  # so that the join is between two plain exchanges, of which a hot one is split
-    return _paths(docs).select("doc_id", "blob").join(found, "blob", "left").select("doc_id", "blob", "spans")
+    return docs.select("doc_id", _blob().alias("blob")).join(found, "blob", "left").select("doc_id", "blob", "spans"), whole
 
 
 def _joined(spans: Column) -> Column:
@@ -114,7 +123,7 @@ def secrets(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     other columns of ``docs`` are not read.
     """
     spans = F.coalesce("spans", F.array().cast("array<struct<start: int, rank: int, end: int, kind: string>>"))
-    found = findings(docs, ledger).select("doc_id", spans.alias("spans"))
+    found = scan(docs, ledger)[0].select("doc_id", spans.alias("spans"))
     base = F.filter("spans", lambda x: x["rank"] < len(BASE))
     counts = [F.expr(f"cast(size(filter(spans, x -> x.kind = '{k}')) as long)").alias(f"n_{k}") for k in BASE]
     return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
@@ -126,18 +135,19 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     Spans that overlap are replaced by one mark. Rows without findings, null texts among them,
     stay as they are; columns and rows are those of ``docs``.
     """
-    new = materialise(update_ledger(bounded_batches(docs)), "ledger").where(F.size("spans") > 0).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("__spans"))
-    new = materialise(new.withColumnRenamed("blob", "__blob"), "found")
-    found = docs.withColumn("__blob", F.sha2(F.coalesce("text", F.lit("")), 256)).join(new, "__blob", "left")
+    new = materialise(update_ledger(docs), "ledger").where(F.size("spans") > 0).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    blob, spans = free("blob", docs.columns), free("spans", docs.columns)
+    new = materialise(new.select(F.col("blob").alias(blob), F.col("spans").alias(spans)), "found")
+    found = docs.withColumn(blob, _blob()).join(new, blob, "left")
     schema = docs.schema
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist()):
-                if spans:
+            for text, said in zip(batch.column("text").to_pylist(), batch.column(spans).to_pylist()):
+                if said:
                     parts, at = [], 0
-                    for s, e in sorted((x["start"], x["end"]) for x in spans):
+                    for s, e in sorted((x["start"], x["end"]) for x in said):
                         if s >= at:
                             parts += [text[at:s], mark]
                         at = max(at, e)
@@ -146,5 +156,5 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
             columns = [pa.array(texts, pa.string()) if name == "text" else batch.column(name) for name in schema.names]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    out = found.select(*[F.col(f"`{x}`") for x in docs.columns], "__spans").mapInArrow(cover, schema)
+    out = found.select(*[F.col(f"`{x}`") for x in docs.columns], spans).mapInArrow(cover, schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -173,19 +174,54 @@ def test_secrets_and_ledger(spark, odd):
     got = secrets.secrets(odd).collect()
     want = Counter((i, hashlib.sha256(",".join(brute_base(t or "")).encode()).hexdigest()) for i, t in ODD)
     assert Counter((r.doc_id, r.base_sha256) for r in got) == want
+    texts = {t or "" for _, t in ODD}
+    assert sorted(r.text for r in secrets.pending(odd).collect()) == sorted(texts)  # each text is scanned once
     ledger = secrets.update_ledger(odd)
-    assert ledger.count() == len({t or "" for _, t in ODD}) * len(secrets.RULES) == ledger.select("blob", "version").distinct().count()
+    assert ledger.count() == len(texts) * len(secrets.RULES) == ledger.select("blob", "version").distinct().count()
     assert secrets.update_ledger(odd, ledger).count() == 0
-    more = spark.createDataFrame([(1, "new token=abcdefghijkl"), (2, "")], SCHEMA)
-    assert secrets.update_ledger(more, ledger).count() == len(secrets.RULES)
+    more = spark.createDataFrame([(1, "new token=abcdefghijkl"), (2, ""), (None, "n"), (None, "n")], SCHEMA)
+    assert secrets.pending(more, ledger).count() == 2
+    found, whole = secrets.scan(more, ledger)
+    assert rows_of(found) == rows_of(secrets.scan(more)[0]) and secrets.pending(odd.select("doc_id", "text").union(more), whole).count() == 0
     assert rows_of(secrets.secrets(more, ledger)) == rows_of(secrets.secrets(more))
     old = ledger.where("version = 1")  # a new rule version is scanned alone
     assert {r.version for r in secrets.update_ledger(odd, old).collect()} == {2}
 
 
+def test_copies_without_an_id_are_one_blob(spark):
+    df = spark.createDataFrame([(None, "token=abcdefghijkl")] * 50, SCHEMA).repartition(5)
+    assert secrets.pending(df).count() == 1 and [r.n_assign for r in secrets.secrets(df).collect()] == [1] * 50
+
+
+PLANTED = [
+    ("jwt", "eyJhbGciOiJI.eyJzdWIiOiIx.abcdefgh-_", 0), ("forge", "ghp_" + "aB1" * 12, 0), ("forge", "glpat-" + "x-" * 10, 0), ("chat", "xoxb-12345-abcDE", 0), ("access", "AKIA" + "Z" * 14, 0),
+    ("assign", "password: 'abcdefghijkl", 0), ("hex", "0123456789abcdef", 0), (None, "eyJhbG.eyJ.x", 0), (None, "ghp_short", 0), (None, "a word", 0), (None, "xeyJhbGciOiJI.eyJzdWIiOiIx.abcdefgh", 0),
+]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(PLANTED), max_size=8))
+def test_spans_of_all_kinds(parts):
+    text, want = "é", []
+    for kind, said, _ in parts:
+        text += " "
+        if kind:
+            want.append((len(text), len(text) + len(said), kind))
+        text += said
+    assert secrets.find(text) == want  # no two start at one place
+
+
+@pytest.mark.parametrize("text", ["eyJ" * 400_000, "eyJaaaaaaaa." * 80_000, "-----BEGIN " * 90_000, "-----BEGIN " + "A" * 1_000_000, "token" * 200_000 + " " * 100_000, "ghp_" * 200_000, "xoxb-" * 200_000, "AKIA" * 250_000])
+def test_scans_are_linear(text):
+    began = time.process_time()
+    secrets.find(text)
+    assert time.process_time() - began < 3
+
+
 def test_redact(spark, odd):
-    out = secrets.redact(odd)
-    assert out.columns == odd.columns and out.count() == len(ODD)
+    rows = odd.select("*", F.lit("b").alias("blob"), F.lit("s").alias("Spans"), F.lit(1).alias("__spans"), F.lit(2).alias("__blob"))
+    out = secrets.redact(rows)
+    assert out.columns == rows.columns and out.count() == len(ODD) and out.where("blob = 'b' and spans = 's' and __spans = 1 and __blob = 2").count() == len(ODD)
     texts = [r.text for r in out.collect()]
     assert None in texts and "[SECRET]' [SECRET] [SECRET]" in texts and not any(brute_base(t or "") for t in texts)
 
@@ -251,11 +287,39 @@ def test_attribution(text):
     assert at == len(raw) and list(tokens) == [counts[i] for i in range(len(starts))] and list(crossing) == [over[i] for i in range(len(starts))]
 
 
+def brute_sections(i, text):
+    b = attribution.vocabulary(BYTE, public_tokenizers.PATTERN).encoding
+    starts, at, raw = Counter(), 0, (text or "").encode()
+    crossing, lines = Counter(), [x for x in re.split(rb"(?<=\n)", raw) if x] or [b""]
+    ends = np.cumsum([len(x) for x in lines]).tolist()
+    for t in b.encode_ordinary(text or ""):
+        k = next(k for k, e in enumerate(ends) if at < e)
+        starts[k] += 1
+        at += len(b.decode_single_token_bytes(t))
+        crossing[k] += at > ends[k]
+    return [(i, k, e - len(x), len(x), starts[k], crossing[k]) for k, (x, e) in enumerate(zip(lines, ends))]
+
+
 def test_section_rows(odd):
-    rows = attribution.section_tokens(odd, BYTE, public_tokenizers.PATTERN).collect()
-    assert sum(r.section == 0 for r in rows) == len(ODD)
+    rows = rows_of(attribution.section_tokens(odd, BYTE, public_tokenizers.PATTERN))
+    assert rows == sorted((r for i, t in ODD for r in brute_sections(i, t)), key=repr)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="a1. \n\t\r\x1c\x85\xa0\u2003\u3000é", max_size=40))
+def test_runs_apart_are_the_librarys(text):
     b = attribution.vocabulary(BYTE, public_tokenizers.PATTERN)
-    assert sum(r.n_tokens for r in rows) == sum(len(b.encoding.encode_ordinary(t or "")) for _, t in ODD)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(attribution, "LONG_RUN", 0)
+        m.setattr(attribution, "_RUN", re.compile(f"[{attribution._SPACES}]{{2,}}+"))
+        assert b.ids(text) == b.encoding.encode_ordinary(text)
+
+
+def test_megabytes_of_white_space(spark):
+    texts = [" " * 1_200_000, "a" + " \t" * 600_000 + "b\n", "x" + "\n " * 600_000 + " y", "a" * 300_000]
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    got = {r.doc_id: r for r in attribution.section_tokens(df, BYTE, public_tokenizers.PATTERN).groupBy("doc_id").agg(F.sum("length").alias("n"), F.count("*").alias("rows"), F.sum("n_tokens").alias("tokens")).collect()}
+    assert [got[i].n for i in range(4)] == list(map(len, texts)) and [got[i].rows for i in range(4)] == [1, 1, 600_001, 1] and all(r.tokens for r in got.values())
 
 
 # 6 toxicity
