@@ -238,33 +238,53 @@ def test_whole_private_keys():
 # 4 exact top-k
 
 
-@pytest.mark.parametrize("big", [3, 1000, 1 << 40])
-def test_best_is_exact(big):
-    rng = np.random.default_rng(big)
-    for _ in range(40):
+@pytest.mark.parametrize("big", [0, 3, 1000, 1 << 40, (1 << 63) - 1])
+def test_bounds_hold(big):
+    rng = np.random.default_rng(big % 1000)
+    for _ in range(20):
         n, d = rng.integers(1, 300), rng.integers(1, 8)
-        v, ids = rng.integers(-big, big + 1, (n, d)), rng.permutation(2 * n)[:n]
-        got = defaultdict(list)
-        for i, p, s in vafile.best(v[:3], ids[:3], v, ids, 5):
-            got[i].append((-s, int(ids[p])))
-        for i in range(min(3, n)):
-            want = sorted((-sum(int(a) * int(b) for a, b in zip(v[i], v[p])), int(ids[p])) for p in range(n) if ids[p] != ids[i])[:5]
-            assert got[i] == want
+        v, q = (rng.integers(-big, big, (m, d), endpoint=True) for m in (n, 5))
+        cells, low, width = vafile.approximate(v)
+        assert all(int(low[j]) + int(c) * int(width[j]) <= int(v[i, j]) < int(low[j]) + (int(c) + 1) * int(width[j]) for (i, j), c in np.ndenumerate(cells))
+        upper, gap = vafile.bounds(q, cells, low, width)
+        for i in range(5):
+            for p in range(n):
+                said = sum(int(a) * int(b) for a, b in zip(q[i], v[p]))
+                assert upper[i, p] - gap[i] <= said <= upper[i, p]
+                assert vafile.scores(q[i : i + 1], v[p : p + 1]).tolist() == [min(2**63 - 1, max(-(2**63), said))]
+
+
+def brute_top(vectors, k=10):
+    cut = lambda x: min(2**63 - 1, max(-(2**63), x))
+    ints = [(i, [cut(int(np.floor(1024 * x))) for x in v]) for i, v in vectors]
+    want = []
+    for q in sorted({i for i, _ in ints if i % 100 == 0}):
+        asked = {tuple(v) for i, v in ints if i == q}
+        ranked = sorted((-cut(sum(a * b for a, b in zip(s, v))), i) for s in asked for i, v in ints if i != q)[:k]
+        want += [(q, r, c, -s) for r, (s, c) in enumerate(ranked, 1)]
+    return sorted(want, key=repr)
 
 
-def test_top_k(spark):
+def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(5)
     vectors = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(250)] + [(300, [0.1] * 6), (301, [0.1] * 6)]
     bad = [(400, None), (500, [1.0, None] + [0.0] * 4), (600, [float("nan")] * 6), (700, [float("inf")] * 6), (None, [1.0] * 6)]
-    df = spark.createDataFrame([(*v, 1) for v in vectors + bad], "vec_id long, embedding array<double>, score int")
-    ints = {i: [int(np.floor(1024 * x)) for x in v] for i, v in vectors}
-    want = []
-    for q in (i for i in ints if i % 100 == 0):
-        ranked = sorted((-sum(a * b for a, b in zip(ints[q], ints[c])), c) for c in ints if c != q)[:10]
-        want += [(q, k, c, -s) for k, (s, c) in enumerate(ranked, 1)]
-    assert rows_of(vafile.top_k(df)) == sorted(want, key=repr)
+    schema = "vec_id long, embedding array<double>, score int, row int, v string"
+    df = spark.createDataFrame([(*v, 1, 2, "v") for v in vectors + bad], schema)
+    assert rows_of(vafile.top_k(df)) == brute_top(vectors)
+    for name, n in (("BLOCK_VECTORS", 40), ("BLOCK_QUERIES", 2), ("FIRST", 1)):
+        monkeypatch.setattr(vafile, name, n)
+    # a very common vector, rows repeated under one id, equal and unlike queries of one id, and components beyond a long
+    hot = [(i, [3.0, 1.0, 0.0, 0.0, 0.0, 0.5]) for i in range(400, 700)] + [(5000, [3.0] * 6)] * 30 + [(5001, [3.0] * 6)] * 2 + [(100, [1.0] * 6), (100, [1.0] * 6), (100, [-1.0] * 6)]
+    huge = [(800, [1e17] * 6), (801, [1e17] * 6), (802, [-1e17] * 6), (803, [1e15, 0.0, 0.0, 0.0, 0.0, -1e15]), (900, [1e15] * 6), (901, [1e300] * 6), (1000, [-1e17] * 5 + [3.0])]
+    for more in (hot, huge, hot + huge):
+        df = spark.createDataFrame([(*v, 1, 2, "v") for v in vectors + more], schema).repartition(5)
+        assert rows_of(vafile.top_k(df)) == brute_top(vectors + more)
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>")
     assert rows_of(vafile.top_k(few)) == [(0, 1, 1, 1024 * 2048)]
+    uneven = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0]), (2, []), (3, [0.0, 1.0, 5.0])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in vafile.top_k(uneven).sort("rank").collect()] == [(1, 1024 * 2048), (3, 2048 * 1024), (2, 0)]
+    assert vafile.top_k(few.where("vec_id = 1")).collect() == []
 
 
 # 5 token counts
