@@ -425,21 +425,75 @@ def test_toxicity_with_few_labels(spark, odd, labels):
 
 # 7 licences
 
+def license_words(text):
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate(_FOLD))
+
+
 def brute_license(text):
-    w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate(_FOLD))
+    w = license_words(text)
     at = [(i, label) for p, label in licenses.BASE.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
     starts = [i for i, _ in at]
     return len(w), len(at), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in at}))
 
 
+def brute_spans(w, wording):
+    """By diagonal voting over all pairs of places, chains tried one by one."""
+    t = license_words(wording)
+    votes = defaultdict(set)
+    for i in range(len(w) - 2):
+        for j in range(len(t) - 2):
+            if w[i : i + 3] == t[j : j + 3]:
+                votes[i - j].add(j)
+    chains = []
+    for d in sorted(votes, key=lambda d: (d + min(votes[d]), d)):
+        near = [c for c in chains if abs(c[-1] - d) <= 3 and min(votes[d]) > max(votes[c[-1]])]
+        covered = lambda c: len({j + i for x in c for j in votes[x] for i in range(3)})
+        if near:
+            max(near, key=lambda c: (covered(c), -abs(c[-1] - d), -min(x + min(votes[x]) for x in c))).append(d)
+        else:
+            chains.append([d])
+    return [covered(c) / len(t) for c in chains if covered(c) >= max(0.6 * len(t), min(5, len(t)))] if chains else []
+
+
+def brute_labels(text):
+    w = license_words(text)
+    *_, base = brute_license(text)
+    found = [(label, x) for label, ps in licenses.TEMPLATES.items() for p in ps for x in brute_spans(w, p)]
+    labels = {label for label, _ in found} | set(base.split(",")) - {""}
+    return ",".join(sorted(labels)), round(max([x for _, x in found] + [1.0 if base else 0.0]), 9)
+
+
+def test_words_put_in_and_left_out():
+    for label, ps in licenses.TEMPLATES.items():
+        for p in ps:
+            t = license_words(p)
+            if len(t) < licenses.LEAST_WORDS + licenses.GRAM:
+                continue
+            for i in range(len(t) + 1):
+                for said in (t[:i] + ["truly"] + t[i:], t[:i] + t[i + 1 :], t[:i] + t[i + 2 :] if len(t) > 11 else t):
+                    w = ["before"] * 4 + said + ["after"]
+                    votes = defaultdict(list)
+                    for k in range(len(w) - 2):
+                        for j in range(len(t) - 2):
+                            if w[k : k + 3] == t[j : j + 3]:
+                                votes[k - j].append(j)
+                    spans = licenses.merged(list(votes.items()), len(t))
+                    assert spans and all(0.6 <= x[2] <= 1 for x in spans), (label, i, len(t))
+                    assert max(x[2] for x in spans) >= (len(t) - 5) / len(t) and min(x[0] for x in spans) <= 8
+
+
 def test_licenses(spark, odd):
-    more = [(20, "cc by by cc by cc"), (21, "İcc by K cc by"), (22, "Permission is hereby granted, free of all charge, to any person obtaining a copy"), (23, "general public licenses"), (24, "!cc  BY!"), (25, "License under")]
+    mit = licenses.TEMPLATES["mit"][2]
+    more = [(20, "cc by by cc by cc"), (21, "İcc by \u212a cc by"), (22, "Permission is hereby granted, free of all charge, to any person obtaining a copy"), (23, "general public licenses"), (24, "!cc  BY!"), (25, "License under")]
+    more += [(26, "Permission is hereby granted to any person obtaining a copy"), (27, "Permission is hereby truly granted free of charge to any person obtaining a copy"), (28, "Permission is hereby granted of charge to any person obtaining a copy")]
+    more += [(30 + i, f"word here {p} and there. {p}") for i, p in enumerate(p for ps in licenses.TEMPLATES.values() for p in ps)]
+    more += [(70, mit.replace("without limitation", "").replace("merge", "merge and fold").upper()), (71, mit[: len(mit) // 2]), (72, mit[: len(mit) * 2 // 3] + " in the software " * 50), (73, "the software of the software in the software " * 300)]
     df = odd.select("doc_id", "text").union(spark.createDataFrame(more, SCHEMA))
     rows = licenses.licenses(df).collect()
     assert Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in rows) == Counter((i, *brute_license(t)) for i, t in ODD + more)
-    for r in rows:
-        assert 0 <= r.score <= 1 and set(r.base_labels.split(",")) - {""} <= set(r.labels.split(","))
-    assert next(r.labels for r in rows if r.doc_id == 22) == "mit"
+    assert Counter((r.doc_id, r.labels, round(r.score, 9)) for r in rows) == Counter((i, *brute_labels(t)) for i, t in ODD + more)
+    assert all(r.labels == "mit" and 0.6 <= r.score <= 1 for r in rows if r.doc_id in (22, 26, 28, 70)) and all(r.score == 1 for r in rows if 30 <= (r.doc_id or 0) < 70)
+    assert next(r.labels for r in rows if r.doc_id == 73) == "" and next((r.labels, r.score) for r in rows if r.doc_id == 27) == ("mit", 1.0)
 
 
 # 8 BPE
