@@ -99,21 +99,36 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op2_line_dedup"] = r"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+WITH d AS (SELECT coalesce(doc_id, -9223372036854775808) AS id, doc_id, coalesce(text, '') AS text FROM documents),
 lines AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM d
+  SELECT doc_id, id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM d
 ), masked AS (
-  SELECT doc_id, line_no, line,
-         regexp_replace(regexp_replace(line, '^[ \t\x0B\f\r]+|[ \t\x0B\f\r]+$', '', 'g'), '[^ \t\x0B\f\r]*[0-9@][^ \t\x0B\f\r]*', '<*>', 'g') AS m
+  SELECT doc_id, id, line_no, line, regexp_replace(regexp_replace(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)),
+         '[ \t\x0B\f\r]+', ' ', 'g'), '[^ ]*[0-9@][^ ]*', '<*>', 'g') AS m
   FROM lines
 ), tokens AS (
-  SELECT *, string_split_regex(m, '[ \t\x0B\f\r]+') AS t FROM masked
+  SELECT *, string_split(m, ' ') AS t, len(string_split(m, ' ')) AS n, (len(m) - len(replace(m, '<*>', ''))) // 3 AS wild FROM masked
+), able AS (
+  SELECT * FROM tokens WHERE replace(replace(m, '<*>', ''), ' ', '') <> '' AND (n >= 5 OR len(m) >= 32 OR regexp_matches(m, '\pL'))
+), exact AS (
+  SELECT m, min(id) AS first, max(id) AS last, any_value(t) AS t, any_value(n) AS n, any_value(wild) AS wild, count(DISTINCT id) AS documents
+  FROM able GROUP BY m
+), bands AS (
+  SELECT m, first, last, n, wild, list_transform(range(8), lambda k: array_to_string(list_slice(t, n * k // 8 + 1, n * (k + 1) // 8), ' ')) AS b FROM exact WHERE n >= 8
+), free AS (
+  SELECT a.k AS a, c.k AS c FROM range(1, 8) a(k) JOIN range(1, 8) c(k) ON a.k < c.k
 ), keyed AS (
-  SELECT doc_id, line_no, line, CASE WHEN len(t) >= 5 AND len(list_filter(t, lambda x: x <> '<*>')) > 0 THEN array_to_string(t, ' ') END AS template FROM tokens
+  SELECT m, first, last, concat_ws(chr(10), n, a, c, array_to_string(list_transform(range(8), lambda k: CASE WHEN k IN (a, c) THEN chr(11) ELSE b[k + 1] END), chr(10))) AS key
+  FROM bands JOIN free ON n - (n * (a + 1) // 8 - n * a // 8) - (n * (c + 1) // 8 - n * c // 8) - wild >= 5
+), templates AS (
+  SELECT key, min(first) AS first FROM keyed GROUP BY key HAVING count(*) >= 3 AND min(first) < max(last)
 ), firsts AS (
-  SELECT template, min(doc_id) AS first FROM keyed WHERE template IS NOT NULL GROUP BY template HAVING min(doc_id) < max(doc_id)
+  SELECT m, min(first) AS first FROM (
+    SELECT m, first FROM exact WHERE CASE WHEN n >= 5 OR len(m) >= 32 THEN first < last ELSE documents >= 10 END
+    UNION ALL SELECT k.m, t.first FROM keyed k JOIN templates t ON k.key = t.key
+  ) GROUP BY m
 ), marked AS (
-  SELECT k.doc_id, k.line_no, k.line, coalesce(k.doc_id > f.first, false) AS gone FROM keyed k LEFT JOIN firsts f ON k.template = f.template
+  SELECT k.doc_id, k.id, k.line_no, k.line, coalesce(k.id > f.first, false) AS gone FROM tokens k LEFT JOIN firsts f ON k.m = f.m
 )
 SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE NOT gone), '') AS text,
        count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped
