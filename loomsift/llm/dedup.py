@@ -1,16 +1,18 @@
 """Exact duplicates by deterministic block naming.
 
-A text is cut into blocks of a fixed size. Equal blocks get one integer name: the distinct
-blocks, made one each before they are shuffled, are dealt by a hash into buckets, sorted inside the
-bucket by their whole content, and numbered; so names depend on content alone and two different
-blocks never share one. Then adjacent names are paired and the pairs named in the same way,
-level by level, until one name stands for a document. Texts with as many blocks pass the
-same levels, so (number of blocks, name) is one identity per text without collisions.
+A text is cut into blocks of a fixed size. Equal blocks get one integer name: copies become one
+before they are shuffled, the distinct blocks are dealt by a hash into buckets, sorted inside the bucket
+by that hash and, where two share it, by their whole content, and numbered; so names depend
+on content alone and two different blocks never share one. Then adjacent names are paired and the
+pairs named in the same way, level by level, until one name stands for a document. Texts with
+as many blocks pass the same levels, so (number of blocks, name) is one identity per text
+without collisions.
 
 A block's occurrences learn its name by the hash, without the text: every distinct block meets
 its hash's name once, however many documents share it, and the join is between two plain
 exchanges, which adaptive execution splits. Hashes that two different blocks share are found when the
-blocks are named; their occurrences, and theirs alone, are joined by the whole block.
+blocks are named; their occurrences, and theirs alone, are joined by the whole block. The text is
+shuffled once, a distinct block a task.
 """
 
 from __future__ import annotations
@@ -48,15 +50,17 @@ def _cut(docs: DataFrame, *keep: str) -> DataFrame:
 
 def _first_names(texts: DataFrame, rows: DataFrame) -> DataFrame:
     """(row_id, doc_id, sha, n_blocks, at, name): the blocks of ``rows`` under their names; sha with the first block only."""
-    blocks = _named(_cut(texts).select("h", "block").distinct(), ["block"])
-    names = materialise(blocks.select("h", "name"), "names")
-    shared = materialise(names.groupBy("h").count().where("count > 1").select("h"), "shared")
+    sets = _cut(texts).groupBy("h").agg(F.array_sort(F.collect_set("block")).alias("blocks"))  # one block, but for collisions
+    distinct = materialise(sets.select("h", F.explode(F.sequence(F.lit(0), F.size("blocks") - 1)).alias("r")), "distinct")
+    names = materialise(_named(distinct, ["h", "r"]), "names")
+    shared = materialise(names.where("r > 0").select("h").distinct(), "shared")
     keep = ("row_id", "doc_id", "sha", "n_blocks", "at", "name")
     found = _cut(rows, "row_id", "doc_id", "sha").withColumn("sha", F.when(F.col("at") == 0, F.col("sha")))
     if shared.isEmpty():
         return found.drop("block").join(names, "h").select(*keep)
     alone = found.join(shared, "h", "left_anti").drop("block").join(names, "h").select(*keep)
-    return alone.unionByName(found.join(shared, "h", "left_semi").join(blocks.join(shared, "h", "left_semi"), ["h", "block"]).select(*keep))
+    blocks = sets.join(shared, "h", "left_semi").select("h", F.posexplode("blocks").alias("r", "block")).join(names, ["h", "r"])
+    return alone.unionByName(found.join(shared, "h", "left_semi").join(blocks, ["h", "block"]).select(*keep))
 
 
 def identities(docs: DataFrame) -> DataFrame:
