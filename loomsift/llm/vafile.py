@@ -204,10 +204,14 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = SCALE)
 
     certain = materialise(kth(left, "lower"), "certain")
     left = left.join(certain, "asked", "left").where(F.col("least").isNull() | (F.col("upper") >= F.col("least")))
-    left = materialise(left.select("asked", "row", "upper", order("upper").alias("n")), "left")
-    first = read(left.where(F.col("n") <= FIRST * k).select("asked", "row"))
-    settled = materialise(kth(first, "score"), "settled")
-    rest = left.where(F.col("n") > FIRST * k).join(settled, "asked", "left").where(F.col("least").isNull() | (F.col("upper") >= F.col("least").cast("double")))
+    left = materialise(left.select("asked", "row", "upper"), "left")
+    strides = materialise(left.withColumn("n", order("upper")).where(F.col("n") <= FIRST * k), "first")
+    first = read(strides.select("asked", "row"))
+    # where the first stride ended, and the score that the rest must reach; queries without both have no rest
+    ends = strides.where(F.col("n") == FIRST * k).select("asked", F.col("upper").alias("last_upper"), F.col("row").alias("last_row"))
+    ends = materialise(ends.join(kth(first, "score"), "asked"), "ends")
+    later = (F.col("upper") < F.col("last_upper")) | ((F.col("upper") == F.col("last_upper")) & (F.col("row") > F.col("last_row")))
+    rest = left.join(ends, "asked").where(later & (F.col("upper") >= F.col("least").cast("double")))
     scored = first.unionByName(read(rest.select("asked", "row")))
     scored = scored.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
