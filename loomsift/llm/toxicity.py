@@ -3,23 +3,23 @@
 A word is a chain of letters between a start and an end mark. Two models, of toxic and of
 ordinary text, give each letter's probability after the ORDER - 1 letters before it from the
 class's own discounted counts, and both back off to one shared Kneser-Ney model of
-continuation counts, gathered over all documents, labelled or not. A rare expression that
-neither class has seen gets the same shared probability from both and says nothing.
-
-A word's log-likelihood ratio is the sum over its letters. A document's ratios are averaged as
-they are, and taken about their own median, which takes away what its language as such would
-say; a median above 0 is evidence of toxic text and is not taken away. Normalised by length in
-several ways they are mapped to a score by a logistic regression in which more evidence never
-lowers the score. To fit that mapping on
-ratios that were not themselves fitted on the same documents, the learning rows are halved:
-each half is scored by models of the other half.
-
-What is broadcast has a bound: the class counts come from LABELLED labelled rows at most, chosen by a
-hash of the doc_id (a documented sample, its size a parameter), and every letter sequence of
-those rows is broadcast, the rare ones too, as Arrow tables of 64-bit hashes and ratios, 16
-bytes a sequence. The counts themselves and both models are computed as tables; sequences have
-ORDER letters at most, so their number grows far slower than the corpus. Counts are summed with
-map-side combine; texts are never shuffled.
+continuation counts, gathered over all documents, labelled or not. The back-off has the weight of
+STRENGTH letters besides what discounting sets aside, so a few letters seen in one class are no
+evidence yet, and a rare expression that neither class has seen says next to nothing.
+
+A word's log-likelihood ratio is the sum over its letters. What counts is how far ratios go
+beyond MARGIN, as most words of a toxic document are ordinary ones, whose ratios tell of its language
+and subject: that excess, by the number of words and by its root, leads; the plain mean ratio and
+the length stand beside it. A logistic regression in which more evidence never lowers the
+score maps them to a score. To fit that mapping on ratios that were not themselves fitted
+on the same documents, the learning rows are halved: each half is scored by models of the other half.
+
+What is broadcast has a bound: class counts and mapping come from LABELLED labelled documents at most,
+chosen by a hash of the doc_id (a documented sample, its size a parameter), one row for each id; every
+letter sequence of those rows is broadcast, the rare ones too, as Arrow tables of 64-bit hashes
+and ratios, 16 bytes a sequence. The counts themselves and both models are computed as tables;
+sequences have ORDER letters at most, so their number grows far slower than the corpus. Counts are
+summed with map-side combine; texts are never shuffled, but for the sample's.
 """
 
 from __future__ import annotations
@@ -36,20 +36,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from loomsift.scratch import bounded_batches, materialise
+from loomsift.llm.frames import slices
+from loomsift.scratch import materialise
 
 #: Letters of a sequence: the last one is predicted from the others.
 ORDER = 7
 #: Labelled rows that class counts and the mapping are fitted on, at most.
 LABELLED = 20_000
 DISCOUNT = 0.75
+#: Letters that the back-off weighs besides the discounts.
+STRENGTH = 5.0
+#: Ratios up to this are no evidence.
+MARGIN = 2.0
 THRESHOLD = 0.7
 #: Words that a worker keeps, with their ratios or as told.
 CACHE_WORDS = 200_000
-#: Letters of a word; longer runs are read as words of so many letters.
-WORD_LETTERS = 64
+#: Letters of a word that travel together; longer words are sent in overlapping stretches with the same sequences, and not kept.
+STRETCH = 64
+#: Letter sequences looked up at a time.
+TOGETHER = 200_000
 ALPHABET = 256
-FEATURES = 7
+FEATURES = 4
 
 _START, _STOP = "^", "$"
 #: ASCII bytes other than letters part words.
@@ -58,23 +65,30 @@ _LETTERS = bytes(c if chr(c).isalpha() or c > 127 else 0x20 for c in range(256))
 
 def words(text: str | None) -> list[bytes]:
     """Runs of ASCII letters and characters above ASCII in lower case, in UTF-8."""
-    found = (text or "").lower().encode("utf-8", "replace").translate(_LETTERS).split()
-    if max(map(len, found), default=0) > WORD_LETTERS:
-        runs = (w.decode("utf-8", "replace") for w in found)
-        found = [r[i : i + WORD_LETTERS].encode() for r in runs for i in range(0, len(r), WORD_LETTERS)]
-    return found
+    return (text or "").lower().encode("utf-8", "replace").translate(_LETTERS).split()
+
+
+def _marked(word: bytes) -> str:
+    return f"{_START}{word.decode('utf-8', 'replace')}{_STOP}"
 
 
 def sequences(word: bytes, order: int = ORDER) -> list[str]:
     """Each letter and the end of a word, with the letters before it, ``order`` in all at most."""
-    s = f"{_START}{word.decode('utf-8', 'replace')}{_STOP}"
+    s = _marked(word)
     return [s[max(0, i - order + 1) : i + 1] for i in range(1, len(s))]
 
 
+def stretches(word: bytes, order: int = ORDER) -> list[str]:
+    """A word between its marks in parts; those behind the first repeat ``order`` - 1 letters."""
+    s = _marked(word)
+    return [s[max(0, at - order + 1) : at + STRETCH] for at in range(0, len(s), STRETCH)] if len(s) > STRETCH + 1 else [s]
+
+
 def sequence_rows(counted: DataFrame, order: int = ORDER) -> DataFrame:
-    """(kind, s, n) from (kind, word, n): the same sequences as rows, with the counts of their words."""
-    rows = counted.select("kind", "n", F.concat(F.lit(_START), "word", F.lit(_STOP)).alias("w"))
-    rows = rows.select("kind", "n", "w", F.explode(F.sequence(F.lit(2), F.char_length("w"))).alias("i"))
+    """(kind, s, n) from (kind, word, n), where word is a stretch of a word: the same sequences as rows, with the counts of their stretches."""
+    rows = counted.select("kind", "n", F.col("word").alias("w"))
+    first = F.when(F.col("w").startswith(_START), 2).otherwise(order)
+    rows = rows.where(F.char_length("w") >= first).select("kind", "n", "w", F.explode(F.sequence(first, F.char_length("w"))).alias("i"))
     cut = F.substring(F.col("w"), F.greatest(F.col("i") - (order - 1), F.lit(1)), F.least(F.col("i"), F.lit(order)))
     return rows.select("kind", cut.alias("s"), "n").groupBy("kind", "s").agg(F.sum("n").alias("n"))
 
@@ -105,7 +119,7 @@ def shared_model(sequences_seen: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def ratios(counts: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From (model, s, ordinary, toxic): (model, s, n, r) of the sequences seen, and (model, h, n, r) of any other letter after a context.
+    """From (model, s, ordinary, toxic): (model, s, r) of the sequences seen, and (model, h, r) of any other letter after a context.
 
     r is the log-likelihood ratio of the last letter between the two classes' models, which both
     back off to the shared one. A letter that neither class has seen after a context has the
@@ -117,15 +131,11 @@ def ratios(counts: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
     contexts = rows.groupBy("model", "h").agg(
         *[F.sum(c).alias(f"{c}_total") for c in names], *[F.count_if(F.col(c) > 0).alias(f"{c}_types") for c in names]
     )
-    aside = [F.when(F.col(f"{c}_total") > 0, DISCOUNT * F.col(f"{c}_types") / F.col(f"{c}_total")).otherwise(1.0) for c in names]
-    after = contexts.select("model", "h", (F.col("ordinary_total") + F.col("toxic_total")).alias("n"), F.log(aside[1] / aside[0]).alias("r"))
+    aside = [(STRENGTH + DISCOUNT * F.col(f"{c}_types")) / (STRENGTH + F.col(f"{c}_total")) for c in names]
+    after = contexts.select("model", "h", F.log(aside[1] / aside[0]).alias("r"))
     rows = rows.join(contexts, ["model", "h"]).join(shared.select(F.col("s").alias("end"), "p"), F.expr("substring(s, 2)") == F.col("end"))
-    of = [
-        F.when(F.col(f"{c}_total") > 0, (F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"{c}_types") * F.col("p")) / F.col(f"{c}_total")).otherwise(F.col("p"))
-        for c in names
-    ]
-    seen = rows.select("model", "s", (F.col("ordinary") + F.col("toxic")).alias("n"), F.log(of[1] / of[0]).alias("r"))
-    return seen, after
+    of = [F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / (STRENGTH + F.col(f"{c}_total")) + x * F.col("p") for c, x in zip(names, aside)]
+    return rows.select("model", "s", F.log(of[1] / of[0]).alias("r")), after
 
 
 def hashes(found: list[str]) -> np.ndarray:
@@ -148,43 +158,52 @@ class Model(dict):
         self.seen, self.after = ((t["key"].to_numpy(), t["r"].to_numpy()) for t in (seen, after))
         self.order = order
 
-    def learn(self, new: list[bytes]) -> None:
-        parts = [sequences(w, self.order) for w in new]
-        flat = [s for p in parts for s in p]
+    def _letters(self, flat: list[str]) -> np.ndarray:
+        """The ratio of the last letter of each sequence."""
         at, known = _at(self.seen[0], hashes(flat))
         ratio = np.zeros(len(flat))
         ratio[known] = self.seen[1][at[known]]
         rest = np.flatnonzero(~known)
         at, known = _at(self.after[0], hashes([flat[i][:-1] for i in rest]))
         ratio[rest[known]] = self.after[1][at[known]]
-        starts = np.cumsum([0, *map(len, parts[:-1])])
-        self.update(zip(new, np.add.reduceat(ratio, starts).tolist()))
+        return ratio
+
+    def _long(self, word: bytes) -> float:
+        s, k = _marked(word), self.order - 1
+        return sum(float(self._letters([s[max(0, i - k) : i + 1] for i in range(at, min(at + TOGETHER, len(s)))]).sum()) for at in range(1, len(s), TOGETHER))
+
+    def learn(self, new: list[bytes]) -> None:
+        at = 0
+        while at < len(new):
+            parts, letters = [], 0
+            while at + len(parts) < len(new) and letters < TOGETHER:
+                parts.append(sequences(new[at + len(parts)], self.order))
+                letters += len(parts[-1])
+            ratio = self._letters([s for p in parts for s in p])
+            starts = np.cumsum([0, *map(len, parts[:-1])])
+            self.update(zip(new[at : at + len(parts)], np.add.reduceat(ratio, starts).tolist()))
+            at += len(parts)
 
     def ratios(self, found: list[bytes]) -> np.ndarray:
         """The ratio of each word."""
         v = list(map(self.get, found))
         if None in v:
-            new = list({w for w, x in zip(found, v) if x is None})
+            new = list({w for w, x in zip(found, v) if x is None and len(w) <= STRETCH})
             if len(self) + len(new) > CACHE_WORDS:
                 self.clear()
-                new = list(set(found))
+                new = list({w for w in found if len(w) <= STRETCH})
             self.learn(new)
-            v = list(map(self.__getitem__, found))
+            v = [self[w] if len(w) <= STRETCH else self._long(w) for w in found]
         return np.array(v, dtype=np.float64)
 
     def features(self, text: str | None) -> list[float]:
-        """Length-normalised ratios, as they are and about their median if that is below 0; all 0 for a text without words."""
+        """The excess of ratios by the number of words and by its root, their mean, and the length; all 0 for a text without words."""
         found = words(text)
         if not found:
             return [0.0] * FEATURES
-        n = len(found)
-        v = self.ratios(found)
-        level = float(v.mean())
-        v -= min(float(np.median(v)), 0.0)
-        top = np.sort(v if n <= 8 else np.partition(v, n - 8)[-8:])[::-1]
-        above = v[v > 1]
-        one, two = float(above.sum()) - len(above), float(np.maximum(above - 2, 0).sum())
-        return [one / n, one / math.sqrt(n), two / math.sqrt(n), float(top[:3].mean()), float(top.mean()), level, math.log1p(n)]
+        n, v = len(found), self.ratios(found)
+        excess = float(np.maximum(v - MARGIN, 0).sum())
+        return [excess / n, excess / math.sqrt(n), float(v.mean()), math.log1p(n)]
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -237,31 +256,39 @@ _COUNTS = "kind int, word string, n long"
 _SHARED = 4
 
 
-def _count(sampled):
-    def rows(kind: int, found: list[bytes], counts: list[int]) -> pa.RecordBatch:
-        columns = [pa.array(np.full(len(found), kind, np.int32)), pa.array(found, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, names=["kind", "word", "n"])
+def _rows(kind: int, counts: dict[bytes, int] | set[bytes], order: int) -> pa.RecordBatch:
+    parts = [(x, counts[w] if isinstance(counts, dict) else 1) for w in counts for x in stretches(w, order)]
+    columns = [pa.array(np.full(len(parts), kind, np.int32)), pa.array([x for x, _ in parts], pa.string()), pa.array([n for _, n in parts], pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["kind", "word", "n"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _tell(order: int):
+    """Words of all documents, each once a worker as far as it is kept."""
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[bytes] = set()
-        by: dict[int, Counter] = {}
-        for batch in batches:
+        for batch in slices(batches):
             new: set[bytes] = set()
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = words(text)
-                new.update(found)
-                if (label := sampled.value.get(doc_id)) is not None:
-                    by.setdefault(2 * _half(doc_id) + label, Counter()).update(found)
+            for text in batch.column(0).to_pylist():
+                new.update(words(text))
             new -= told
             if len(told) < CACHE_WORDS:  # a word that is told again is counted once later
-                told |= new
-            yield rows(_SHARED, list(new), [1] * len(new))
-            if sum(map(len, by.values())) > CACHE_WORDS:
-                for kind in list(by):
-                    counted = by.pop(kind)
-                    yield rows(kind, list(counted), list(counted.values()))
-        for kind, counted in by.items():
-            yield rows(kind, list(counted), list(counted.values()))
+                told |= {w for w in new if len(w) <= STRETCH}
+            yield _rows(_SHARED, new, order)
+
+    return tell
+
+
+def _count(order: int):
+    """Words of the sample by half and label."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            by: dict[int, Counter] = {}
+            for doc_id, label, text in zip(*(c.to_pylist() for c in batch.columns)):
+                by.setdefault(2 * _half(doc_id) + label, Counter()).update(words(text))
+            for kind, counted in by.items():
+                yield _rows(kind, counted, order)
 
     return count
 
@@ -286,9 +313,17 @@ def _keyed(table: DataFrame, of: str) -> pa.Table:
     return table.select(F.xxhash64(of).alias("key"), "r").toArrow().sort_by("key")
 
 
-def learn(docs: DataFrame, sampled, order: int = ORDER) -> list[tuple[pa.Table, pa.Table]]:
-    """Sequences and contexts of the models of both halves and of the whole. ``sampled`` is the broadcast sample of labels."""
-    rows = docs.select("doc_id", "text").mapInArrow(_count(sampled), _COUNTS)
+def sample_texts(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> DataFrame:
+    """(doc_id, label, text): the learning documents; of rows with one id the text with the smallest hash."""
+    listed = docs.sparkSession.createDataFrame(list(_sample(labels, most).items()), "doc_id long, label int")  # ``most`` rows at most
+    found = docs.select("doc_id", F.struct(F.xxhash64("text").alias("digest"), "text").alias("said")).join(F.broadcast(listed), "doc_id")
+    found = found.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("said").alias("said"))
+    return materialise(found.select("doc_id", "label", "said.text"), "sample")
+
+
+def learn(docs: DataFrame, sample: DataFrame, order: int = ORDER) -> list[tuple[pa.Table, pa.Table]]:
+    """Sequences and contexts of the models of both halves and of the whole, from (doc_id, label, text) of the sample."""
+    rows = docs.select("text").mapInArrow(_tell(order), _COUNTS).unionByName(sample.mapInArrow(_count(order), _COUNTS))
     counted = materialise(rows.groupBy("kind", "word").agg(F.sum("n").alias("n")), "words")
     counts = materialise(sequence_rows(counted, order), "sequences")
     shared = shared_model(counts.where(F.col("kind") == _SHARED).select("s"), order)
@@ -303,31 +338,29 @@ def learn(docs: DataFrame, sampled, order: int = ORDER) -> list[tuple[pa.Table,
 
 def model(docs: DataFrame, labels: DataFrame, most: int = LABELLED, order: int = ORDER) -> tuple[tuple[pa.Table, pa.Table], tuple]:
     """The whole model's sequences and contexts, and the mapping from features to scores."""
-    spark = docs.sparkSession
-    sample = _sample(labels, most)
-    *halves, whole = learn(docs, spark.sparkContext.broadcast(sample), order)
-    parts = spark.sparkContext.broadcast(Prepared(halves, order))
+    sample = sample_texts(docs, labels, most)
+    *halves, whole = learn(docs, sample, order)
+    parts = docs.sparkSession.sparkContext.broadcast(Prepared(halves, order))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = parts.value.models()
-        for batch in batches:
-            x = [models[1 - _half(i)].features(text) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
+        for batch in slices(batches):
+            x = [models[1 - _half(i)].features(text) for i, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
-    listed = F.broadcast(spark.createDataFrame(list(sample.items()), "doc_id long, y int"))  # ``most`` rows at most
-    rows = docs.select("doc_id", "text").join(listed, "doc_id").mapInArrow(describe, "y int, x array<double>").toArrow()
+    rows = sample.mapInArrow(describe, "doc_id long, y int, x array<double>").toArrow().sort_by("doc_id")  # ``most`` rows at most
     x = rows["x"].combine_chunks().flatten().to_numpy().reshape(-1, FEATURES) if rows.num_rows else np.zeros((0, FEATURES))
     return whole, fit(x, rows["y"].to_numpy().astype(np.float64))
 
 
-def with_scores(docs: DataFrame, labels: DataFrame, most: int = LABELLED, order: int = ORDER, column: str = "__score") -> DataFrame:
-    """``docs`` with a column of scores behind the others."""
-    whole, (mean, scale, weights) = model(bounded_batches(docs), labels, most, order)
+def with_scores(docs: DataFrame, labels: DataFrame, column: str = "score", most: int = LABELLED, order: int = ORDER) -> DataFrame:
+    """``docs`` with a column of scores behind the others, under a name that none of them has."""
+    whole, (mean, scale, weights) = model(docs, labels, most, order)
     shared, names = docs.sparkSession.sparkContext.broadcast(Prepared([whole], order)), [*docs.columns, column]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared.value.models()[0]
-        for batch in batches:
+        for batch in slices(batches):
             x = np.array([of.features(t) for t in batch.column("text").to_pylist()], dtype=np.float64).reshape(-1, FEATURES)
             scores = 1 / (1 + np.exp(-np.clip(np.c_[(x - mean) / scale, np.ones(len(x))] @ weights, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=names)
@@ -344,5 +377,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> DataFr
     score per length, below the threshold unless most labels are 1. Rows repeated whole stay
     repeated. An empty table gives no rows; other columns are not read.
     """
-    scored = with_scores(docs.select("doc_id", "text"), labels, most)
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
+    scored = with_scores(docs.select("doc_id", "text"), labels, most=most)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -423,8 +423,10 @@ def test_toxicity_finds_planted_words(spark):
 
 
 def test_sequences_agree(spark):
-    found = [b"caf\xc3\xa9", b"a", b"abcdefghijkl", b"^$"]
-    df = spark.createDataFrame([(0, w.decode(), i + 1) for i, w in enumerate(found)], "kind int, word string, n long")
+    found = [b"caf\xc3\xa9", b"a", b"abcdefghijkl", b"x" * 64, b"ab" * 32 + b"c", "é中".encode() * 500, b"q" * 70]
+    parts = [(x, i + 1) for i, w in enumerate(found) for x in toxicity.stretches(w)]
+    assert max(len(x) for x, _ in parts) <= toxicity.STRETCH + toxicity.ORDER
+    df = spark.createDataFrame([(0, x, n) for x, n in parts], "kind int, word string, n long")
     want = Counter()
     for i, w in enumerate(found):
         for s in toxicity.sequences(w):
@@ -432,6 +434,80 @@ def test_sequences_agree(spark):
     assert {r.s: r.n for r in toxicity.sequence_rows(df).collect()} == want
 
 
+class BruteModel:
+    """Kneser-Ney by its definition, from all texts and from (text, label) pairs."""
+
+    def __init__(self, texts, pairs, order):
+        self.order, self.counts = order, [Counter(), Counter()]
+        grams = {g for t in texts for g in self.grams(t)}
+        closed = {g[i:] for g in grams for i in range(len(g))}
+        self.before = Counter(g[1:] for g in closed if len(g) > 1)  # how many letters each sequence follows
+        for t, label in pairs:
+            self.counts[label].update(self.grams(t))
+
+    def grams(self, text):
+        out = []
+        for w in re.findall("[a-zA-Z\x80-\U0010ffff]+", text or ""):
+            s = f"^{w.lower()}$"
+            out += [s[max(0, i + 1 - self.order) : i + 1] for i in range(1, len(s))]
+        return out
+
+    def shared(self, s):
+        if not s:
+            return 1 / 256
+        like = [n for g, n in self.before.items() if len(g) == len(s) and g[:-1] == s[:-1]]
+        return (max(self.before[s] - 0.75, 0) + 0.75 * len(like) * self.shared(s[1:])) / sum(like)
+
+    def ratio(self, s):
+        said = []
+        for c in self.counts:
+            like = [n for g, n in c.items() if g[:-1] == s[:-1]]
+            back = 5.0 + 0.75 * len(like)
+            # a letter that neither class has seen there: the back-off itself cancels out
+            p = self.shared(s[1:]) if self.counts[0][s] + self.counts[1][s] else 1.0
+            said.append((max(c[s] - 0.75, 0) + back * p) / (5.0 + sum(like)))
+        return np.log(said[1] / said[0])
+
+    def features(self, text):
+        found = re.findall("[a-zA-Z\x80-\U0010ffff]+", text or "")
+        v = [sum(self.ratio(g) for g in self.grams(w)) for w in found]
+        excess = sum(max(x - 2.0, 0) for x in v)
+        return [excess / len(v), excess / len(v) ** 0.5, sum(v) / len(v), np.log(1 + len(v))] if v else [0.0] * 4
+
+
+def test_scores_are_kneser_neys(spark):
+    rng = np.random.default_rng(21)
+    said = ["the", "cat", "cats", "sat", "rude", "rudest", "mat", "été", "on"]
+    docs = [(i, " ".join(rng.choice(said[:4] + said[6:] if i % 3 else said, 6)) + ("!" if i % 2 else " rude.")) for i in range(40)] + [(50, None), (51, ""), (52, "unseen rudeness"), (7, "another row of an id"), (53, "z" * 200 + " rude")]
+    labels = [(i, int(i % 3 == 0)) for i in range(30)]
+    sample = {i: y for i, y in labels if zlib.crc32(str(i).encode()) % 3 != 1}
+    unsigned = lambda t: (h := xxhash.xxh64_intdigest(t.encode(), 42)) - (h >> 63 << 64)
+    texts = {i: min((t for j, t in docs if j == i), key=unsigned) for i in sample}
+    every = [t for _, t in docs]
+    halves = [BruteModel(every, [(texts[i], y) for i, y in sample.items() if toxicity._half(i) == h], 3) for h in (0, 1)]
+    whole = BruteModel(every, [(texts[i], y) for i, y in sample.items()], 3)
+    d, l = spark.createDataFrame(docs, SCHEMA).repartition(3), spark.createDataFrame(labels, "doc_id long, toxic int")
+    seen, after = toxicity.learn(d, toxicity.sample_texts(d, l), 3)[2]
+    grams = {g for c in whole.counts for g in c}
+    want = {int(toxicity.hashes([g])[0]): whole.ratio(g) for g in grams}
+    got = dict(zip(seen["key"].to_pylist(), seen["r"].to_pylist()))
+    assert got.keys() == want.keys() and all(abs(got[k] - x) < 1e-9 for k, x in want.items())
+    x = np.array([halves[1 - toxicity._half(i)].features(texts[i]) for i in sorted(sample)])
+    mean, scale, w = toxicity.fit(x, np.array([sample[i] for i in sorted(sample)], float))
+    rows = {(r.doc_id, r.text): r.score for r in toxicity.with_scores(d, l, order=3).collect()}
+    for i, t in docs:
+        z = np.append((np.array(whole.features(t)) - mean) / scale, 1) @ w
+        assert abs(rows[i, t] - 1 / (1 + np.exp(-z))) < 1e-6
+
+
+def test_a_repeated_id_is_one_row_of_the_sample(spark):
+    docs = spark.createDataFrame([(2, f"text {'ab' * i}") for i in range(50)] + [(3, "other")], SCHEMA)
+    labels = spark.createDataFrame([(2, 1), (3, 0)], "doc_id long, toxic int")
+    rows = toxicity.sample_texts(docs, labels).collect()
+    assert len(rows) == len({r.doc_id for r in rows}) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in (2, 3))
+    assert len(toxicity.toxicity(docs, labels).collect()) == 51
+
+
 def test_shared_model_is_a_distribution(spark):
     seen = {s for w in (b"abab", b"abc", b"bca", b"c") for s in toxicity.sequences(w, 3)}
     model = {r.s: r.p for r in toxicity.shared_model(spark.createDataFrame([(s,) for s in seen], "s string"), 3).collect()}
@@ -461,9 +537,9 @@ def test_models_keep_every_sequence(spark):
     said = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzé"), 60)) for _ in range(6000)]
     ids = [i for i in range(1200) if zlib.crc32(str(i).encode()) % 3 != 1]
     docs = spark.createDataFrame([(i, " ".join(said[k :: len(ids)])) for k, i in enumerate(ids)], SCHEMA)
-    sample = {i: i % 2 for i in ids}
+    sample = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as label", "text")
     want = {s for w in said for s in toxicity.sequences(w.encode())}
-    seen, after = toxicity.learn(docs, spark.sparkContext.broadcast(sample))[2]
+    seen, after = toxicity.learn(docs, sample)[2]
     assert len(want) > 200_000 and seen["key"].to_pylist() == sorted(toxicity.hashes(list(want)).tolist())
     assert after["key"].to_pylist() == sorted(toxicity.hashes(list({s[:-1] for s in want})).tolist())
 
