@@ -76,10 +76,3 @@ def release_since(at: int, *keep: DataFrame) -> None:
             _delete(keep[0].sparkSession, folder)
     _made[at:] = [folder for folder in _made[at:] if folder in kept]
 
-
-def bounded_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """``df``, after its session has been told to send Python workers at most ``rows`` rows at a time: texts may be long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
-        df.sparkSession.conf.set(key, rows)
-    return df
