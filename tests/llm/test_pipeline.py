@@ -1,8 +1,8 @@
 """The pipeline's stages, each against brute force on its own input."""
 
-
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loomsift.llm import packing, queries, secrets, simhash, toxicity
@@ -80,5 +80,33 @@ def test_whole_run(spark, sf_dir):
     assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == sorted(map(tuple, pieces.collect()))
 
 
+#: Every name that a stage gives to columns of its own, and some that it gave once.
+CLASHES = ["id", "key", "sign", "row", "score", "blob", "spans", "digest", "fp", "component_id", "kept", "h", "at", "name", "__score", "__spans", "__blob", "__id", "__mark", "__row", "Key"]
+
+
+def stage(name, spark, docs, sf_dir):
+    return dict(corpus_pipeline.STAGES)[name](spark, docs, sf_dir)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stage_on_odd_tables(spark, docs, sf_dir, name):
+    last = name == "packing"
+    nothing = stage(name, spark, docs.where("false"), sf_dir)
+    assert nothing.collect() == [] and (last or nothing.columns == docs.columns)
+    names = [c for i, c in enumerate(CLASHES) if c.lower() not in {x.lower() for x in CLASHES[:i]}]
+    more = docs.select("*", *[F.lit(77 + i).alias(c) for i, c in enumerate(names)])
+    out = stage(name, spark, more, sf_dir)
+    if not last:
+        assert out.columns == more.columns and out.count() > 0
+        assert out.where(" and ".join(f"`{c}` = {77 + i}" for i, c in enumerate(names))).count() == out.count()
+    plain = stage(name, spark, docs, sf_dir)
+    assert out.count() == plain.count()
+    long = spark.createDataFrame([(1, "ab cd " * 200_000, "en", "s", 1), (2, "x" * 700_000, "en", "s", 1), (3, " " * 700_000, "en", "s", 1)], SCHEMA)
+    out = stage(name, spark, long, sf_dir)
+    assert {r.doc_id for r in out.select("doc_id").collect()} == {1, 2, 3}
+    if not last:
+        assert sorted((r.doc_id, r.text) for r in out.collect()) == sorted((r.doc_id, r.text) for r in long.collect())
+
+
 def test_queries_are_registered():
     assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
