@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,9 +22,14 @@ def col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Without ASCII white space at both ends."""
-    return F.regexp_replace(col(c), r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+\z", "")
+    return F.btrim(col(c), F.lit(" \t\n\x0b\f\r"))
 
 
 def distinct_matches(c: Column | str, pattern: str, group: int = 0) -> Column:
     """Distinct matches in the order of their first appearance."""
     return F.array_distinct(F.regexp_extract_all(col(c), F.lit(pattern), F.lit(group)))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named there."""
+    return F.transform(F.array(value), use)[0]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType, StructField, StructType
 
-from loomsift.functions.common import WORD_END, WORD_START, col, strip
+from loomsift.functions.common import WORD_END, WORD_START, col, let, strip
 
 # Shape keys of structured records, the most telling first.
 SHAPE_KEYS = (
@@ -40,20 +42,33 @@ PLAIN_BYTES, SHAPED_BYTES, SAMPLE_CHARS, MOST_KEYS = 80, 200, 240, 12
 
 
 def plain_signature(line: Column | str) -> Column:
-    """A line of text with its variable parts named and all else in kebab case."""
-    s = strip(line)
-    for pattern, name in ((UUID, "<uuid>"), (IP, "<ip>"), (f"{_HEX}{{8,}}", "<hex>")):
-        s = F.regexp_replace(s, f"{WORD_START}{pattern}{WORD_END}", name)
-    s = F.regexp_replace(s, "[0-9]+", "<n>")
-    s = F.regexp_replace(F.regexp_replace(s, "[^A-Za-z0-9<>]+", "-"), "^-+|-+$", "")
-    return F.when(s == "", "unknown").otherwise(F.substring(F.lower(s), 1, PLAIN_BYTES))
+    """A line of text with its variable parts named and all else in kebab case.
+
+    The long patterns are run on lines that have eight hexadecimal digits in a row, or a digit, alone.
+    """
+
+    def named(s: Column, has: str, pattern: str, name: str) -> Column:
+        return F.when(s.rlike(has), F.regexp_replace(s, pattern, name)).otherwise(s)
+
+    def kebab(s: Column) -> Column:
+        return F.btrim(F.regexp_replace(s, "[^A-Za-z0-9<>]+", "-"), F.lit("-"))
+
+    word = lambda p: f"{WORD_START}{p}{WORD_END}"
+    long_hex = f"{_HEX}{{8}}"
+    s = let(strip(line), lambda x: named(x, long_hex, word(UUID), "<uuid>"))
+    s = let(s, lambda x: named(x, "[0-9]", word(IP), "<ip>"))
+    s = let(s, lambda x: named(x, long_hex, word(f"{_HEX}{{8,}}"), "<hex>"))
+    s = let(s, lambda x: kebab(F.regexp_replace(x, "[0-9]+", "<n>")))
+    return let(s, lambda x: F.when(x == "", "unknown").otherwise(F.substring(F.lower(x), 1, PLAIN_BYTES)))
 
 
 def text_level(line: Column | str) -> Column:
-    """Level of the first level word in a line, else ``unknown``."""
-    word = F.lower(F.regexp_extract(col(line), f"(?i){WORD_START}({'|'.join(LEVELS)}){WORD_END}", 1))
+    """Level of the first level word in a line, else ``unknown``; the pattern is run on lines that have the start of such a word alone."""
+    stems = {w for w in LEVELS if not any(w != x and w.startswith(x) for x in LEVELS)}
+    hinted = let(F.lower(col(line)), lambda x: reduce(or_, [x.contains(w) for w in sorted(stems)]))
+    word = F.when(hinted, F.lower(F.regexp_extract(col(line), f"(?i){WORD_START}({'|'.join(LEVELS)}){WORD_END}", 1))).otherwise("")
     aliases = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
-    return F.when(word == "", "unknown").otherwise(F.coalesce(aliases[word], word))
+    return let(word, lambda w: F.when(w == "", "unknown").otherwise(F.coalesce(aliases[w], w)))
 
 
 def level_rank(level: Column | str) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from loomsift.functions import signature
 from loomsift.functions.signature import MOST_KEYS
 from loomsift.operators.lines import to_lines
+from loomsift.scratch import materialise
 
 # Window size, stride, neighbours, share and characters by default.
 SIZE, STRIDE, NEIGHBOURS, PERCENT, CHARS, DIMENSIONS = 10, 5, 5, 20.0, 4000, 256
@@ -52,31 +53,43 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
 
 
+def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared Euclidean distances of all pairs, but for the rounding of a product of matrices."""
+    return (x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None, :] - 2 * x @ y.T
+
+
+def nearest(x: list | np.ndarray, y: list | np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in ``x`` and distances of the k nearest vectors of ``y`` for each of ``x``; pairs that ``own`` marks take no part.
+
+    Vectors of unlike length are compared over the dimensions that both have. The k nearest are
+    chosen by a product of matrices, and their distances are exact.
+    """
+    if len({len(v) for v in x} | {len(v) for v in y}) > 1:
+        d = np.array([[np.linalg.norm(np.subtract(a[: min(len(a), len(b))], b[: min(len(a), len(b))])) for b in y] for a in x])
+        exact = lambda i, j: d[i, j]
+    else:
+        x, y = np.asarray(x, dtype=np.float64), np.asarray(y, dtype=np.float64)
+        d = _alike(x, y)
+        exact = lambda i, j: np.sqrt(((x[i] - y[j]) ** 2).sum(axis=1))
+    d[own] = np.inf
+    near = np.argpartition(d, min(k, len(y)) - 1, axis=1)[:, :k]
+    i = np.repeat(np.arange(len(x)), near.shape[1])
+    j = near.ravel()
+    there = np.isfinite(d[i, j])
+    return i[there], exact(i[there], j[there])
+
+
 def mean_nearest(vectors: np.ndarray, k: int) -> np.ndarray:
-    """Mean Euclidean distance of each vector to its k nearest others, block by block."""
-    n = len(vectors)
-    if n < 2:
-        return np.zeros(n)
-    k, norms, out = min(k, n - 1), (vectors**2).sum(axis=1), np.empty(n)
-    for at in range(0, n, BLOCK):
+    """Mean distance of each vector to its k nearest others, block by block."""
+    out = np.zeros(len(vectors))
+    for at in range(0, len(vectors), BLOCK):
         part = vectors[at : at + BLOCK]
-        d = np.maximum(norms[at : at + BLOCK, None] + norms[None, :] - 2 * part @ vectors.T, 0)
-        d[np.arange(len(part)), np.arange(at, at + len(part))] = np.inf
-        near = np.argpartition(d, k - 1, axis=1)[:, :k]
-        exact = np.sqrt(((vectors[near] - part[:, None, :]) ** 2).sum(axis=2))
-        out[at : at + BLOCK] = exact.mean(axis=1)
+        own = np.arange(at, at + len(part))[:, None] == np.arange(len(vectors))[None, :]
+        i, d = nearest(part, vectors, own, k)
+        out[at : at + BLOCK] = np.bincount(i, d, len(part)) / np.maximum(np.bincount(i, minlength=len(part)), 1)
     return out
 
 
-def _distances(x: list, y: list) -> np.ndarray:
-    """Euclidean distances over the dimensions that both vectors of a pair have."""
-    sizes = {len(v) for v in x} | {len(v) for v in y}
-    if len(sizes) > 1:
-        return np.array([[np.linalg.norm(np.subtract(a[: min(len(a), len(b))], b[: min(len(a), len(b))])) for b in y] for a in x])
-    a, b = (np.array(v, dtype=np.float64) for v in (x, y))
-    return np.sqrt(np.maximum((a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None, :] - 2 * a @ b.T, 0))
-
-
 def knn_scores(vectors: DataFrame, k: int = NEIGHBOURS, key: str = "vec_id", vector: str = "embedding", group: str | None = None) -> DataFrame:
     """(group, key, score): mean distance to the k nearest other vectors of the group, or of all without one.
 
@@ -96,16 +109,10 @@ def knn_scores(vectors: DataFrame, k: int = NEIGHBOURS, key: str = "vec_id", vec
     schema = ", ".join(f"`{n}` {types[n]}" for n in names) + ", d double"
 
     def pair(a: pa.Table, b: pa.Table) -> pa.Table:
-        at: list[int] = []
-        found: list[float] = []
+        at, found = np.zeros(0, np.int64), np.zeros(0)
         if a.num_rows and b.num_rows:
-            x, y = a[vector].to_pylist(), b[vector].to_pylist()
-            d = _distances(x, y)
-            d[np.array(a[key].to_pylist())[:, None] == np.array(b[key].to_pylist())[None, :]] = np.inf
-            for i, js in enumerate(np.argpartition(d, min(k, len(y)) - 1, axis=1)[:, :k]):
-                js = js[np.isfinite(d[i, js])]
-                at += [i] * len(js)
-                found += [float(np.linalg.norm(np.subtract(x[i][: len(y[j])], y[j][: len(x[i])]))) for j in js]  # without the product's rounding
+            own = np.array(a[key].to_pylist())[:, None] == np.array(b[key].to_pylist())[None, :]
+            at, found = nearest(a[vector].to_pylist(), b[vector].to_pylist(), own, k)
         return pa.table({**{n: a[n].take(pa.array(at, pa.int64())) for n in names}, "d": pa.array(found, pa.float64())})
 
     near = left.groupBy("__g", "__l", "__r").cogroup(right.groupBy("__g", "__l", "__r")).applyInArrow(pair, schema)
@@ -115,10 +122,22 @@ def knn_scores(vectors: DataFrame, k: int = NEIGHBOURS, key: str = "vec_id", vec
 
 
 def top_percent(scored: DataFrame, percent: float = PERCENT, key: str | None = "doc_id", order: str = "start") -> DataFrame:
-    """The highest-scored share of each group, one row at least; earlier rows win ties. Without a key, of all rows."""
+    """The highest-scored share of each group, one row at least; earlier rows win ties. Without a key, of all rows.
+
+    All rows are written once, parted by ranges of score and order; a row's rank is its place in its
+    part behind the sizes of the parts before, so no task holds more than a part.
+    """
     if key is None:
-        n = scored.count()
-        return scored.orderBy(F.desc("score"), order).limit(min(max(int(n * percent / 100), 1), n))
+        part, place = "__p", "__r"
+        rows = scored.repartitionByRange(F.desc("score"), F.col(order)).withColumn(part, F.spark_partition_id())
+        rows = materialise(rows, "ranked")
+        before, n = {}, 0
+        for r in sorted(rows.groupBy(part).count().collect()):  # a row for each part
+            before[r[part]], n = n, n + r["count"]
+        most = min(max(int(n * percent / 100), 1), n)
+        left = F.create_map(*[F.lit(x) for p, b in before.items() for x in (p, max(0, most - b))]) if before else F.create_map(F.lit(0), F.lit(0))
+        at = F.row_number().over(Window.partitionBy(part).orderBy(F.desc("score"), order))
+        return rows.withColumn(place, at).where(F.col(place) <= left[F.col(part)]).drop(part, place)
     by = Window.partitionBy(key)
     n = F.count("*").over(by)
     most = F.least(F.greatest((n * percent / 100).cast("int"), F.lit(1)), n)
@@ -156,20 +175,27 @@ def flagged_lines(docs: DataFrame, embed: Embedder = hash_embedder, size: int =
     return numbered.join(top, ["doc_id", "line_no"], "left_semi").unionByName(numbered.join(few, "doc_id", "left_semi").join(top.select("doc_id").distinct(), "doc_id", "left_anti"))
 
 
-def groups(lines: DataFrame, key: str = "doc_id", order: str = "line_no", line: str = "line", structured: bool = True) -> DataFrame:
+def groups(lines: DataFrame, key: str = "doc_id", order: str = "line_no", line: str = "line", structured: bool = True, keys: bool = True) -> DataFrame:
     """(key, ord, sig, level, n, sample, keys): lines by signature, the worst level and largest group first.
 
-    Level and sample come from the first line; keys are its distinct key tokens in order, 12 at most.
-    ``structured`` reads JSON lines by their fields, in Python; without it lines count as text.
+    Level and sample come from the first line; keys are its distinct key tokens in order, 12 at most;
+    they are left out on request. ``structured`` reads JSON lines by their fields, in Python; without
+    it lines count as text.
     """
     if structured:
         shaped = lines.withColumn("__s", signature.shape(line)).select(key, order, line, "__s.sig", "__s.level")
     else:
         shaped = lines.select(key, order, line, signature.plain_signature(line).alias("sig"), signature.text_level(line).alias("level"))
-    tokens = F.filter(F.collect_list(F.when(F.size(signature.key_tokens(line)) > 0, F.struct(F.col(order).alias("o"), signature.key_tokens(line).alias("t")))), lambda x: x.isNotNull())
-    ordered = F.slice(F.array_distinct(F.flatten(F.transform(F.sort_array(tokens), lambda x: x["t"]))), 1, MOST_KEYS)
-    made = shaped.groupBy(key, "sig").agg(
-        F.count("*").alias("n"), F.min_by("level", order).alias("level"), signature.sample(F.min_by(line, order)).alias("sample"), ordered.alias("keys")
-    )
+    made = shaped.groupBy(key, "sig").agg(F.count("*").alias("n"), F.min_by("level", order).alias("level"), signature.sample(F.min_by(line, order)).alias("sample"))
     by = Window.partitionBy(key).orderBy(F.desc(signature.level_rank("level")), F.desc("n"), "sig")
-    return made.withColumn("ord", F.row_number().over(by)).select(key, "ord", "sig", "level", "n", "sample", "keys")
+    made = made.withColumn("ord", F.row_number().over(by)).select(key, "ord", "sig", "level", "n", "sample")
+    return made.join(group_keys(shaped, key, order, line), [key, "sig"], "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<string>"))).select(*made.columns, "keys") if keys else made
+
+
+def group_keys(shaped: DataFrame, key: str = "doc_id", order: str = "line_no", line: str = "line") -> DataFrame:
+    """(key, sig, keys): the first 12 distinct key tokens of each signature's lines, by line and place; the first place of each token is found with map-side combine."""
+    said = shaped.select(key, "sig", F.col(order).alias("__o"), F.posexplode(signature.key_tokens(line)).alias("__i", "__t"))
+    first = said.groupBy(key, "sig", "__t").agg(F.min(F.struct("__o", "__i")).alias("__f"))
+    rank = F.row_number().over(Window.partitionBy(key, "sig").orderBy("__f"))
+    few = first.withColumn("__n", rank).where(F.col("__n") <= MOST_KEYS)
+    return few.groupBy(key, "sig").agg(F.transform(F.sort_array(F.collect_list(F.struct("__n", "__t"))), lambda x: x["__t"]).alias("keys"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from loomsift.functions.common import col
+from loomsift.functions.common import col, let
 from loomsift.functions.text import lookup, normal_severity, severity_letter, severity_rank
 from loomsift.operators.distillers import TERSE, VULN_ID, VULN_LETTERS, VULN_RANK, lint_findings, vulnerabilities
 
@@ -29,18 +29,40 @@ def _java(kind: str, pattern: str) -> tuple[str, str]:
     return numbered, _PART.join([f"${names.index(n) + 1}" if n in names else "" for n in _FIELDS] + [kind])
 
 
+# Strings of which a line of each shape has one at least.
+_HINTS = {
+    "shellcheck": ("[SC",), "rubocop": ("C:", "W:", "E:", "R:", "F:"), "stylelint": ("]",), "eslint-compact": ("col",), "eslint-unix": ("[Error/", "[Warning/"),
+    "golangci": (".go:",), "gosec": ("CWE-",), "flake": (":",), "gcc-short": ("warning:", "error:", "note:", "help:"), "mypy": ("error:", "warning:", "note:"), "tsc": ("): ",),
+}
+
+
 def terse(line: Column | str) -> Column:
     """The finding of a line on its own as a struct, null without one: the first shape that fits decides.
 
-    A line is matched once to choose its shape and once to take it apart.
+    A pattern is run once a line, and only on lines that have a string which its shape needs.
     """
-    line = F.regexp_replace(col(line), r"[ \t\r\n\x0B\f]+\z", "")
-    parted = None
-    for kind, compiled in TERSE:
-        pattern, rewritten = _java(kind, compiled.pattern)
-        taken = F.regexp_replace(line, pattern, rewritten)
-        parted = F.when(line.rlike(pattern), taken) if parted is None else parted.when(line.rlike(pattern), taken)
-    return F.transform(F.array(F.split(parted, _PART)), _finding)[0]
+
+    def first(line: Column, shapes: list) -> Column:
+        if not shapes:
+            return F.lit(None).cast("string")
+        kind, compiled = shapes[0]
+        rest = first(line, shapes[1:])
+        hinted = F.lit(False)
+        for hint in _HINTS[kind]:
+            hinted = hinted | line.contains(hint)
+        # a line that does not match comes back as it is; one that does has parts
+        taken = let(F.regexp_replace(line, *_java(kind, compiled.pattern)), lambda x: F.when(x.contains(_PART), x))
+        return F.coalesce(F.when(hinted, taken), rest)
+
+    bare = F.translate(F.rtrim(col(line), F.lit(" \t\r\n\x0b\f")), _PART, " ")
+    parted = let(bare, lambda x: first(x, list(TERSE)))
+    return let(F.split(parted, _PART), _finding)
+
+
+def terse_rows(lines: DataFrame, key: str = "doc_id", order: str = "ord", line: str = "line") -> DataFrame:
+    """(key, order, kind, sev, file, line, col, rule, msg, help) of the lines that report a finding on their own."""
+    # made rows of, so that no filter on the finding takes the line apart a second time
+    return lines.select(key, order, F.inline(F.array_compact(F.array(terse(line)))))
 
 
 def _finding(part: Column) -> Column:
@@ -77,10 +99,12 @@ def lint_report(found: DataFrame, key: str = "doc_id", order: str = "ord", most:
     Ranks of rules are aggregates; only a rule's findings are numbered, and only if they are capped.
     """
     rules = found.groupBy(key, "rule").agg(F.max(severity_rank("sev")).alias("worst"), F.count("*").alias("n"))
-    number = F.row_number().over(Window.partitionBy(key, "rule").orderBy(order))
-    rows = found.withColumn("number", number).join(rules, [key, "rule"])
     if most:
-        rows = rows.where(F.col("number") <= most)
+        number = F.row_number().over(Window.partitionBy(key, "rule").orderBy(order))
+        rows = found.withColumn("number", number).where(F.col("number") <= most)  # before the join: a task keeps ``most`` of a rule
+    else:
+        rows = found.withColumn("number", F.col(order))
+    rows = rows.join(rules, [key, "rule"])
     where = F.concat(F.col("file"), F.lit(":"), F.col("line").cast("string"), F.when(F.col("col") != 0, F.concat(F.lit(":"), F.col("col").cast("string"))).otherwise(""))
     said = F.concat_ws("\t", severity_letter("sev"), where, F.col("rule"), F.col("msg"))
     hint = F.when(F.col("help") != "", F.concat_ws("\t", F.lit("-"), where, F.col("rule"), F.concat(F.lit("help: "), F.col("help"))))

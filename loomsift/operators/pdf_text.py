@@ -76,8 +76,9 @@ def headed(line: str) -> str:
 
 
 def page_kind(text: str, images: bool) -> str:
-    letters = sum(c.isascii() and c.isalpha() or ord(c) > 0x7F for c in text)
-    return ("scanned" if images else "blank") if not text.strip() else "chart" if letters < 20 and images else "text"
+    if not text.strip():
+        return "scanned" if images else "blank"
+    return "chart" if images and sum(c.isascii() and c.isalpha() or ord(c) > 0x7F for c in text) < 20 else "text"
 
 
 def furniture_of(pages: list[list[str]]) -> set[str]:

@@ -168,7 +168,29 @@ SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY CASE level W
        sig, level, n, CASE WHEN length(first) > 240 THEN substr(first, 1, 240) || '…' ELSE first END AS sample FROM g""")
 def cordon_groups_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = document_lines(spark, sf_dir).withColumn("o", F.col("doc_id") * 1000000 + F.col("line_no"))
-    return anomaly.groups(rows, "source", "o", structured=False).drop("keys")
+    return anomaly.groups(rows, "source", "o", structured=False, keys=False)
+
+
+@query(rf"""
+WITH s AS (SELECT source, sig, doc_id * 1000000 + line_no AS o, regexp_extract_all(line,
+  '(?:[A-Za-z]:[\\/][^ \t\n\f\r"'']+)|(?:/[^ \t\n\f\r"'']{{2,}})|(?:\b[0-9]{{3}}\b)|(?:\b[A-Z]{{2,}}[0-9]+\b)|(?:\bv?[0-9]+\.[0-9]+\.[0-9]+(?:-[A-Za-z0-9.+-]+)?\b)') AS tokens FROM ({_SIGNED})),
+t AS (SELECT source, sig, o, unnest(tokens) AS token, unnest(range(len(tokens))) AS i FROM s),
+f AS (SELECT source, sig, token, min(o * 100000 + i) AS first FROM t GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY source, sig ORDER BY first) AS n FROM f)
+SELECT source, sig, string_agg(token, chr(10) ORDER BY n) AS keys FROM r WHERE n <= 12 GROUP BY 1, 2""")
+def cordon_group_keys_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = document_lines(spark, sf_dir).withColumn("o", F.col("doc_id") * 1000000 + F.col("line_no"))
+    rows = rows.select("source", "o", "line", signature.plain_signature("line").alias("sig"))
+    return anomaly.group_keys(rows, "source", "o").select("source", "sig", F.array_join("keys", "\n").alias("keys"))
+
+
+@query("""
+SELECT a.vec_id, round(list_sum(list_transform(range(1, 65), lambda i: pow(CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE), 2))), 6) AS d
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+def squared_distance_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w"))
+    return e.join(after, "vec_id").select("vec_id", F.round(anomaly.squared_distance(F.col("v"), F.col("w")), 6).alias("d"))
 
 
 @query("""
@@ -311,25 +333,25 @@ def route_fast_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.route(d).groupBy("processor", "path").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN repeat('#', least(2 + CAST(doc_id % 3 AS INTEGER), 6)) || ' ' ELSE '' END || rtrim(head) AS line FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN CASE doc_id % 3 WHEN 0 THEN '4' WHEN 1 THEN '4.2' ELSE '4.2.10' END || ' Results of ' || source WHEN 1 THEN '4. results' WHEN 2 THEN '0.1 Results' WHEN 3 THEN '4.2.1.1.1 Deep' ELSE 'Results 4' END AS head FROM documents)")
+_NUMBERED = ["4 Results ", "4.2 ", "4.2.10 Of ", "4. ", "0.1 Results ", "4.2.1.1.1 Deep ", ""]
+
+
+@query(rf"""
+WITH l AS (SELECT doc_id, line_no, {_NUMBERED}[CAST((doc_id + line_no) % 7 AS BIGINT) + 1] || line AS line FROM ({_LINES})),
+h AS (SELECT *, regexp_extract(line, '{text.HEADING.replace("'", "''")}', 1) AS number FROM l)
+SELECT doc_id, line_no, CASE WHEN number <> '' THEN repeat('#', least(2 + len(number) - len(replace(number, '.', '')), 6)) || ' ' || trim(line) ELSE line END AS line FROM h""")
 def promote_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("doc_id")
-    number = F.when(i % 3 == 0, "4").when(i % 3 == 1, "4.2").otherwise("4.2.10")
-    line = F.when(i % 5 == 0, F.concat(number, F.lit(" Results of "), "source")).when(i % 5 == 1, "4. results").when(i % 5 == 2, "0.1 Results").when(i % 5 == 3, "4.2.1.1.1 Deep").otherwise("Results 4")
-    return table(spark, sf_dir, "documents").select("doc_id", text.promote_heading(line).alias("line"))
+    """Every line of every document, under section numbers in turn."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    number = F.element_at(F.array(*[F.lit(x) for x in _NUMBERED]), ((F.col("doc_id") + F.col("line_no")) % 7 + 1).cast("int"))
+    return d.select("doc_id", F.col("line_no").cast("long").alias("line_no"), text.promote_heading(F.concat(number, "line")).alias("line"))
 
 
 @query(r"""
-WITH d AS (SELECT substr(text, 1, CAST(doc_id * 7 % 40 AS BIGINT)) AS t, doc_id % 2 = 0 AS img FROM documents)
+WITH d AS (SELECT text AS t, doc_id % 2 = 0 AS img FROM documents UNION ALL SELECT unnest(['', ' ' || chr(10) || chr(9), 'Fig. 1: 20 %', 'Fig. 1: 20 %']), unnest([false, true, true, false]))
 SELECT CASE WHEN NOT regexp_matches(t, '[^ \t\n\x0B\f\r]') THEN CASE WHEN img THEN 'scanned' ELSE 'blank' END
             WHEN len(regexp_extract_all(t, '[A-Za-z]|[^\x00-\x7F]')) < 20 AND img THEN 'chart' ELSE 'text' END AS kind, count(*) AS n FROM d GROUP BY 1""")
 def page_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.expr("substring(text, 1, cast(doc_id * 7 % 40 as int))").alias("t"), (F.col("doc_id") % 2 == 0).alias("img"))
-    return d.groupBy(text.page_kind("t", F.col("img")).alias("kind")).agg(F.count("*").alias("n"))
-
-
-@query()
-def page_kind_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kinds of whole texts, with a few made-up blank, scanned and chart pages."""
     d = table(spark, sf_dir, "documents").select(F.col("text").alias("t"), (F.col("doc_id") % 2 == 0).alias("img"))
     made = spark.createDataFrame([("", False), (" \n\t", True), ("Fig. 1: 20 %", True), ("Fig. 1: 20 %", False)], "t string, img boolean")
@@ -441,7 +463,7 @@ FROM lineitem WHERE l_orderkey % 5 < 4"""
 
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lint_lines(spark, sf_dir).withColumn("f", findings.terse("line")).where("f is not null").select("doc_id", "ord", "f.*")
+    return findings.terse_rows(lint_lines(spark, sf_dir))
 
 
 @query(_LINT)

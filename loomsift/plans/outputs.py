@@ -133,12 +133,6 @@ def gotest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.go_events(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), text.alias("text"))).select("doc_id", "ord", "action", "test")
 
 
-@query("SELECT conv_id, turn, CASE WHEN length(text) + 1 >= 80 THEN [text || chr(10)] ELSE [] END AS prose FROM conversations WHERE NOT contains(text, chr(10)) AND trim(text) = text AND text <> ''")
-def yaml_prose_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").where(~F.col("text").contains("\n") & (F.trim("text") == F.col("text")) & (F.col("text") != ""))
-    return c.select("conv_id", "turn", prose.yaml_prose(F.concat(F.lit("name: short one\nbody: |\n  "), "text", F.lit("\n"))).alias("prose"))
-
-
 @query()
 def yaml_prose_all_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation as a block scalar, each of its lines indented."""
@@ -147,11 +141,12 @@ def yaml_prose_all_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", prose.yaml_prose(F.concat(F.lit("name: short one\nbody: |2+\n  "), body, F.lit("\n"))).alias("prose"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN text ELSE left(text, CAST(length(text) // 2 AS BIGINT)) END AS answer FROM documents WHERE length(text) > 1 AND trim(left(text, CAST(length(text) // 2 AS BIGINT)), ' ' || chr(9) || chr(10) || chr(13)) <> ''")
+@query("""
+WITH d AS (SELECT doc_id, text, left(text, CAST(length(text) // 2 AS BIGINT)) AS half FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 4 = 0 OR trim(half, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN text ELSE half END AS answer FROM d""")
 def prompt_processor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    half = F.expr("substring(text, 1, cast(length(text) div 2 as int))")
-    d = table(spark, sf_dir, "documents").where((F.length("text") > 1) & half.rlike(r"[^ \t\n\r]"))
     answer = prompts.prompt(F.col("text"), "half", lambda system, said: said[: len(said) // 2])
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.when(F.col("doc_id") % 4 == 0, prompts.prompt(F.col("text"), "none")).otherwise(answer).alias("answer"))
 
 

@@ -58,6 +58,10 @@ class Span:
     mcid: int = -1
 
 
+#: What a string can't hold as it is.
+_TELLING = re.compile(rb"[\\()]")
+
+
 class _Reader:
     """Objects from a position of some bytes on."""
 
@@ -65,28 +69,29 @@ class _Reader:
         self.data, self.at = data, at
 
     def _string(self) -> bytes:
-        out, depth, data, at = bytearray(), 1, self.data, self.at
-        while at < len(data):
-            c = data[at]
-            at += 1
+        out, depth, data, at = [], 1, self.data, self.at
+        while m := _TELLING.search(data, at):
+            out.append(data[at : m.start()])
+            c, at = data[m.start()], m.end()
             if c == 0x5C and at < len(data):
                 e = data[at]
                 at += 1
                 if 0x30 <= e <= 0x37:
                     digits = re.match(rb"[0-7]{1,3}", data[at - 1 : at + 2])[0]
-                    out.append(int(digits, 8) & 255)
+                    out.append(bytes([int(digits, 8) & 255]))
                     at += len(digits) - 1
                 elif e in (10, 13):
                     at += e == 13 and data[at : at + 1] == b"\n"
                 else:
-                    out.append(_ESCAPES.get(e, e))
+                    out.append(bytes([_ESCAPES.get(e, e)]))
                 continue
             depth += (c == 0x28) - (c == 0x29)
             if not depth:
-                break
-            out.append(c)
-        self.at = at
-        return bytes(out)
+                self.at = at
+                return b"".join(out)
+            out.append(bytes([c]))
+        self.at = len(data)
+        return b"".join([*out, data[at:]])
 
     def tokens(self) -> Iterator:
         """Strings, names, numbers and words in turn; marks as words."""
@@ -233,10 +238,10 @@ class _Font:
     def codes(self, raw: bytes) -> list[int]:
         return [int.from_bytes(raw[i : i + 2], "big") for i in range(0, len(raw), 2)] if self.wide else list(raw)
 
-    def text(self, code: int) -> str:
-        if code in self.texts:
-            return self.texts[code]
-        return "" if self.wide else bytes([code]).decode("cp1252", "replace")
+    def text(self, codes: list[int]) -> str:
+        if not self.texts:
+            return "" if self.wide else bytes(codes).decode("cp1252", "replace")
+        return "".join([self.texts[c] if c in self.texts else "" if self.wide else bytes([c]).decode("cp1252", "replace") for c in codes])
 
 
 def _cmap(data: bytes) -> dict[int, str]:
@@ -493,13 +498,17 @@ class Document:
         matrix, saved, marked = base, [], []
         text = line = _UNIT
         font, size, char, word, scale, lead, rise = _Font(), 1.0, 0.0, 0.0, 1.0, 0.0, 0.0
+        steps: dict[tuple, dict[int, float]] = {}  # by font and spacing: how far each code moves on
 
         def show(raw: bytes) -> None:
             nonlocal text
             whole = _times((size * scale, 0, 0, size, 0, rise), _times(text, matrix))
             codes = font.codes(raw)
-            said = "".join(map(font.text, codes))
-            gone = sum(font.widths.get(c, font.default) / 1000 * size + char + (word if c == 32 and not font.wide else 0) for c in codes) * scale
+            said = font.text(codes)
+            step = steps.setdefault((id(font), size, char, word), {})
+            for c in set(codes).difference(step):
+                step[c] = font.widths.get(c, font.default) / 1000 * size + char + (word if c == 32 and not font.wide else 0)
+            gone = sum(map(step.__getitem__, codes)) * scale
             text = _times((1, 0, 0, 1, gone, 0), text)
             end = _times(text, matrix)
             if said:
