@@ -59,7 +59,7 @@ def redact_params(query: Column | str) -> Column:
 
     def one(pair: Column) -> Column:
         key = F.split(pair, "=", 2)[0]
-        name = F.regexp_replace(F.coalesce(F.try_url_decode(key), key), r"(?:\[\])+$", "")
+        name = F.regexp_replace(F.coalesce(F.try_url_decode(key), key), r"\[\]\z", "")
         return F.when((F.instr(pair, "=") > 0) & name.rlike(SECRET_NAME), F.concat(key, F.lit(f"={HIDDEN}"))).otherwise(pair)
 
     return F.array_join(F.transform(F.split(col(query), "&"), one), "&")

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import json
 import re
+import signal
+import threading
 from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import groupby
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from loomsift.functions import log, redact
+from loomsift.functions.common import WORD_END, WORD_START
 from loomsift.functions.signature import MOST_KEYS, RANK, SAMPLE_CHARS, UUID, level_of, signature_of
 from loomsift.functions.text import SEVERITY_ALIASES, SEVERITY_LETTERS, SEVERITY_RANK
 from loomsift.operators import anomaly
@@ -31,7 +34,7 @@ NPM_SEVERITY, NPM_PACKAGE = re.compile(r"\s*(low|moderate|high|critical)\s+sever
 NPM_TREE = re.compile(r"\s*[+\-`]+\s*(?:UNMET DEPENDENCY\s+)?(.+?)\s*")
 CARGO_DROP = re.compile(r"\s*(Compiling|Checking|Downloaded|Downloading|Updating|Generating)\s")
 CARGO_PHASE, CARGO_OPEN, CARGO_POINTER = re.compile(r"\s*(Finished|Running)\s"), re.compile(r"error(\[E\d+\])?:|warning:"), re.compile(r"\s*-->")
-CARGO_TEST, CARGO_FAILED = re.compile(r"running \d+ tests?$|test result:"), re.compile(r"\btest .* FAILED\b|\bFAILED$", re.A)
+CARGO_TEST, CARGO_FAILED = re.compile(r"running \d+ tests?$|test result:"), re.compile(f"{WORD_START}test .* FAILED{WORD_END}|{WORD_START}FAILED$")
 PYTEST_SECTION, PYTEST_COLLECTED = re.compile(r"=+ (.+?) =+\s*$"), re.compile(r"collected (\d+) items?")
 PYTEST_PROGRESS = re.compile(r"[\w./_-]+\.py [.FEsxXp]+\s+\[\s*\d+%\s*\]\s*$", re.A)
 PYTEST_TOTALS = re.compile(r"=+ (\d+ (?:passed|failed|error|skipped|warning|deselected)[^=]*) =+\s*$")
@@ -497,6 +500,14 @@ def _go_json_text(value) -> str:
     return raw.replace("<", "\\u003c").replace(">", "\\u003e").replace("&", "\\u0026").replace("\u2028", "\\u2028").replace("\u2029", "\\u2029")
 
 
+_STRING = re.compile(r'"((?:[^"\\]|\\.)*+)"( *:)?', re.S)
+
+
+def _keys_in(line: str) -> list[str]:
+    """Keys as they stand in a line, those of nested objects among them: the order of a record's fields."""
+    return [m[1] for m in _STRING.finditer(line) if m[2]]
+
+
 def ndjson(text: str) -> str:
     """Records by signature, the worst level first: the first record of each, and how many there are."""
     groups: dict[tuple, list] = {}
@@ -511,13 +522,14 @@ def ndjson(text: str) -> str:
         status, path = (log.record_field(record, k) for k in (log.STATUS_KEYS, log.PATH_KEYS))
         status = f"{status[0]}xx" if re.fullmatch("[1-5][0-9]{2}", status) else status
         key = (log.record_level(record), log.record_message(record), log.record_field(record, log.METHOD_KEYS), status, shape_of(path))
-        groups.setdefault(key, [record, 0])[1] += 1
+        groups.setdefault(key, [record, 0, line])[1] += 1
     if not groups:
         return text
     out = []
-    for _, (record, n) in sorted(groups.items(), key=lambda x: -log.LEVEL_RANK.get(x[0][0], 0)):
-        parts = [f"{_go_json_text(k)}:{_go_json_text(v)}" for k, v in record.items()] + ([f'"_count":{n}'] if n > 1 else [])
-        out.append("{" + ",".join(parts) + "}")
+    for _, (record, n, line) in sorted(groups.items(), key=lambda x: -log.LEVEL_RANK.get(x[0][0], 0)):
+        record = record | ({"_count": n} if n > 1 else {})
+        named = dict.fromkeys([k for k in _keys_in(line) if k in record] + list(record))
+        out.append("{" + ",".join(f"{_go_json_text(k)}:{_go_json_text(record[k])}" for k in named) + "}")
     return "\n".join([*out, *([""] if other else []), *other]) + ("\n" if text.endswith("\n") else "")
 
 
@@ -620,10 +632,31 @@ def apply(distil: Callable[[str], str], name: str = "distilled"):
     return F.pandas_udf(run, StringType())
 
 
-def guarded(distil: Callable[[str], str], text: str) -> str:
-    """What the distiller makes of the text if that is shorter in bytes and not empty, else the text."""
+#: Seconds that a distiller may take over one text.
+DEADLINE = 30.0
+
+
+def within(seconds: float, f: Callable, *args):
+    """``f`` of ``args``, or a TimeoutError after so many seconds; without a limit outside a process's main thread, where no alarm arrives."""
+    if threading.current_thread() is not threading.main_thread() or not hasattr(signal, "setitimer"):
+        return f(*args)
+
+    def late(*_) -> None:
+        raise TimeoutError(f"no result after {seconds} s")
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        return f(*args)
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def guarded(distil: Callable[[str], str], text: str, seconds: float = DEADLINE) -> str:
+    """What the distiller makes of the text if that is in time, shorter in bytes and not empty, else the text."""
     try:
-        out = distil(text)
+        out = within(seconds, distil, text)
     except Exception:  # a distiller must never lose its input
         return text
     return out if out and out.strip() and len(out.encode("utf-8", "surrogatepass")) < len(text.encode("utf-8", "surrogatepass")) else text

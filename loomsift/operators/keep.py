@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomsift.operators import distillers as of
 from loomsift.operators.lines import collapse_blanks
 
-# Kinds of lines that stay.
-NPM_HEADER = r"^npm (?:error|ERR!|warn|WARN|notice)"
-NPM_KEPT = r"^(?:(?:added|removed|changed|audited|up to date)\s+\d|\s*(?i:low|moderate|high|critical)\s+(?i:severity)|[A-Za-z0-9_@\-/.]+@[\d.A-Za-z0-9_\-+]+\z|#)"
-CARGO_DROPPED = r"^\s*(?:Compiling|Checking|Downloaded|Downloading|Updating|Generating)\s"
-CARGO_MESSAGE = r"^(?:error(?:\[E\d+\])?:|warning:)"
-CARGO_KEPT = r"^\s*(?:Finished|Running)\s|^\s*(?:running \d+ tests?\s*\z|test result:)|(?<![A-Za-z0-9_])test .* FAILED(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])FAILED\z"
-CARGO_POINTER = r"^\s*-->"
+# The distillers' patterns, for whole lines in SQL functions.
+_at = lambda *patterns: "^(?:" + "|".join(patterns) + ")"
+NPM_HEADER = _at(of.NPM_HEADER.pattern)
+NPM_KEPT = _at(of.NPM_COUNTS.pattern, f"(?i:{of.NPM_SEVERITY.pattern})", of.NPM_PACKAGE.pattern + r"\z", "#")
+CARGO_DROPPED, CARGO_MESSAGE, CARGO_POINTER = _at(of.CARGO_DROP.pattern), _at(of.CARGO_OPEN.pattern), _at(of.CARGO_POINTER.pattern)
+CARGO_TEST = of.CARGO_TEST.pattern.replace("$", r"\s*\z")
+CARGO_KEPT = rf"{_at(of.CARGO_PHASE.pattern)}|^\s*(?:{CARGO_TEST})|{of.CARGO_FAILED.pattern}"
 
 
 def npm(lines: DataFrame, key: str = "doc_id", order: str = "line_no") -> DataFrame:

@@ -29,8 +29,3 @@ def collapse(rows: DataFrame, key: str = "doc_id", order: str = "line_no", line:
     groups = rows.groupBy(key, *KEY).agg(F.count("*").alias("n"), F.min(order).alias("first_no"), F.min_by(line, order).alias("first_line"))
     by = Window.partitionBy(key).orderBy(F.desc(log.level_rank("level")), "first_no")
     return groups.withColumn("ord", F.row_number().over(by)).select(key, "ord", *KEY, "n", "first_line")
-
-
-def over_collapsed(lines_in: str, lines_out: str):
-    """Whether so few lines are left that facts may be gone."""
-    return (F.col(lines_in) >= 30) & ((F.col(lines_out) < 3) | (F.col(lines_out) / F.col(lines_in) < 0.05))

@@ -18,6 +18,65 @@ SHORTEST_BYTES, SNIFFED_BYTES = 2000, 8192
 COLLAPSED_LINES, COLLAPSED_GROUPS, COLLAPSED_SHARE = 30, 3, 0.05
 
 
+def _branches(pattern: str) -> list[str]:
+    """The alternatives of a pattern, outside groups and classes."""
+    parts, depth, inside, at = [""], 0, False, 0
+    while at < len(pattern):
+        c = pattern[at]
+        if c == "\\":
+            parts[-1] += pattern[at : at + 2]
+            at += 2
+            continue
+        inside = c != "]" if inside else c == "["
+        depth += 0 if inside else (c == "(") - (c == ")")
+        if c == "|" and not depth and not inside:
+            parts.append("")
+        else:
+            parts[-1] += c
+        at += 1
+    return parts
+
+
+def _group(branch: str) -> str:
+    """The group that a branch opens with, parentheses included."""
+    depth, inside = 0, False
+    for m in re.finditer(r"\\.|[][()]", branch, re.S):
+        if len(m[0]) == 2:
+            continue
+        if inside:
+            inside = m[0] != "]"
+        elif m[0] == "[":
+            inside = True
+        elif m[0] in "()":
+            depth += 1 if m[0] == "(" else -1
+            if not depth:
+                return branch[: m.end()]
+    return branch
+
+
+_OPENED = re.compile(r"\(\?(?:P?<\w+>|([a-zA-Z]*)(?:-[a-zA-Z]+)?:)|\(")
+
+
+def rooted(pattern: str, lines: bool = False) -> bool:
+    """Whether every branch of a pattern can match at the start of a text only; ``lines``: ``^`` matches after line feeds too."""
+    if flags := re.match(r"\(\?([a-zA-Z]+)(?:-[a-zA-Z]+)?\)", pattern):
+        return rooted(pattern[flags.end() :], lines or "m" in flags[1])
+
+    def first(branch: str) -> bool:
+        if branch.startswith(("^", r"\A")):
+            return branch[0] != "^" or not lines
+        opened = _OPENED.match(branch)
+        if not opened or branch.startswith("(?") and opened[0] == "(":  # looking around
+            return False
+        group = _group(branch)
+        rest, inner = branch[len(group) :], group[opened.end() : -1]
+        if rest[:1] in ("?", "*", "+", "{"):
+            return False
+        return first(rest) if not inner else rooted(inner, lines or "m" in (opened[1] or ""))
+
+    return bool(pattern) and all(map(first, _branches(pattern)))
+
+
 @dataclass(frozen=True)
 class Descriptor:
     """A processor: how documents reach it, by content or by the command that made them, and what it does."""
@@ -36,7 +95,7 @@ class Descriptor:
     @property
     def is_signature(self) -> bool:
         """Whether the pattern holds at the start of the text only."""
-        return self.match.startswith(("^", r"\A")) and "|" not in self.match
+        return rooted(self.match)
 
     @property
     def eligible(self) -> bool:
@@ -139,8 +198,19 @@ def base_name(program: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(program, r"[/\\]"), -1), r"(?i)\.(exe|cmd|bat|ps1)$", "")
 
 
-def over_collapsed(lines_in: Column, lines_out: Column) -> Column:
-    return (lines_in >= COLLAPSED_LINES) & ((lines_out < COLLAPSED_GROUPS) | (lines_out / lines_in < COLLAPSED_SHARE))
+def rewritten(argv: Column, program: str, registry: Registry | None = None) -> Column:
+    """A command line wrapped for ``program`` to run and distil; null for it to run as it is.
+
+    That is so for pipes and other compound lines, for commands that no processor is for, and for
+    lines that run ``program`` already, which would be wrapped for ever.
+    """
+    wrapped = (registry or Registry()).by_command(argv).isNotNull() & (base_name(argv0(argv)) != base_name(F.lit(program)))
+    return F.when(wrapped, F.concat(F.lit(f"{program} exec -- "), argv))
+
+
+def over_collapsed(lines_in: Column | int, lines_out: Column | int) -> Column | bool:
+    """Whether so few lines are left that facts may be gone; of columns or of numbers."""
+    return (lines_in >= COLLAPSED_LINES) & ((lines_out < COLLAPSED_GROUPS) | (lines_out < lines_in * COLLAPSED_SHARE))
 
 
 def guard(out: Column, raw: Column) -> Column:
@@ -197,7 +267,7 @@ def _column_of_bytes(convert: Callable[[bytes], str]):
 def _of_bytes(convert: Callable[[bytes], str], data: bytes) -> str | None:
     """What is made of the bytes; null, for the input to stay, where nothing can be."""
     try:
-        return convert(bytes(data)) or None
+        return distillers.within(distillers.DEADLINE, convert, bytes(data)) or None
     except Exception:  # a distiller must never lose its input
         return None
 
@@ -207,7 +277,7 @@ def _one(of: dict, name: str, text: str) -> str:
     if name == "ndjson-filter" and out != text:
         filled = lambda t: sum(1 for x in t.split("\n") if x.strip())
         before, after = filled(text), filled(out)
-        if before >= COLLAPSED_LINES and (after < COLLAPSED_GROUPS or after / before < COLLAPSED_SHARE):
+        if over_collapsed(before, after):
             other = distillers.guarded(lambda t: distillers.group_report([x for x in distillers.lines_of(t) if x.strip()]), text) if "cordon-filter" in of else text
             if other != text and filled(other) > after:
                 return other

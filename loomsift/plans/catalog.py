@@ -646,6 +646,19 @@ def case_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.join(p.select("page_id", "path"), "path").select("page_id", "case_id", "bytes_in", "bytes_out", "reduction_pct")
 
 
+@query(r"""
+WITH p AS (SELECT *, '20240131-120000-' || substr(sha256(url), 1, 8) AS id, strlen(html) AS a, strlen(url) AS b FROM pages)
+SELECT page_id, '# case ' || id || chr(10) || chr(10) || '- source: ' || url || chr(10) || '- captured: 2024-01-31T12:00:00Z' || chr(10) || '- source size: ' || a || ' bytes' || chr(10) || '- compressed size: ' || b || ' bytes' || chr(10)
+  || '- reduction: ' || printf('%.2f', CASE WHEN a <= 0 THEN 0.0 ELSE round(100 * (1 - b / a), 2) END) || '%'
+  || CASE WHEN page_id % 3 = 0 THEN ' **(not a token saving)** — the source is a binary' || chr(10) || '  container, so its byte count is not comparable to extracted text.' ELSE '' END || chr(10)
+  || CASE WHEN page_id % 2 = 0 THEN '- **Note:** the pipeline was unavailable; the distilled text is the source.' || chr(10) ELSE '' END AS summary FROM p""")
+def case_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("path"), F.col("html").alias("text"), F.col("url").alias("distilled"))
+    made = cases.cases(p, F.lit("2024-01-31 12:00:00").cast("timestamp_ntz")).join(p.select("page_id", "path"), "path")
+    made = made.withColumns({"incomparable": F.col("page_id") % 3 == 0, "fallback": F.col("page_id") % 2 == 0})
+    return made.select("page_id", cases.summary(made).alias("summary"))
+
+
 @query("SELECT event_type, count(*) AS n FROM events WHERE ts > TIMESTAMP '2024-01-28 00:00:00' - INTERVAL 7 DAY GROUP BY 1")
 def retention_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     young = cases.kept(table(spark, sf_dir, "events"), F.lit("2024-01-28 00:00:00").cast("timestamp_ntz"), "7 days", "ts")

@@ -157,6 +157,16 @@ def file_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy((F.col("doc_id") % 4).alias("kind")).agg(F.count_if(prompts.read_gate(F.col("path"), F.col("n_chars"))).alias("n_read"), F.count_if(prompts.shorthand_gate(F.col("path"), F.col("n_chars"))).alias("n_shorthand"))
 
 
+@query("""
+SELECT event_type, CASE event_id % 6 WHEN 0 THEN 'sift exec -- A=1 /usr/bin/git  log' WHEN 1 THEN 'sift exec -- go  test ./...' WHEN 5 THEN 'sift exec -- cargo ' || event_type END AS command, count(*) AS n
+FROM events GROUP BY 1, 2""")
+def rewrite_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines_ = ["A=1 /usr/bin/git  log", "go  test ./...", "git log | cat", "/opt/sift exec -- git log", "go build", "cargo "]
+    argv = F.element_at(F.array(*[F.lit(x) for x in lines_]), (F.col("event_id") % 6 + 1).cast("int"))
+    argv = F.when(F.col("event_id") % 6 == 5, F.concat(argv, "event_type")).otherwise(argv)
+    return table(spark, sf_dir, "events").groupBy("event_type", routing.rewritten(argv, "sift").alias("command")).agg(F.count("*").alias("n"))
+
+
 @query("SELECT event_type, CASE event_id % 4 WHEN 0 THEN 'git-filter' WHEN 1 THEN 'go-test-filter' WHEN 2 THEN NULL ELSE 'npm-filter' END AS processor, count(*) AS n FROM events GROUP BY 1, 2")
 def route_by_command(spark: SparkSession, sf_dir: str) -> DataFrame:
     argv = F.element_at(F.array(*[F.lit(x) for x in ("A=1 /usr/bin/git  log", "go  test ./...", "git log | cat", '"C:\\n\\pnpm.cmd" i')]), (F.col("event_id") % 4 + 1).cast("int"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,20 @@ def cases(distilled: DataFrame, created: Column) -> DataFrame:
     )
 
 
+def summary(rows: DataFrame) -> Column:
+    """A short Markdown note for each row of ``cases``; flags ``fallback``, ``low_value`` and ``incomparable`` add remarks where there are such columns."""
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in rows.columns else F.lit(False)
+    number = F.format_string("%.2f", F.col("reduction_pct").cast("double"))
+    plain = F.concat(F.lit("- reduction: "), number, F.lit("%\n"))
+    binary = F.concat(F.lit("- reduction: "), number, F.lit("% **(not a token saving)** — the source is a binary\n  container, so its byte count is not comparable to extracted text.\n"))
+    return F.concat(
+        F.lit("# case "), "case_id", F.lit("\n\n- source: "), "path", F.lit("\n- captured: "), F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("\n- source size: "),
+        F.col("bytes_in").cast("string"), F.lit(" bytes\n- compressed size: "), F.col("bytes_out").cast("string"), F.lit(" bytes\n"), F.when(flag("incomparable"), binary).otherwise(plain),
+        F.when(flag("fallback"), "- **Note:** the pipeline was unavailable; the distilled text is the source.\n").otherwise(""),
+        F.when(flag("low_value"), "- **Note:** the distilled text is a placeholder only.\n").otherwise(""),
+    )
+
+
 def write_cases(rows: DataFrame, path: str) -> None:
     """Append cases by day; Spark's committer leaves nothing of a failed write."""
     rows.write.mode("append").partitionBy("day").parquet(path)
@@ -38,6 +54,25 @@ def write_activity(rows: DataFrame, path: str) -> None:
     rows.withColumn("day", F.to_date("t")).write.mode("append").partitionBy("component", "day").json(path)
 
 
+def sweep_activity(spark: SparkSession, path: str, component: str, today: str, days: int) -> list[str]:
+    """Delete a component's days that lie more than ``days`` before ``today``, and name them; other folders, files and components stay."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(f"{path}/component={component}")
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    first = date.fromisoformat(today) - timedelta(days)
+    gone = []
+    for status in files.listStatus(root) if files.exists(root) else ():
+        name = status.getPath().getName()
+        try:
+            day = date.fromisoformat(name.removeprefix("day="))
+        except ValueError:
+            continue
+        if status.isDirectory() and name.startswith("day=") and day < first:
+            files.delete(status.getPath(), True)
+            gone.append(day.isoformat())
+    return sorted(gone)
+
+
 def keep_originals(rows: DataFrame, path: str, text: str = "text") -> None:
     """Append originals once each, keyed by hash."""
     spark: SparkSession = rows.sparkSession

@@ -1,12 +1,17 @@
 """Distillers on inputs of our own in the shapes of real tools."""
 
 import json
+import re
+import time
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from loomsift.operators import distillers as d
+from loomsift.operators import routing
+from loomsift.sources import cases
 
 TEXTS = st.text(alphabet="ab1 :=\n\t{}\"[]()-+@#<>|│┌┐└┘─.", max_size=200)
 ALL = [d.git, d.npm, d.cargo, d.pytest, d.go_test, d.stack_trace, d.lint, d.vulnerability, d.ndjson, d.har]
@@ -169,3 +174,38 @@ def test_files_are_distilled(spark, sf_dir):
         assert (f"1.2 Part {r.doc_id}", f"page {r.doc_id}", f"x.org/{r.doc_id}", f"lib{r.doc_id}")[r.doc_id % 4] in r.distilled
     pdfs = outputs.saved_files(spark, sf_dir).where("doc_id % 4 = 0").limit(2)
     assert all("1.2 Part" in r.text and "%PDF" not in r.text for r in routing.chain(pdfs, ["pdf-filter"]).collect())
+
+
+def test_fields_stand_as_in_the_line():
+    line = '{"b" : {"z":1,"k":[{"y":2}]},"a":"say \\"k\\": x","z":3,"y":null,"c":0}'
+    out = d.ndjson("\n".join([line] * 30) + "\n")
+    assert out == '{"b":{"k":[{"y":2}],"z":1},"z":3,"y":null,"a":"say \\"k\\": x","c":0,"_count":30}\n'
+    own = '{"_count":7,"a":1}'
+    assert d.ndjson(f"{own}\n{own}") == '{"_count":2,"a":1}'
+
+
+@pytest.mark.parametrize(
+    "pattern, want",
+    [
+        ("^%PDF-", True), (r"\A#!", True), ("^a|^b", True), ("^a|b", False), ("(?m)^a", False), (r"(?m)\Aa", True), ("(?i)^a", True), ("(^a|\\Ab)c", True), ("(^a|b)c", False), ("(?:^a)x", True), ("(^a)?b", False), ("(?P<n>^a)|^b", True),
+        ("()^a", True), ("[|(]^", False), (r"\(^a", False), ("(?m:^a)|^b", False), ("a^", False), ("", False), ("(?=^a)", False), ("^[)|]x|^y", True), (r"^\[|b", False),
+    ],
+)
+def test_rooted_patterns(pattern, want):
+    assert routing.rooted(pattern) == want
+
+
+def test_distillers_have_a_deadline():
+    began = time.time()
+    assert d.guarded(lambda t: re.sub(r"(?:a+)+$", "", t), "a" * 40 + "b", 0.3) == "a" * 40 + "b"
+    assert time.time() - began < 5 and d.guarded(lambda t: t[:2], "abc", 0.3) == "ab"
+
+
+def test_activity_is_swept(spark, tmp_path):
+    rows = spark.createDataFrame([(f"2024-01-{d:02d} 10:00:00", c, "info", "m") for d in (1, 10, 20, 21) for c in ("a", "b")], "t string, component string, level string, msg string")
+    cases.write_activity(rows.withColumn("t", F.col("t").cast("timestamp")), str(tmp_path / "log"))
+    (tmp_path / "log/component=a/notes").mkdir()
+    assert cases.sweep_activity(spark, f"file://{tmp_path}/log", "a", "2024-01-20", 10) == ["2024-01-01"]
+    assert cases.sweep_activity(spark, f"file://{tmp_path}/log", "none", "2024-01-20", 10) == []
+    left = sorted(p.name for p in (tmp_path / "log/component=a").iterdir() if not p.name.endswith(".crc"))
+    assert left == ["day=2024-01-10", "day=2024-01-20", "day=2024-01-21", "notes"] and len(list((tmp_path / "log/component=b").iterdir())) == 4
