@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomsift.functions import html, prose
+from loomsift.functions import html, prose, redact, signature
 from loomsift.operators import distillers, findings, lines, pdf_text, prompts, routing, telemetry
 from loomsift.plans.catalog import facts, query, table
 from loomsift.sources import pdf, readers
@@ -47,6 +47,96 @@ def outputs_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.savings(routing.distil(tool_outputs(spark, sf_dir))).select("processor", "docs", "bytes_in", "bytes_out")
 
 
+# Lines of every shape of one-line report, and what they say: kind, severity, file, column, rule and message; # is the line number.
+_SHAPES = (
+    ("a.sh:#:2: warning: quote it [SC2086]", "shellcheck", "warning", "a.sh", 2, "SC2086", "quote it"),
+    ("b.rb:#:3: C: [Correctable] Style/Foo: use it", "rubocop", "convention", "b.rb", 3, "Style/Foo", "use it"),
+    ("c.css:#:4: error  bad unit [unit-no-unknown]", "stylelint", "error", "c.css", 4, "unit-no-unknown", "bad unit"),
+    ("d.js: line #, col 5, Warning - no console (no-console/x)", "eslint-compact", "warning", "d.js", 5, "no-console/x", "no console"),
+    ("e.js:#:6: is not used [Error/no-unused-vars]", "eslint-unix", "error", "e.js", 6, "no-unused-vars", "is not used"),
+    ("f.go:#:7: result is not used (errcheck)", "golangci", "error", "f.go", 7, "errcheck", "result is not used"),
+    ("[g.go:#] - G104 (CWE-703): errors are not handled (Confidence: HIGH, Severity: HIGH)", "gosec", "error", "g.go", 0, "G104", "errors are not handled"),
+    ("h.py:#:8: E501 line too long \t", "flake", "info", "h.py", 8, "E501", "line too long"),
+    ("i.c:#:9: warning: unused x [-Wunused]", "gcc-short", "warning", "i.c", 9, "-Wunused", "unused x"),
+    ("j.py:#: note: see there  [misc]", "mypy", "note", "j.py", 0, "misc", "see there"),
+    ("k.ts(#,10): error TS2304: no name x", "tsc", "error", "k.ts", 10, "TS2304", "no name x"),
+    ("m.c:#:1: error: no rule said", "gcc-short", "error", "m.c", 1, "-Werror", "no rule said"),
+    ("j.py:#: note: without a rule", "", "", "", 0, "", ""), ("plain line # of text", "", "", "", 0, "", ""), ("[g.go:#] - G104 (CWE-x): no", "", "", "", 0, "", ""),
+)
+
+
+def _values(rows: tuple) -> str:
+    return ", ".join("(" + ", ".join([str(k), *[_sql(x) if isinstance(x, str) else str(x) for x in row]]) + ")" for k, row in enumerate(rows))
+
+
+def _numbered(spark: SparkSession, sf_dir: str, kinds: list[str]) -> DataFrame:
+    """(ord, n, text): orders as texts of some kinds in turn, the customer's number in them."""
+    text = F.element_at(F.array(*[F.lit(x) for x in kinds]), (F.col("o_orderkey") % len(kinds) + 1).cast("int"))
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("ord"), F.col("o_custkey").alias("n"), F.replace(text, F.lit("#"), F.col("o_custkey").cast("string")).alias("text"))
+
+
+@query(f"""
+WITH s(k, text, kind, sev, file, col, rule, msg) AS (VALUES {_values(_SHAPES)})
+SELECT o_orderkey AS ord, kind, sev, file, CAST(o_custkey AS INTEGER) AS line, CAST(col AS INTEGER) AS col, rule, msg FROM orders JOIN s ON o_orderkey % {len(_SHAPES)} = k WHERE kind <> ''""")
+def lint_all_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines_ = _numbered(spark, sf_dir, [x[0] for x in _SHAPES])
+    return findings.terse_rows(lines_.withColumn("doc_id", F.lit(0)), line="text").drop("doc_id", "help")
+
+
+# Reports whose findings take several lines, and the findings of each: kind, severity, file, line, column, rule, message and help.
+_BLOCKS = (
+    ("warning: unused variable: `x#`\n  --> src/m.rs:#:9\n   |\n3 | let x = 1;\n   |     ^\n   |\n   = note: `#[warn(unused_variables)]` on by default\n",
+     (("verbose-rustc", "warning", "src/m.rs", "#", 9, "unused_variables", "unused variable: `x#`", ""),)),
+    ("error[E0308]: mismatched types\n  --> src/n.rs:#:4\n   |\n4 | f(x)\n   |   ^\n  = help: try x#\n\nwarning: unused [clippy::all]\n  --> src/o.rs:#:5\n",
+     (("verbose-rustc", "error", "src/n.rs", "#", 4, "E0308", "mismatched types", "try x#"), ("verbose-rustc", "warning", "src/o.rs", "#", 5, "clippy::all", "unused", ""))),
+    ("F401 [*] `os` imported but unused\n --> p.py:#:8\n  |\n1 | import os\n  |        ^^\n  |\nhelp: Remove `os`\n\nE711 Compare to None\n --> q.py:#:2\n",
+     (("verbose-ruff", "warning", "p.py", "#", 8, "F401", "`os` imported but unused", "Remove `os`"), ("verbose-ruff", "warning", "q.py", "#", 2, "E711", "Compare to None", ""))),
+    ("\n/src/app#.js\n  #:3  error  Missing semicolon  semi\n  #:14  warning  Unexpected console  no-console/x\n\n/src/b.js\n  #:1  error  Bad  @a/b\n\n3 problems\n",
+     (("eslint-stylish", "error", "/src/app#.js", "#", 3, "semi", "Missing semicolon", ""), ("eslint-stylish", "warning", "/src/app#.js", "#", 14, "no-console/x", "Unexpected console", ""), ("eslint-stylish", "error", "/src/b.js", "#", 1, "@a/b", "Bad", ""))),
+    ("lib/a.c:#:7: warning: unused x [-Wunused]\n  7 | int x;\n    |     ^\n  help: drop it\nchecked # files\n", (("gcc-short", "warning", "lib/a.c", "#", 7, "-Wunused", "unused x", "drop it"),)),
+)
+_BLOCK_ROWS = [(k, i, *(str(x) for x in f)) for k, (_, found) in enumerate(_BLOCKS) for i, f in enumerate(found)]
+
+
+@query(f"""
+WITH s(k, ord, kind, sev, file, line, col, rule, msg, help) AS (VALUES {", ".join("(" + ", ".join([str(r[0]), str(r[1]), *map(_sql, r[2:])]) + ")" for r in _BLOCK_ROWS)}),
+o AS (SELECT o_orderkey AS doc_id, o_orderkey % {len(_BLOCKS)} AS k, CAST(o_custkey AS VARCHAR) AS n FROM orders)
+SELECT doc_id, CAST(ord AS INTEGER) AS ord, kind, sev, replace(file, '#', n) AS file, CAST(replace(line, '#', n) AS INTEGER) AS line, CAST(col AS INTEGER) AS col, rule, replace(msg, '#', n) AS msg, replace(help, '#', n) AS help FROM o JOIN s USING (k)""")
+def lint_verbose_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the attribute of a note keeps its own hash sign
+    texts = [x[0].replace("`#[", "`\x02[") for x in _BLOCKS]
+    docs = _numbered(spark, sf_dir, texts).select(F.col("ord").alias("doc_id"), F.translate("text", "\x02", "#").alias("text"))
+    return findings.lint(docs)
+
+
+@query(r"""
+SELECT event_id, 'level=' || CASE event_id % 7 WHEN 0 THEN 'err' WHEN 1 THEN 'warning' WHEN 2 THEN 'debug' ELSE 'info' END || ';severity=x;method=get;status_code=' || CASE event_id % 3 WHEN 0 THEN '2xx' WHEN 1 THEN '4xx' ELSE '7' END
+  || ';path=/users/<n>/items' || CASE event_id % 2 WHEN 0 THEN '/<hex>' ELSE '' END || ';caller=main-go-' || event_id % 9 || ';msg=' || event_type || '-by-user;service=shop' AS sig,
+  CASE event_id % 7 WHEN 0 THEN 'error' WHEN 1 THEN 'warn' WHEN 2 THEN 'debug' ELSE 'info' END AS level FROM events""")
+def shaped_signature_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structured lines behind a prefix, some of their fields a level down."""
+    e, i = table(spark, sf_dir, "events"), F.col("event_id")
+    level = F.when(i % 7 == 0, "ERR").when(i % 7 == 1, "Warning").when(i % 7 == 2, "debug").otherwise("info")
+    path = F.concat(F.lit("/users/"), F.col("user_id").cast("string"), F.lit("/items"), F.when(i % 2 == 0, "/deadbeef99/more/segments?x=1").otherwise("?q=/a"))
+    line = F.concat(
+        F.lit('2024-01-01 host {"msg":"'), "event_type", F.lit(' by user '), F.col("user_id").cast("string"), F.lit(' now","severity":"x","level":"'), level, F.lit('","labels":{"method":"GET","status_code":'),
+        F.when(i % 3 == 0, "201").when(i % 3 == 1, "404").otherwise("7"), F.lit(',"service":"Shop"},"path":"'), path, F.lit('","caller":"main.go:'), (i % 9).cast("string"), F.lit('"}'),
+    )
+    return e.select("event_id", signature.shape(line).alias("s")).select("event_id", "s.sig", "s.level")
+
+
+@query(r"""
+SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'user=' || conv_id || '&api_token=<redacted>&q=' || role || '&password[]=<redacted>'
+  WHEN 1 THEN '{"a":[{"token":"<redacted>"},' || conv_id || '],"b":"' || role || '","client_secret":"<redacted>"}' ELSE 'plain ' || role || ' of <redacted>' END AS body FROM conversations""")
+def redact_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, t, n = table(spark, sf_dir, "conversations"), F.col("turn") % 3, F.col("conv_id").cast("string")
+    form = F.concat(F.lit("user="), n, F.lit("&api_token=s1&q="), "role", F.lit("&password[]=x"))
+    made = F.concat(F.lit('{ "client_secret": {"x": 1}, "b": "'), "role", F.lit('", "a": [{"token": "t"}, '), n, F.lit("]}"))
+    plain = F.concat(F.lit("plain  "), "role", F.lit("\n of eyJhbGciOi.eyJzdWIiOi.abcdefgh "))
+    return c.select("conv_id", "turn", redact.redact_body(F.when(t == 0, form).when(t == 1, made).otherwise(plain)).alias("body"))
+
+
 _HEAD = "┌──┐\n│ Library │ Vulnerability │ Severity │ Status │ Installed Version │ Fixed Version │ Title │\n"
 
 
