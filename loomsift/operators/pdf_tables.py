@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import math
+import zlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field, replace
 from itertools import pairwise, product
 
-from loomsift.sources.pdf import Span
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from loomsift.sources.pdf import Document, Span
 
 # Tolerances and least sizes in points, shares and counts.
 ROW_Y, WRAP_Y, WRAP_X, LEAST_GAP, CLUSTER_X, COLUMN_X = 2.0, 15.0, 30.0, 10.0, 5.0, 20.0
@@ -347,3 +352,24 @@ def _records_only(t: Table) -> Table:
     if len(t.rows) < LEAST_RECORDS or not said or len(digits) / len(said) < DIGIT_SHARE:
         return t
     return Table(t.names, t.xs, [row for row, k in zip(t.rows, keys) if k[:1].isdigit()])
+
+
+def cells(files: DataFrame, wanted: Sequence[str] = (), key: str = "doc_id", raw: str = "raw_bin") -> DataFrame:
+    """(key, page, number, row, column, name, text): the cells of all tables of PDF files, page by page; files that can't be read give no rows."""
+
+    def of(data: bytes) -> list[tuple]:
+        try:
+            doc = Document(bytes(data))
+            pages = [] if doc.encrypted else [doc.spans(p) for p in doc.pages()]
+        except (ValueError, TypeError, RecursionError, IndexError, zlib.error):
+            return []
+        return [
+            (page, number, i, j, name, text)
+            for page, spans in enumerate(pages) for number, t in enumerate(find_tables(spans, wanted)) for i, row in enumerate(t.texts()) for j, (name, text) in enumerate(zip(t.names, row))
+        ]
+
+    def run(held: pd.Series) -> pd.Series:
+        return held.map(lambda b: [] if b is None else of(b))
+
+    made = F.pandas_udf(run, "array<struct<page: int, number: int, row: int, column: int, name: string, text: string>>")
+    return files.select(key, F.inline(made(raw)))

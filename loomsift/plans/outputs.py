@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomsift.functions import html, prose, redact, signature
-from loomsift.operators import distillers, findings, lines, pdf_text, prompts, routing, telemetry
+from loomsift.operators import distillers, findings, lines, pdf_tables, pdf_text, prompts, routing, telemetry
 from loomsift.plans.catalog import facts, query, table
 from loomsift.sources import pdf, readers
 
@@ -169,6 +169,50 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), file.cast("binary").alias("raw_bin"))
 
 
+def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, raw_bin): orders as PDF tables, a file for each of 100 groups of customers and a page for each status, numbered lines above and below."""
+    o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).alias("doc_id"), F.col("o_orderstatus").alias("status"), "o_orderkey", "o_orderpriority", "o_totalprice")
+    by = Window.partitionBy("doc_id", "status").orderBy("o_orderkey")
+    # texts of one column are as wide as each other: gaps are found by their middles
+    y = (650 - 14 * F.row_number().over(by)).cast("string")
+    shown = lambda x, y, text: F.concat(F.lit(f"BT /F1 10 Tf 1 0 0 1 {x} "), y, F.lit(" Tm ("), text, F.lit(") Tj ET\n"))
+    row = F.concat(shown(50, y, F.lpad(F.col("o_orderkey").cast("string"), 8, "0")), shown(150, y, F.substring("o_orderpriority", 3, 3)), shown(300, y, F.format_string("%.2f", "o_totalprice")))
+    rows = o.select("doc_id", "status", "o_orderkey", row.alias("row"))
+    held = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "row"))), lambda x: x["row"]), "")
+    head = F.concat(*[F.lit(f"BT /F1 10 Tf 1 0 0 1 {x} 650 Tm ({name}) Tj ET\n") for x, name in ((50, "OrderKey"), (150, "Pri"), (300, "Price"))])
+    top = F.concat(F.lit("BT /F1 14 Tf 72 760 Td (1.2 Orders of group "), F.col("doc_id").cast("string"), F.lit(") Tj ET\n"))
+    pages = rows.groupBy("doc_id", "status").agg(held.alias("held")).select("doc_id", "status", F.concat(top, head, "held").alias("shown"))
+    pages = pages.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("status", "shown"))), lambda x: x["shown"]).alias("pages"))
+    numbers = F.sequence(F.lit(0), F.size("pages") - 1)
+    kids = F.array_join(F.transform(numbers, lambda k: F.concat((4 + 2 * k).cast("string"), F.lit(" 0 R"))), " ")
+    objects = F.array_join(F.transform(numbers, lambda k: F.concat(
+        (4 + 2 * k).cast("string"), F.lit(" 0 obj <</Type/Page/Contents "), (5 + 2 * k).cast("string"), F.lit(" 0 R/Resources<</Font<</F1 3 0 R>>>>>> endobj\n"), (5 + 2 * k).cast("string"), F.lit(" 0 obj <</Length "),
+        F.length(F.get("pages", k)).cast("string"), F.lit(">> stream\n"), F.get("pages", k), F.lit("\nendstream endobj\n"),
+    )), "")
+    file = F.concat(F.lit("%PDF-1.4\n1 0 obj <</Type/Catalog/Pages 2 0 R>> endobj\n2 0 obj <</Kids["), kids, F.lit("]>> endobj\n3 0 obj <</Type/Font/BaseFont/F>> endobj\n"), objects, F.lit("trailer <</Root 1 0 R>>"))
+    return pages.select("doc_id", file.cast("binary").alias("raw_bin"))
+
+
+_ORDER_ROWS = """o AS (SELECT o_custkey % 100 AS doc_id, o_orderkey, lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS key, substr(o_orderpriority, 3, 3) AS priority, printf('%.2f', o_totalprice) AS price, o_orderstatus,
+  row_number() OVER (PARTITION BY o_custkey % 100, o_orderstatus ORDER BY o_orderkey) AS n, dense_rank() OVER (PARTITION BY o_custkey % 100 ORDER BY o_orderstatus) AS p, count(*) OVER (PARTITION BY o_custkey % 100, o_orderstatus) AS held FROM orders)"""
+
+
+@query(f"""
+WITH {_ORDER_ROWS}, c AS (SELECT *, unnest([0, 1, 2]) AS k FROM o WHERE held >= 2)
+SELECT doc_id, CAST(p - 1 AS INTEGER) AS page, CAST(n - 1 AS INTEGER) AS row, CAST(k AS INTEGER) AS "column", ['OrderKey', 'Pri', 'Price'][k + 1] AS name, [key, priority, price][k + 1] AS text FROM c""")
+def pdf_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pdf_tables.cells(order_files(spark, sf_dir)).drop("number")
+
+
+@query(f"""
+WITH {_ORDER_ROWS}, g AS (SELECT doc_id, p, any_value(held) AS held, string_agg('| ' || key || ' | ' || priority || ' | ' || price || ' |', chr(10) ORDER BY n) AS rows FROM o GROUP BY 1, 2)
+SELECT doc_id, CAST(p AS INTEGER) AS page, '### Table ' || p || '.1' || chr(10) || chr(10) || '| OrderKey | Pri | Price |' || chr(10) || '| --- | --- | --- |' || chr(10) || rows AS markdown FROM g WHERE held >= 2""")
+def pdf_tables_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables in the Markdown of whole files."""
+    made = order_files(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all(pdf_text.pdf_to_markdown("raw_bin"), F.lit(r"### Table \d+\.\d+\n\n(?:\|[^\n]*+\n?)*+"), F.lit(0))).alias("t"))
+    return made.select("doc_id", F.regexp_extract("t", r"Table (\d+)", 1).cast("int").alias("page"), F.rtrim("t", F.lit("\n")).alias("markdown"))
+
+
 def saved_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text): a PDF with a padded comment, a saved page, an HTTP archive and a Trivy table, by doc_id in turn."""
     key = F.col("doc_id").cast("string")
