@@ -82,5 +82,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, at = spark.read.parquet(f"{sf_dir}/documents.parquet"), mark()
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name)
-        release_since(at, docs)
+        release_since(spark, at, docs)
     return STAGES[-1][1](spark, docs, sf_dir)

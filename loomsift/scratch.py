@@ -7,6 +7,7 @@ executors, as no executor's own disk holds it.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,8 +30,14 @@ def _own(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/loomsift/{spark.sparkContext.applicationId}"
 
 
-#: Folders of the tables written so far, in order.
-_made: list[str] = []
+class _Made(threading.local):
+    """Folders of the tables that a thread has written and not freed, in order."""
+
+    def __init__(self) -> None:
+        self.folders: list[str] = []
+
+
+_made = _Made()
 
 
 def _delete(spark: SparkSession, folder: str) -> None:
@@ -41,7 +48,7 @@ def _delete(spark: SparkSession, folder: str) -> None:
 def discard(spark: SparkSession) -> None:
     """Delete the tables that this application has written; frames that still read them fail after that."""
     _delete(spark, _own(spark))
-    _made.clear()
+    _made.folders.clear()
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -49,7 +56,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _made.append(path)
+    _made.folders.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_folder = path
     return out
@@ -59,20 +66,20 @@ def release(*tables: DataFrame) -> None:
     """Delete materialised tables that nothing reads any more; their successors must have been written."""
     for table in tables:
         _delete(table.sparkSession, table.scratch_folder)
-        if table.scratch_folder in _made:
-            _made.remove(table.scratch_folder)
+        if table.scratch_folder in _made.folders:
+            _made.folders.remove(table.scratch_folder)
 
 
 def mark() -> int:
-    """How many tables there are now, for ``release_since``."""
-    return len(_made)
+    """How many tables this thread has written and not freed, for ``release_since``."""
+    return len(_made.folders)
 
 
-def release_since(at: int, *keep: DataFrame) -> None:
-    """Delete the tables written since ``mark`` gave ``at``, but not those to keep."""
+def release_since(spark: SparkSession, at: int, *keep: DataFrame) -> None:
+    """Delete the tables that this thread has written since ``mark`` gave ``at``, but not those to keep, which alone may be read on."""
     kept = {table.scratch_folder for table in keep}
-    for folder in _made[at:]:
+    for folder in _made.folders[at:]:
         if folder not in kept:
-            _delete(keep[0].sparkSession, folder)
-    _made[at:] = [folder for folder in _made[at:] if folder in kept]
+            _delete(spark, folder)
+    _made.folders[at:] = [folder for folder in _made.folders[at:] if folder in kept]
 
