@@ -33,6 +33,8 @@ RADIUS = 2
 BLOCKS = 8
 #: Fingerprints in one bit-sliced block.
 SLICE = 2048
+#: Fingerprints that a task puts under all masks.
+KEYED = 50_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -148,7 +150,9 @@ def near_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
         for block in blanked:
             mask &= ~(0xFF << 8 * block)
         masks.append(mask - (1 << 64) if mask >> 63 else mask)
-    keyed = prints.repartition("fp").select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("mask", "key"))
+    # few bytes become many rows: dealt out by number, which is not coalesced
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, prints.count() // KEYED)
+    keyed = prints.repartition(parts, "fp").select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("mask", "key"))
     buckets = keyed.groupBy("mask", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
     edges = buckets.select("fps").mapInArrow(_links(radius), "a long, b long")
     roots = connected(edges)
