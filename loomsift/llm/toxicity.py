@@ -31,7 +31,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -53,8 +52,9 @@ THRESHOLD = 0.7
 CACHE_WORDS = 200_000
 #: Letters of a word that travel together; longer words are sent in overlapping stretches with the same sequences, and not kept.
 STRETCH = 64
-#: Letter sequences looked up at a time.
-TOGETHER = 200_000
+#: Letter sequences looked up at a time, and texts whose words are.
+TOGETHER = 1 << 20
+KNOWN_TOGETHER = 100
 ALPHABET = 256
 FEATURES = 4
 
@@ -138,9 +138,38 @@ def ratios(counts: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.select("model", "s", F.log(of[1] / of[0]).alias("r")), after
 
 
+#: Odd numbers that a letter is multiplied with by its distance from the last one.
+_POWERS = np.cumprod(np.full(16, 0x9E3779B97F4A7C15, dtype=np.uint64)) * np.uint64(0xD1B54A32D192ED03) | np.uint64(1)
+
+
+def _points(text: str) -> np.ndarray:
+    """Code points, from 1 on."""
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64) + np.uint64(1)
+
+
+def _keys(points: np.ndarray, first: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the sequence that ends at each place, and of the one before its last letter; ``first`` is where its word begins."""
+    whole, context, at = points * _POWERS[0], np.zeros_like(points), np.arange(len(points))
+    for t in range(1, min(order, len(points))):
+        before = np.where(at[t:] - t >= first[t:], points[: len(points) - t], np.uint64(0))
+        whole[t:] += before * _POWERS[t]
+        context[t:] += before * _POWERS[t - 1]
+    return whole.view(np.int64), context.view(np.int64)
+
+
 def hashes(found: list[str]) -> np.ndarray:
-    """What Spark's xxhash64 gives for each string."""
-    return np.array([xxhash.xxh64_intdigest(s.encode("utf-8"), 42) for s in found], dtype=np.uint64).view(np.int64)
+    """A 64-bit hash of each string, of 16 letters at most: what ``_keys`` gives for the sequence."""
+    ends = np.cumsum([len(s) for s in found], dtype=np.int64)
+    if not len(ends) or not ends[-1]:
+        return np.zeros(len(found), np.int64)
+    starts = np.concatenate([[0], ends[:-1]])
+    whole, _ = _keys(_points("".join(found)), np.repeat(starts, ends - starts), len(_POWERS))
+    return np.where(ends > starts, whole[np.maximum(ends - 1, 0)], 0)
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(hashes(batch.column(0).to_pylist())), batch.column(1)], names=["key", "r"])
 
 
 def _at(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,47 +187,62 @@ class Model(dict):
         self.seen, self.after = ((t["key"].to_numpy(), t["r"].to_numpy()) for t in (seen, after))
         self.order = order
 
-    def _letters(self, flat: list[str]) -> np.ndarray:
-        """The ratio of the last letter of each sequence."""
-        at, known = _at(self.seen[0], hashes(flat))
-        ratio = np.zeros(len(flat))
-        ratio[known] = self.seen[1][at[known]]
+    def _letters(self, points: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The ratio of the letter at each place; none at the start of a word."""
+        whole, context = _keys(points, first, self.order)
+        at, known = _at(self.seen[0], whole)
+        ratio = np.where(known, self.seen[1][at] if len(self.seen[1]) else 0.0, 0.0)
         rest = np.flatnonzero(~known)
-        at, known = _at(self.after[0], hashes([flat[i][:-1] for i in rest]))
+        at, known = _at(self.after[0], context[rest])
         ratio[rest[known]] = self.after[1][at[known]]
+        ratio[first == np.arange(len(first))] = 0.0
         return ratio
 
     def _long(self, word: bytes) -> float:
-        s, k = _marked(word), self.order - 1
-        return sum(float(self._letters([s[max(0, i - k) : i + 1] for i in range(at, min(at + TOGETHER, len(s)))]).sum()) for at in range(1, len(s), TOGETHER))
+        s, k, total = _marked(word), self.order - 1, 0.0
+        for at in range(0, len(s), TOGETHER):
+            low = max(0, at - k)  # what stands before a part gives its letters their context
+            part = self._letters(_points(s[low : at + TOGETHER]), np.zeros(min(at + TOGETHER, len(s)) - low, np.int64) - bool(low))
+            total += float(part[at - low :].sum())
+        return total
 
     def learn(self, new: list[bytes]) -> None:
-        at = 0
-        while at < len(new):
-            parts, letters = [], 0
-            while at + len(parts) < len(new) and letters < TOGETHER:
-                parts.append(sequences(new[at + len(parts)], self.order))
-                letters += len(parts[-1])
-            ratio = self._letters([s for p in parts for s in p])
-            starts = np.cumsum([0, *map(len, parts[:-1])])
-            self.update(zip(new[at : at + len(parts)], np.add.reduceat(ratio, starts).tolist()))
-            at += len(parts)
+        """Take the ratios of words, none of them long, into the cache."""
+        for at in range(0, len(new), TOGETHER // STRETCH):
+            part = new[at : at + TOGETHER // STRETCH]
+            points = _points("".join(map(_marked, part)))
+            starts = np.flatnonzero(points == np.uint64(ord(_START) + 1))
+            ratio = self._letters(points, np.repeat(starts, np.diff(starts, append=len(points))))
+            self.update(zip(part, np.add.reduceat(ratio, starts).tolist()))
+
+    def know(self, texts: list[list[bytes]]) -> None:
+        """Take the words of some texts into the cache that are not there yet."""
+        every = set().union(*texts)
+        new = [w for w in every if w not in self and len(w) <= STRETCH]
+        if len(self) + len(new) > CACHE_WORDS:
+            self.clear()
+            new = [w for w in every if len(w) <= STRETCH]
+        self.learn(new)
 
     def ratios(self, found: list[bytes]) -> np.ndarray:
-        """The ratio of each word."""
+        """The ratio of each word; those that are not long must be known."""
         v = list(map(self.get, found))
         if None in v:
-            new = list({w for w, x in zip(found, v) if x is None and len(w) <= STRETCH})
-            if len(self) + len(new) > CACHE_WORDS:
-                self.clear()
-                new = list({w for w in found if len(w) <= STRETCH})
-            self.learn(new)
-            v = [self[w] if len(w) <= STRETCH else self._long(w) for w in found]
+            v = [self._long(w) if x is None else x for w, x in zip(found, v)]
         return np.array(v, dtype=np.float64)
 
-    def features(self, text: str | None) -> list[float]:
+    def table(self, texts: list[str | None]) -> np.ndarray:
+        """A row of features for each text."""
+        found = [words(t) for t in texts]
+        out = np.zeros((len(texts), FEATURES))
+        for at in range(0, len(found), KNOWN_TOGETHER):
+            self.know(found[at : at + KNOWN_TOGETHER])
+            for i, x in enumerate(found[at : at + KNOWN_TOGETHER], at):
+                out[i] = self.features(x)
+        return out
+
+    def features(self, found: list[bytes]) -> list[float]:
         """The excess of ratios by the number of words and by its root, their mean, and the length; all 0 for a text without words."""
-        found = words(text)
         if not found:
             return [0.0] * FEATURES
         n, v = len(found), self.ratios(found)
@@ -310,7 +354,7 @@ class Prepared:
 
 def _keyed(table: DataFrame, of: str) -> pa.Table:
     """All rows as (key, r), sorted by the key: the hash of column ``of``."""
-    return table.select(F.xxhash64(of).alias("key"), "r").toArrow().sort_by("key")
+    return table.select(of, "r").mapInArrow(_hashed, "key long, r double").toArrow().sort_by("key")
 
 
 def sample_texts(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> DataFrame:
@@ -345,8 +389,11 @@ def model(docs: DataFrame, labels: DataFrame, most: int = LABELLED, order: int =
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = parts.value.models()
         for batch in slices(batches):
-            x = [models[1 - _half(i)].features(text) for i, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
+            half = np.array([_half(i) for i in batch.column(0).to_pylist()], dtype=int)
+            texts, x = batch.column(2).to_pylist(), np.zeros((batch.num_rows, FEATURES))
+            for h in (0, 1):
+                x[half == h] = models[1 - h].table([t for t, own in zip(texts, half) if own == h])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
     rows = sample.mapInArrow(describe, "doc_id long, y int, x array<double>").toArrow().sort_by("doc_id")  # ``most`` rows at most
     x = rows["x"].combine_chunks().flatten().to_numpy().reshape(-1, FEATURES) if rows.num_rows else np.zeros((0, FEATURES))
@@ -361,7 +408,7 @@ def with_scores(docs: DataFrame, labels: DataFrame, column: str = "score", most:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared.value.models()[0]
         for batch in slices(batches):
-            x = np.array([of.features(t) for t in batch.column("text").to_pylist()], dtype=np.float64).reshape(-1, FEATURES)
+            x = of.table(batch.column("text").to_pylist())
             scores = 1 / (1 + np.exp(-np.clip(np.c_[(x - mean) / scale, np.ones(len(x))] @ weights, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=names)
 

@@ -500,6 +500,28 @@ def test_scores_are_kneser_neys(spark):
         assert abs(rows[i, t] - 1 / (1 + np.exp(-z))) < 1e-6
 
 
+def test_words_are_looked_up_letter_by_letter():
+    rng = np.random.default_rng(2)
+    said = ["".join(rng.choice(list("abcé中"), int(n))).encode() for n in rng.integers(1, 90, 60)]
+    grams = sorted({g for w in said[::2] for g in toxicity.sequences(w)})
+    tables = []
+    for names in (grams, sorted({g[:-1] for g in grams})):
+        key, r = toxicity.hashes(names), rng.normal(size=len(names))
+        order = np.argsort(key)
+        assert len(set(key.tolist())) == len(names)
+        tables.append((toxicity.pa.table({"key": key[order], "r": r[order]}), dict(zip(names, r))))
+    (seen, s), (after, a) = tables
+    for together in (7, 1 << 20):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(toxicity, "TOGETHER", max(together, toxicity.STRETCH))
+            model = toxicity.Model(seen, after)
+            model.know([said])
+            if together == 7:
+                m.setattr(toxicity, "TOGETHER", 7)
+            want = [sum(s.get(g, a.get(g[:-1], 0.0)) for g in toxicity.sequences(w)) for w in said]
+            assert np.allclose(model.ratios(said), want) and np.allclose([model._long(w) for w in said], want)
+
+
 def test_a_repeated_id_is_one_row_of_the_sample(spark):
     docs = spark.createDataFrame([(2, f"text {'ab' * i}") for i in range(50)] + [(3, "other")], SCHEMA)
     labels = spark.createDataFrame([(2, 1), (3, 0)], "doc_id long, toxic int")
@@ -540,7 +562,7 @@ def test_models_keep_every_sequence(spark):
     sample = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as label", "text")
     want = {s for w in said for s in toxicity.sequences(w.encode())}
     seen, after = toxicity.learn(docs, sample)[2]
-    assert len(want) > 200_000 and seen["key"].to_pylist() == sorted(toxicity.hashes(list(want)).tolist())
+    assert len(want) > 200_000 and seen["key"].to_pylist() == sorted(toxicity.hashes(list(want)).tolist()) and len(set(seen["key"].to_pylist())) == len(want)
     assert after["key"].to_pylist() == sorted(toxicity.hashes(list({s[:-1] for s in want})).tolist())
 
 
