@@ -81,8 +81,6 @@ def reduce_counts(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[lis
                         break
                     if b > a or spare(others[a]) > 1:
                         best = max(best, others[a] + others[b])
-                    elif b - 1 >= 0 and b - 1 > a:
-                        best = max(best, others[a] + others[b - 1])
                 if best > k:
                     continue
             take(max(1, left[j] // 2) if j == k else min(left[j], left[k]), j, k)
