@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomsift.scratch import materialise
+from loomsift.scratch import mark, materialise, release, release_since
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -37,13 +37,16 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not state[0]:
             break
+        at = mark()
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _star(both, "b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = materialise(large, "large")
         small = _star(large, "true")
         small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         small = small.select("e.a", "e.b").where("a <> b").distinct()
-        before, now = state, materialise(small, "small")
+        before, old, now = state, now, materialise(small, "small")
+        release_since(now.sparkSession, at, now)
+        release(old)
         state = _state(now)
         if state == before:
             break

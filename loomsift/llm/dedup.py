@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomsift.scratch import materialise
+from loomsift.scratch import mark, materialise, release_since
 
 #: Code points in a block.
 BLOCK_CHARS = 4096
@@ -93,7 +93,9 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     row with the largest doc_id stays (null ids last); of rows repeated whole one stays.
     An empty table gives no rows; other columns of ``docs`` are not read.
     """
+    at = mark()
     rows = materialise(identities(docs), "identities")
+    release_since(docs.sparkSession, at, rows)
     groups = rows.groupBy("n_blocks", "name").agg(
         F.max(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("id"), "row_id", "doc_id")).alias("keep"), F.count("*").alias("group_size")
     )

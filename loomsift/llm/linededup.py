@@ -27,7 +27,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomsift.scratch import materialise
+from loomsift.scratch import mark, materialise, release_since
 
 #: Stretches of a line, and how many of them a template may leave open.
 BANDS = 8
@@ -136,11 +136,13 @@ def drop_recurring(docs: DataFrame) -> DataFrame:
     the rest of a text stays as it is. A null or empty text has one empty line, which stays: its
     text is empty. An empty table gives no rows; other columns are not read.
     """
+    at = mark()
     lines = materialise(masked_lines(docs), "lines")
     first = materialise(firsts(lines), "firsts")
     dropped = lines.select("id", "digest", "line_no", *_KEY).join(first, _KEY).where(F.struct("id", "digest") > F.col("first"))
     dropped = dropped.groupBy("id", "digest").agg(F.collect_set("line_no").alias("gone"))
     dropped = materialise(dropped, "dropped")
+    release_since(docs.sparkSession, at, dropped)
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), _id().alias("id"), F.xxhash64(text).alias("digest"))
     rows = rows.join(dropped, ["id", "digest"], "left").withColumn("parts", F.split("text", "\n"))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomsift.llm.components import connected
-from loomsift.scratch import materialise
+from loomsift.scratch import mark, materialise, release_since
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -141,6 +141,7 @@ def near_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     if not 0 <= radius < BLOCKS:
         raise ValueError("radius must be from 0 to 7")
+    at = mark()
     rows = materialise(fingerprints(docs), "fingerprints")
     prints = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_same"))
     prints = materialise(prints, "distinct")
@@ -160,5 +161,6 @@ def near_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     placed = materialise(placed, "placed")
     # written, so that the join is between two plain exchanges, of which a hot root's is split
     named = materialise(placed.groupBy("root").agg(F.min("least").alias("component_id")), "named")
+    release_since(docs.sparkSession, at, rows, placed, named)
     named = placed.join(named, "root").select("fp", "n_same", "component_id")
     return rows.join(named, "fp").select("doc_id", "digest", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_same")

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from loomsift.llm.frames import slices
-from loomsift.scratch import materialise
+from loomsift.scratch import mark, materialise, release_since
 
 #: Letters of a sequence: the last one is predicted from the others.
 ORDER = 7
@@ -382,6 +382,7 @@ def learn(docs: DataFrame, sample: DataFrame, order: int = ORDER) -> list[tuple[
 
 def model(docs: DataFrame, labels: DataFrame, most: int = LABELLED, order: int = ORDER) -> tuple[tuple[pa.Table, pa.Table], tuple]:
     """The whole model's sequences and contexts, and the mapping from features to scores."""
+    at = mark()
     sample = sample_texts(docs, labels, most)
     *halves, whole = learn(docs, sample, order)
     parts = docs.sparkSession.sparkContext.broadcast(Prepared(halves, order))
@@ -396,6 +397,7 @@ def model(docs: DataFrame, labels: DataFrame, most: int = LABELLED, order: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
     rows = sample.mapInArrow(describe, "doc_id long, y int, x array<double>").toArrow().sort_by("doc_id")  # ``most`` rows at most
+    release_since(docs.sparkSession, at)
     x = rows["x"].combine_chunks().flatten().to_numpy().reshape(-1, FEATURES) if rows.num_rows else np.zeros((0, FEATURES))
     return whole, fit(x, rows["y"].to_numpy().astype(np.float64))
 

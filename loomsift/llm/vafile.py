@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomsift.llm.frames import slices
-from loomsift.scratch import materialise
+from loomsift.scratch import mark, materialise, release_since
 
 SCALE = 1024
 #: Cells of a dimension; their numbers are bytes.
@@ -185,6 +185,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = SCALE)
     such ids, gives no rows; other columns are not read.
     """
     none = "query_id long, rank int, vec_id long, score long"
+    at = mark()
     found = candidates(vectors, k, every, scale)
     if found is None:
         return vectors.sparkSession.createDataFrame([], none)
@@ -212,7 +213,9 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = SCALE)
     ends = materialise(ends.join(kth(first, "score"), "asked"), "ends")
     later = (F.col("upper") < F.col("last_upper")) | ((F.col("upper") == F.col("last_upper")) & (F.col("row") > F.col("last_row")))
     rest = left.join(ends, "asked").where(later & (F.col("upper") >= F.col("least").cast("double")))
-    scored = first.unionByName(read(rest.select("asked", "row")))
+    second = read(rest.select("asked", "row"))
+    release_since(vectors.sparkSession, at, first, second)
+    scored = first.unionByName(second)
     scored = scored.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
