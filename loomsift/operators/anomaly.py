@@ -19,8 +19,9 @@ from loomsift.scratch import materialise
 
 # Window size, stride, neighbours, share and characters by default.
 SIZE, STRIDE, NEIGHBOURS, PERCENT, CHARS, DIMENSIONS = 10, 5, 5, 20.0, 4000, 256
-#: Queries and vectors compared at a time.
-BLOCK = 1024
+#: Vectors in a block; a task compares two blocks, TOGETHER vectors of the one at a time. A vector moves twice as often as there are blocks.
+BLOCK = 8192
+TOGETHER = 512
 
 Embedder = Callable[[list[str]], np.ndarray]
 
@@ -53,41 +54,45 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
 
 
-def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Squared Euclidean distances of all pairs, but for the rounding of a product of matrices."""
-    return (x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None, :] - 2 * x @ y.T
+def _vectors(column: pa.ChunkedArray) -> np.ndarray | list:
+    """A matrix of a column of vectors of one length, else lists."""
+    held = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = set(held.value_lengths().to_pylist())
+    return held.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(held), sizes.pop()) if len(sizes) == 1 and None not in sizes else column.to_pylist()
 
 
-def nearest(x: list | np.ndarray, y: list | np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in ``x`` and distances of the k nearest vectors of ``y`` for each of ``x``; pairs that ``own`` marks take no part.
+def nearest(x: list | np.ndarray, y: list | np.ndarray, own: Callable[[int, int], np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in ``x`` and distances of the k nearest vectors of ``y`` for each of ``x``; pairs that ``own`` marks, for some of ``x``, take no part.
 
     Vectors of unlike length are compared over the dimensions that both have. The k nearest are
-    chosen by a product of matrices, and their distances are exact.
+    chosen by a product of matrices, some rows at a time, and their distances are exact.
     """
-    if len({len(v) for v in x} | {len(v) for v in y}) > 1:
-        d = np.array([[np.linalg.norm(np.subtract(a[: min(len(a), len(b))], b[: min(len(a), len(b))])) for b in y] for a in x])
-        exact = lambda i, j: d[i, j]
-    else:
+    even = len({len(v) for v in (*x[:1], *y[:1])} if isinstance(x, np.ndarray) and isinstance(y, np.ndarray) else {len(v) for v in x} | {len(v) for v in y}) == 1
+    if even:
         x, y = np.asarray(x, dtype=np.float64), np.asarray(y, dtype=np.float64)
-        d = _alike(x, y)
-        exact = lambda i, j: np.sqrt(((x[i] - y[j]) ** 2).sum(axis=1))
-    d[own] = np.inf
-    near = np.argpartition(d, min(k, len(y)) - 1, axis=1)[:, :k]
-    i = np.repeat(np.arange(len(x)), near.shape[1])
-    j = near.ravel()
-    there = np.isfinite(d[i, j])
-    return i[there], exact(i[there], j[there])
+        square = (y**2).sum(axis=1)
+    at, found = [], []
+    for first in range(0, len(x), TOGETHER):
+        part = x[first : first + TOGETHER]
+        if even:
+            d = (part**2).sum(axis=1)[:, None] + square[None, :] - 2 * part @ y.T
+        else:
+            d = np.array([[np.linalg.norm(np.subtract(a[: min(len(a), len(b))], b[: min(len(a), len(b))])) for b in y] for a in part])
+        d[own(first, first + len(part))] = np.inf
+        near = np.argpartition(d, min(k, len(y)) - 1, axis=1)[:, :k]
+        i, j = np.repeat(np.arange(len(part)), near.shape[1]), near.ravel()
+        there = np.isfinite(d[i, j])
+        i, j = i[there], j[there]
+        at.append(i + first)
+        found.append(np.sqrt(((part[i] - y[j]) ** 2).sum(axis=1)) if even else d[i, j])
+    return (np.concatenate(at), np.concatenate(found)) if at else (np.zeros(0, np.int64), np.zeros(0))
 
 
 def mean_nearest(vectors: np.ndarray, k: int) -> np.ndarray:
-    """Mean distance of each vector to its k nearest others, block by block."""
-    out = np.zeros(len(vectors))
-    for at in range(0, len(vectors), BLOCK):
-        part = vectors[at : at + BLOCK]
-        own = np.arange(at, at + len(part))[:, None] == np.arange(len(vectors))[None, :]
-        i, d = nearest(part, vectors, own, k)
-        out[at : at + BLOCK] = np.bincount(i, d, len(part)) / np.maximum(np.bincount(i, minlength=len(part)), 1)
-    return out
+    """Mean distance of each vector to its k nearest others; 0 without any."""
+    n = len(vectors)
+    i, d = nearest(vectors, vectors, lambda low, high: np.arange(low, high)[:, None] == np.arange(n)[None, :], k)
+    return np.bincount(i, d, n) / np.maximum(np.bincount(i, minlength=n), 1)
 
 
 def knn_scores(vectors: DataFrame, k: int = NEIGHBOURS, key: str = "vec_id", vector: str = "embedding", group: str | None = None) -> DataFrame:
@@ -111,8 +116,8 @@ def knn_scores(vectors: DataFrame, k: int = NEIGHBOURS, key: str = "vec_id", vec
     def pair(a: pa.Table, b: pa.Table) -> pa.Table:
         at, found = np.zeros(0, np.int64), np.zeros(0)
         if a.num_rows and b.num_rows:
-            own = np.array(a[key].to_pylist())[:, None] == np.array(b[key].to_pylist())[None, :]
-            at, found = nearest(a[vector].to_pylist(), b[vector].to_pylist(), own, k)
+            left_keys, right_keys = np.array(a[key].to_pylist()), np.array(b[key].to_pylist())
+            at, found = nearest(_vectors(a[vector]), _vectors(b[vector]), lambda low, high: left_keys[low:high, None] == right_keys[None, :], k)
         return pa.table({**{n: a[n].take(pa.array(at, pa.int64())) for n in names}, "d": pa.array(found, pa.float64())})
 
     near = left.groupBy("__g", "__l", "__r").cogroup(right.groupBy("__g", "__l", "__r")).applyInArrow(pair, schema)
