@@ -132,10 +132,10 @@ def _links(radius: int):
 
 
 def near_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, digest, fingerprint, component_id, n_same.
+    """One row per row of ``docs`` (doc_id, text): doc_id, digest, fingerprint, component_id, n_same, root.
 
     component_id is the smallest doc_id that links reach; n_same counts the rows with this
-    fingerprint. Rows without text have fingerprint zero and link like any others. Rows
+    fingerprint; root is a fingerprint that names the component, one without any doc_id too. Rows without text have fingerprint zero and link like any others. Rows
     repeated whole stay repeated. A null doc_id is never a component_id unless the component has
     no other. An empty table gives no rows; other columns of ``docs`` are not read.
     """
@@ -162,5 +162,6 @@ def near_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     # written, so that the join is between two plain exchanges, of which a hot root's is split
     named = materialise(placed.groupBy("root").agg(F.min("least").alias("component_id")), "named")
     release_since(docs.sparkSession, at, rows, placed, named)
-    named = placed.join(named, "root").select("fp", "n_same", "component_id")
-    return rows.join(named, "fp").select("doc_id", "digest", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_same")
+    named = placed.join(named, "root").select("fp", "n_same", "component_id", "root")
+    digits = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
+    return rows.join(named, "fp").select("doc_id", "digest", digits("fp").alias("fingerprint"), "component_id", "n_same", digits("root").alias("root"))

@@ -32,6 +32,15 @@ def test_near_stage(spark, docs, sf_dir):
     assert sorted(r.doc_id or -1 for r in out.collect()) == [-1, 1, 3, 6]
 
 
+def test_near_stage_without_ids(spark, sf_dir):
+    """Near copies of unlike fingerprints, none with a doc_id: one stays."""
+    words = [f"w{i * 7919 % 1000}" for i in range(600)]
+    said = [" ".join(words)] + [" ".join([*words[:k], "new", *words[k + 1 :]]) for k in range(0, 600, 3)]
+    near = next(t for t in said[1:] if 0 < (simhash.fingerprint(t) ^ simhash.fingerprint(said[0])).bit_count() <= 2)
+    df = spark.createDataFrame([(None, t, "en", "s", 1) for t in (said[0], near, "another text of its own")], SCHEMA)
+    assert corpus_pipeline.near_dedup(spark, df, sf_dir).count() == 2
+
+
 def test_secret_stage(spark, docs, sf_dir):
     out = corpus_pipeline.redact_secrets(spark, docs, sf_dir)
     assert out.columns == docs.columns and out.count() == docs.count()
