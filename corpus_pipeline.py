@@ -50,9 +50,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies the row with the smallest doc_id."""
     rows = materialise(simhash.near_components(docs), "components")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fingerprint", "digest")).alias("first")
-    # a component without any doc_id has no component_id; its fingerprint tells it apart
-    group = F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("nameless")
-    keep = rows.groupBy("component_id", group).agg(first).select("first.*").select(_id().alias("id"), F.col("digest").alias("sign"))
+    # by root, as a component without any doc_id has no component_id
+    keep = rows.groupBy("root").agg(first).select("first.*").select(_id().alias("id"), F.col("digest").alias("sign"))
     return _only(docs, keep, simhash.digest())
 
 
