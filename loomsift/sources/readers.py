@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import subprocess
 from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomsift.operators.distillers import DEADLINE
 from loomsift.operators.routing import Descriptor, Registry
 
 MOST_BYTES = 64 << 20
@@ -51,11 +53,39 @@ def har_entries(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     )
 
 
+#: Bytes of a script, which travels as an argument of its interpreter.
+MOST_SCRIPT = 100_000
+
+
+def script(place: Path, seconds: float = DEADLINE) -> Callable[[str], str]:
+    """A script processor's function: text in, text out, in a process of its own that may take so many seconds.
+
+    The script is taken as it is when it is loaded, and travels to the executors with the function;
+    what happens to its file later changes nothing. An exit code other than 0 is an error.
+    """
+    import yaml
+
+    entry = place / yaml.safe_load((place / "processor.yaml").read_text())["entry"]
+    command = {".py": ["python3", "-c"], ".sh": ["bash", "-c"]}.get(entry.suffix.lower())
+    code = entry.read_text()
+    if command is None or len(code.encode()) > MOST_SCRIPT:
+        raise ValueError(f"{entry.name}: not a Python or shell script of {MOST_SCRIPT} bytes at most")
+
+    def run(text: str) -> str:
+        done = subprocess.run([*command, code], input=text.encode(), capture_output=True, timeout=seconds)
+        if done.returncode:
+            raise RuntimeError(f"{entry.name}: exit {done.returncode}: {done.stderr[-500:].decode('utf-8', 'replace')}")
+        return done.stdout.decode()
+
+    return run
+
+
 def processors(folder: str, load: Callable[[Path], Callable[[str], str]] | None = None, builtin: bool = False) -> tuple[list[Descriptor], list[str]]:
     """Descriptors of a folder of processors, and the names of those that are broken and left out.
 
     A sub-folder holds ``processor.yaml``, or ``processor.md`` with the same keys between ``---``
-    lines. ``load`` turns a script's folder into its function; without it scripts do nothing.
+    lines. ``load``, such as ``script``, turns a script's folder into its function; without it
+    scripts do nothing.
     """
     import yaml
 
@@ -75,7 +105,7 @@ def processors(folder: str, load: Callable[[Path], Callable[[str], str]] | None
                     keys.get("routable"), builtin, load(place) if load and kind == "script" else None,
                 )
             )
-        except (OSError, ValueError, IndexError, yaml.YAMLError):
+        except (OSError, ValueError, IndexError, KeyError, yaml.YAMLError):
             broken.append(place.name)
     return good, broken
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomsift.operators import distillers as d
 from loomsift.operators import routing
-from loomsift.sources import cases
+from loomsift.sources import cases, readers
 
 TEXTS = st.text(alphabet="ab1 :=\n\t{}\"[]()-+@#<>|│┌┐└┘─.", max_size=200)
 ALL = [d.git, d.npm, d.cargo, d.pytest, d.go_test, d.stack_trace, d.lint, d.vulnerability, d.ndjson, d.har]
@@ -209,3 +209,18 @@ def test_activity_is_swept(spark, tmp_path):
     assert cases.sweep_activity(spark, f"file://{tmp_path}/log", "none", "2024-01-20", 10) == []
     left = sorted(p.name for p in (tmp_path / "log/component=a").iterdir() if not p.name.endswith(".crc"))
     assert left == ["day=2024-01-10", "day=2024-01-20", "day=2024-01-21", "notes"] and len(list((tmp_path / "log/component=b").iterdir())) == 4
+
+
+def test_script_processors(spark, tmp_path):
+    for name, entry, code in (("first", "run.py", "import sys; sys.stdout.write(sys.stdin.read()[:5])"), ("second", "run.sh", "head -c 3"), ("fails", "run.sh", "exit 3"), ("odd", "run.rb", "x"), ("slow", "run.sh", "sleep 30")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "processor.yaml").write_text(f"name: {name}\ntype: script\nentry: {entry}\nmatch: ^hello\n")
+        (tmp_path / name / entry).write_text(code)
+    found, broken = readers.processors(str(tmp_path), lambda place: readers.script(place, 1.0))
+    assert [p.name for p in found] == ["fails", "first", "second", "slow"] and broken == ["odd"]
+    (tmp_path / "first" / "run.py").write_text("raise SystemExit(1)")  # swapped after loading
+    registry = routing.Registry(found)
+    docs = spark.createDataFrame([("hello wörld",)], "text string")
+    assert routing.chain(docs, ["first", "fails", "second", "slow"], registry).first().text == "hel"
+    long = spark.createDataFrame([("hello " * 500,)], "text string")
+    assert routing.distil(long, routing.Registry([p for p in found if p.name == "first"])).first().distilled == "hello"
