@@ -225,6 +225,11 @@ def test_secrets_and_ledger(spark, odd):
     got = secrets.secrets(odd).collect()
     want = Counter((i, hashlib.sha256(",".join(brute_base(t or "")).encode()).hexdigest()) for i, t in ODD)
     assert Counter((r.doc_id, r.base_sha256) for r in got) == want
+    kinds = lambda t: Counter(x.split(":")[0] for x in brute_base(t or ""))
+    assert Counter((r.doc_id, r.n_assign, r.n_access, r.n_hex) for r in got) == Counter((i, *(kinds(t)[k] for k in ("assign", "access", "hex"))) for i, t in ODD)
+    jwt = "eyJhbGciOiJI.eyJzdWIiOiIx.abcdefgh-_"
+    said = spark.createDataFrame([(1, f"é token={jwt} {jwt}\nghp_{'a' * 36}"), (2, None)], SCHEMA)
+    assert {r.doc_id: r.spans for r in secrets.secrets(said).collect()} == {1: f"assign:2:{8 + len(jwt)},jwt:8:{8 + len(jwt)},jwt:{9 + len(jwt)}:{9 + 2 * len(jwt)},forge:{10 + 2 * len(jwt)}:{50 + 2 * len(jwt)},hex:{14 + 2 * len(jwt)}:{50 + 2 * len(jwt)}", 2: ""}
     texts = {t or "" for _, t in ODD}
     assert sorted(r.text for r in secrets.pending(odd).collect()) == sorted(texts)  # each text is scanned once
     ledger = secrets.update_ledger(odd)
