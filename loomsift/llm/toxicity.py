@@ -348,7 +348,7 @@ class Prepared:
 
     def models(self) -> list[Model]:
         if "built" not in self.__dict__:
-            self.built = [Model(*t, self.order) for t in self.tables]
+            self.built, self.tables = [Model(*t, self.order) for t in self.tables], []  # the tables have been copied
         return self.built
 
 
@@ -413,6 +413,7 @@ def with_scores(docs: DataFrame, labels: DataFrame, column: str = "score", most:
             x = of.table(batch.column("text").to_pylist())
             scores = 1 / (1 + np.exp(-np.clip(np.c_[(x - mean) / scale, np.ones(len(x))] @ weights, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=names)
+        of.clear()  # a worker that waits holds no words
 
     return docs.mapInArrow(add, StructType([*docs.schema.fields, StructField(column, DoubleType())]))
 
