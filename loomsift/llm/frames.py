@@ -19,7 +19,12 @@ def free(name: str, taken: Iterable[str]) -> str:
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of ``rows`` rows at most, without a copy; the session's own batch size stays as it is."""
+    """The batches in parts of ``rows`` rows at most, without a copy; the session's own batch size stays as it is.
+
+    At the end what Arrow's pool holds for batches to come goes back to the system, as the worker may wait for long.
+    """
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        del batch
+    pa.default_memory_pool().release_unused()

@@ -49,11 +49,11 @@ STRENGTH = 5.0
 MARGIN = 2.0
 THRESHOLD = 0.7
 #: Words that a worker keeps, with their ratios or as told.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 #: Letters of a word that travel together; longer words are sent in overlapping stretches with the same sequences, and not kept.
 STRETCH = 64
 #: Letter sequences looked up at a time, and texts whose words are.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 18
 KNOWN_TOGETHER = 100
 ALPHABET = 256
 FEATURES = 4
