@@ -83,7 +83,8 @@ def gate(original: Column | str, short: Column | str) -> Column:
 
 
 def reduction_pct(source: Column | str, out: Column | str) -> Column:
-    return F.when(col(source) <= 0, F.lit(0.0)).otherwise(F.round(100 * (1 - col(out) / col(source)), 2))
+    # hundredths are rounded as they are held in binary, not as they are written
+    return F.when(col(source) <= 0, F.lit(0.0)).otherwise(F.round(100 * (1 - col(out) / col(source)) * 100) / 100)
 
 
 def prose_scalars(text: str) -> list[str]:

@@ -642,8 +642,8 @@ SELECT page_id, '20240131-120000-' || substr(sha256(url), 1, 8) AS case_id, CAST
        CASE WHEN strlen(html) <= 0 THEN 0.0 ELSE round(100 * (1 - strlen(url) / strlen(html)), 2) END AS reduction_pct FROM pages""")
 def case_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("path"), F.col("html").alias("text"), F.col("url").alias("distilled"))
-    made = cases.cases(p, F.lit("2024-01-31 12:00:00").cast("timestamp_ntz"))
-    return made.join(p.select("page_id", "path"), "path").select("page_id", "case_id", "bytes_in", "bytes_out", "reduction_pct")
+    made = cases.cases(p, F.lit("2024-01-31 12:00:00").cast("timestamp_ntz"), "page_id")
+    return made.select("page_id", "case_id", "bytes_in", "bytes_out", "reduction_pct")
 
 
 @query(r"""

@@ -12,16 +12,16 @@ from loomsift.functions.prose import reduction_pct
 
 def case_id(created: Column, path: Column) -> Column:
     """Time of creation and the start of the path's hash."""
-    return F.concat_ws("-", F.date_format(created, "yyyyMMdd-HHmmss"), F.substring(F.sha2(path, 256), 1, 8))
+    return F.concat(F.date_format(created, "yyyyMMdd-HHmmss"), F.lit("-"), F.substring(F.sha2(path, 256), 1, 8))
 
 
-def cases(distilled: DataFrame, created: Column) -> DataFrame:
-    """A row per distilled document (path, text, distilled): case id, sizes, reduction, and the distilled text."""
+def cases(distilled: DataFrame, created: Column, *keys: str) -> DataFrame:
+    """A row per distilled document (path, text, distilled): case id, sizes, reduction, the distilled text, and ``keys`` of the document, as paths may recur."""
     size = lambda c: F.octet_length(c).cast("long")
     rows = distilled.withColumns({"created_at": created, "bytes_in": size("text"), "bytes_out": size("distilled")})
     return rows.select(
         case_id(F.col("created_at"), F.col("path")).alias("case_id"), "path", "created_at", F.to_date("created_at").alias("day"), "bytes_in", "bytes_out",
-        reduction_pct("bytes_in", "bytes_out").alias("reduction_pct"), "distilled",
+        reduction_pct("bytes_in", "bytes_out").alias("reduction_pct"), "distilled", *keys,
     )
 
 
