@@ -169,9 +169,14 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), file.cast("binary").alias("raw_bin"))
 
 
+_FILE_TASKS = 100
+
+
 def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, raw_bin): orders as PDF tables, a file for each of 100 groups of customers and a page for each status, numbered lines above and below."""
     o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).alias("doc_id"), F.col("o_orderstatus").alias("status"), "o_orderkey", "o_orderpriority", "o_totalprice")
+    # the rows of a file are dealt out once, narrow, and to many tasks, as files take long to read; pages and files are made where they are
+    o = o.repartition(_FILE_TASKS, "doc_id")
     by = Window.partitionBy("doc_id", "status").orderBy("o_orderkey")
     # texts of one column are as wide as each other: gaps are found by their middles
     y = (650 - 14 * F.row_number().over(by)).cast("string")

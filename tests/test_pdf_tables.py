@@ -1,7 +1,9 @@
 """Tables, structure and scans of PDF, prompts and gates."""
 
+import gc
 import math
 import random
+import sys
 
 from pyspark.sql import functions as F
 
@@ -60,6 +62,23 @@ def test_shown_text_is_read_alike(spark):
     assert one == other and [s.text for s in one[0]] == ["ab c", "d", "e)f", "g", "h", "i"] and one[0][0].end_x == 50 + 1 + 2 + 5 + 3
 
 
+def test_markdown_of_long_pages():
+    """Twice the rows take twice the calls."""
+    def calls(n):
+        shown = "".join(f"BT /F 10 Tf 1 0 0 1 {x} {700 - 14 * i} Tm ({t}) Tj ET\n" for i in range(n) for x, t in ((50, f"{i:08}"), (150, "LOW"), (300, "1.00"))).encode()
+        data = raw({1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Kids [3 0 R] >>", 3: b"<< /Type /Page /Contents 4 0 R >>", 4: b"<< /Length %d >>\nstream\n" % len(shown) + shown + b"\nendstream"})
+        seen = []
+        sys.setprofile(lambda frame, event, arg: seen.append(event))
+        try:
+            made = pdf_text.pdf_markdown(data)
+        finally:
+            sys.setprofile(None)
+        assert made.count("\n| ") == n + 1 and gc.isenabled()
+        return len(seen)
+
+    assert calls(1200) < 2.3 * calls(600)
+
+
 def test_cells_of_files(spark):
     """Cells of files of several tables in turn; files that can't be read give none, and keys of any type stay."""
     def shown(rows):
